@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from marlstone.llm.bpe import op1_bpe_encode_decode
+from marlstone.llm.chat import op9_chat_windows
 from marlstone.llm.jaccard import op4_jaccard_join
+from marlstone.llm.sharding import op3_histogram_shards
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_histogram_shards, op4_jaccard_join, op9_chat_windows)}
 ORACLE_SQL: dict[str, str] = {}
