@@ -33,7 +33,7 @@ from marlstone.llm.shingles import shingle_sets, slices
 
 K, NUM, DEN = 5, 75, 100
 #: The first pass asks a tenth of a set as matches; m of the second pass is 1 to MOST_M; a verification costs as much as so many postings for each token.
-EXTRA, MOST_M, VERIFY = 0.1, 8, 0.05
+EXTRA, MOST_M, VERIFY = 0.1, 16, 0.05
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -120,25 +120,63 @@ def _signatures(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, f"doc_id long, n int, set long, {_PACKED_DDL}")
 
 
-def _shared_in_prefix(packed: DataFrame) -> DataFrame:
-    """(set, size, hits): how many of a set's prefix tokens are in another set's prefix too, for each partition."""
+_ANSWER = pa.schema([("to", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("freqs", pa.binary())])
+_ANSWER_DDL = "to int, ids binary, sizes binary, counts binary, tokens binary, freqs binary"
+
+
+def _answers(t: np.ndarray, i: np.ndarray, n: np.ndarray, f: np.ndarray, parts: int, full: bool) -> Iterator[tuple]:
+    """Rows for the parts that the sets belong to: sets, sizes, how many tokens each; with ``full`` the tokens and their frequencies too."""
+    to = (i.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((i, to))
+    t, i, n, f, to = (x[order] for x in (t, i, n, f, to))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        ids, first, counts = np.unique(i[a:b], return_index=True, return_counts=True)
+        more = (t[a:b].tobytes(), f[a:b].astype(np.int32).tobytes()) if full else (b"", b"")
+        yield int(to[a]), ids.tobytes(), n[a:b][first].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), *more
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """(set, size, count) and, for full answers, (token, frequency), in the order of the rows."""
+    kinds = (np.int64, np.int32, np.int32, np.uint64, np.int32)
+    got: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for b in batches:
+        for c, k, column in zip(got, kinds, b.select(_ANSWER.names[1:]).columns, strict=True):
+            c += [np.frombuffer(x, k) for x in column.to_pylist()]
+    return tuple(np.concatenate(c) for c in got)
+
+
+def _shared_in_prefix(packed: DataFrame, parts: int) -> DataFrame:
+    """The rows of documents, and packed answers: how many of a set's prefix tokens are in another set's prefix too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, parts = [], []
+        rest = []
         for b in batches:
-            names = b.schema.names
-            doc = b.column(names.index("bucket")).is_null()
+            doc = b.column(b.schema.names.index("bucket")).is_null()
             whole = b.filter(doc).select(["doc_id", "n", "set"])
             if len(whole):
-                yield pa.RecordBatch.from_arrays([*whole.columns, pa.nulls(len(whole), pa.int64())], names=["doc_id", "n", "set", "hits"])
-            parts.append(b.filter(pc.invert(doc)).select(_PACKED.names))
-        t, i, n = _unpacked(iter(parts))
-        i, n = i[(two := _frequency(t) > 1)], n[two]
-        ids, first, hits = np.unique(i, return_index=True, return_counts=True)
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(n[first], pa.int32()), pa.array(ids), pa.array(hits, pa.int64())], names=["doc_id", "n", "set", "hits"])
+                yield pa.RecordBatch.from_arrays([*whole.columns, *(pa.nulls(len(whole), f.type) for f in _ANSWER)], names=[*whole.schema.names, *_ANSWER.names])
+            rest.append(b.filter(pc.invert(doc)).select(_PACKED.names))
+        t, i, n = _unpacked(iter(rest))
+        f = _frequency(t)
+        two = f > 1
+        if rows := [(None, None, None, *r) for r in _answers(t[two], i[two], n[two], f[two], parts, False)]:
+            yield _batch(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), *_ANSWER]))
+
+    return packed.mapInArrow(work, f"doc_id long, n int, set long, {_ANSWER_DDL}")
 
-    return packed.mapInArrow(work, "doc_id long, n int, set long, hits long")
+
+def _able(answers: DataFrame, parts: int) -> DataFrame:
+    """(set): those with as many shared prefix tokens as a partner asks for, be it as small as can be."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n, counts, _, _ = _answered(batches)
+        sets, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
+        hits = np.bincount(inverse, counts, len(sets))
+        able = sets[hits >= np.floor(EXTRA * _need(n[first])) + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(able)], names=["set"])
+
+    return answers.select(*_ANSWER.names).repartition(parts, "to").mapInArrow(work, "set long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -155,7 +193,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _index(sets: DataFrame, parts: int) -> DataFrame:
-    """(set, n, m, token): the prefix tokens of each set that at least one other set has too, rare ones first."""
+    """(set, n, m, pos, token): the prefix tokens of each set that at least one other set has too, and their places, rare ones first."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,38 +206,35 @@ def _index(sets: DataFrame, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, i, n = _unpacked(batches)
         f = _frequency(t)
-        t, i, n, f = (x[f > 1] for x in (t, i, n, f))
-        order = np.argsort(i, kind="stable")
-        t, i, n, f = (x[order] for x in (t, i, n, f))
-        starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-        if len(starts):
-            at = pa.array(np.append(starts, len(i)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i[starts]), pa.array(n[starts]), pa.ListArray.from_arrays(at, pa.array(t.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(f.astype(np.int32)))],
-                names=["set", "n", "t", "f"],
-            )
+        two = f > 1
+        if rows := list(_answers(t[two], i[two], n[two], f[two], parts, True)):
+            yield _batch(rows, _ANSWER)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, n, ts, fs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                t, f = np.fromiter((x for y in ts for x in y), np.int64), np.fromiter((x for y in fs for x in y), np.int64)
-                order = np.lexsort((t, f))
-                t, scan = t[order], np.concatenate([[0], np.cumsum(f[order] - 1)])
-                m = np.arange(1, MOST_M + 1)
-                m = m[: max(1, int(_need(n)))]
-                length = np.clip(n - _need(n) + m - (n - len(t)), 0, len(t))
-                cost = scan[length] * (1 + VERIFY * n / m)
-                best = int(np.argmin(cost)) if length[0] else 0
-                k = int(length[best])
-                for c, v in zip(out, ([i] * k, [n] * k, [int(m[best])] * k, t[:k].tolist()), strict=True):
-                    c += v
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["set", "n", "m", "token"])
-
-    counted = sets.mapInArrow(pack, _PACKED_DDL).repartition(parts, "bucket").mapInArrow(count, "set long, n int, t array<long>, f array<int>")
-    each = counted.groupBy("set").agg(F.max("n").alias("n"), F.collect_list("t").alias("t"), F.collect_list("f").alias("f"))
-    return each.mapInArrow(choose, "set long, n int, m int, token long")
+        ids, n, counts, t, f = _answered(batches)
+        i, n = np.repeat(ids, counts), np.repeat(n, counts)
+        order = np.lexsort((t, f, i))
+        i, n, t, f = (x[order] for x in (i, n, t, f))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]]) if len(i) else []
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            size, k = int(n[a]), b - a
+            need = int(_need(size))
+            m = np.arange(1, max(1, min(MOST_M, need)) + 1)
+            length = np.clip(size - need + m - (size - k), 0, k)
+            scan = np.concatenate([[0], np.cumsum(f[a:b] - 1)])[length]
+            # an m whose prefix has fewer than m shared tokens still counts, as the partner's m may be less
+            best = int(np.argmin(scan * (1 + VERIFY * size / m)))
+            if length[0] == 0:
+                best = 0
+            k_best = int(length[best])
+            if k_best:
+                for c, v in zip(out, (i[a : a + k_best], n[a : a + k_best], np.full(k_best, m[best]), size - k + np.arange(k_best), t[a : a + k_best].view(np.int64)), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["set", "n", "m", "pos", "token"])
+
+    counted = sets.mapInArrow(pack, _PACKED_DDL).repartition(parts, "bucket").mapInArrow(count, _ANSWER_DDL)
+    return counted.repartition(parts, "to").mapInArrow(choose, "set long, n int, m int, pos int, token long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,10 +261,13 @@ def _linked(index: DataFrame, sets: DataFrame) -> DataFrame:
         named = materialize(named.join(mixed, "token"), "mixed")
         # the next round tries one set for each component and token, so that whole components meet
         live = named.groupBy("token", "component").agg(F.min_by("set", F.xxhash64("set", "token")).alias("set"))
-    a, b = (named.select("token", *(F.col(c).alias(c + x) for c in ("set", "component", "n", "m"))) for x in "ab")
+    a, b = (named.select("token", *(F.col(c).alias(c + x) for c in ("set", "component", "n", "m", "pos"))) for x in "ab")
+    # of this pair's common tokens, min(m) lie in prefixes that are as short as both sizes allow
+    m, common = F.least("ma", "mb"), F.ceil((F.col("na") + F.col("nb")) * NUM / (DEN + NUM))
+    near = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (F.col("posa") < F.col("na") - common + m) & (F.col("posb") < F.col("nb") - common + m)
     pairs = (
-        a.join(b, "token").filter((F.col("componenta") < F.col("componentb")) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM))
-        .groupBy(F.col("seta").alias("a"), F.col("setb").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.least(F.first("ma"), F.first("mb")).alias("m"))
+        a.join(b, "token").filter((F.col("componenta") < F.col("componentb")) & near)
+        .groupBy(F.col("seta").alias("a"), F.col("setb").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.min(m).alias("m"))
         .filter("hits >= m").select("a", "b")
     )
     return links.unionByName(_verified(pairs, sets))
@@ -245,12 +283,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     parts = _parts(spark)
-    seen = _shared_in_prefix(_signatures(docs, parts).repartition(parts, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))))
-    seen = materialize(seen, "signatures")
-    rows = seen.filter("hits is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set")
-    per = seen.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("hits").alias("hits"), F.sum(F.col("hits").isNull().cast("long")).alias("copies"))
-    least = F.ceil(F.col("n") * NUM / DEN)
-    able = per.filter((F.col("hits") >= F.floor(least * EXTRA) + 1)).select("doc_id").distinct()
+    packed = _signatures(docs, parts).repartition(parts, F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")))
+    seen = materialize(_shared_in_prefix(packed, parts), "signatures")
+    rows = seen.filter("to is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set")
+    per = rows.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    able = materialize(per.join(_able(seen.filter("to is not null"), parts), "set").select("doc_id").distinct(), "able")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(able.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = materialize(_sets(texts).dropDuplicates(["set"]), "sets")
     links = _linked(materialize(_index(sets, parts), "index"), sets)
