@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from marlstone.llm.bpe import op1_bpe_encode_decode
 from marlstone.llm.chat import op9_chat_windows
+from marlstone.llm.decontaminate import op8_string_tiling
 from marlstone.llm.jaccard import op4_jaccard_join
+from marlstone.llm.line_dedup import op10_line_dedup
 from marlstone.llm.sharding import op3_histogram_shards
+from marlstone.llm.substring_dedup import op5_sentence_spans
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_histogram_shards, op4_jaccard_join, op9_chat_windows)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_histogram_shards, op4_jaccard_join, op5_sentence_spans, op8_string_tiling, op9_chat_windows, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

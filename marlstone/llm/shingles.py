@@ -59,11 +59,11 @@ def slices(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.nd
         first = last
 
 
-def words(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, row) of each word ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case."""
+def words(at: np.ndarray, data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, row) of each word ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case; between: other bytes that part words."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~_SPACE[data]
+    ink = ~between[data]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
@@ -120,3 +120,39 @@ def shingle_sets(at: np.ndarray, data: np.ndarray, k: int = 5) -> tuple[np.ndarr
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ _STEP), dtype=np.uint64)])
     ends = np.cumsum(sizes)
     return s, sizes, mixed(total[ends] - total[ends - sizes] + sizes.astype(np.uint64) * _MIX)
+
+
+#: Bytes between words where words are letters and digits only; bytes of other scripts count as letters.
+PUNCTUATION = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
+
+
+def segments(at: np.ndarray, data: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, row, words) of each line, or sentence, trimmed of white space; blank ones are left out.
+
+    A line ends at a line feed; a sentence there too, and at white space after one of ``.!?``.
+    """
+    empty = np.zeros(0, np.int64)
+    if not len(data):
+        return np.zeros(0, np.uint64), empty, empty, empty, empty
+    space = _SPACE[data]
+    cut = data == 10
+    if sentences:
+        stop = (data == 46) | (data == 33) | (data == 63)
+        cut[1:] |= stop[:-1] & space[1:]
+    number = cut.astype(np.int32)
+    begins = at[:-1]
+    np.add.at(number, begins[begins < len(data)], 1)
+    ink = np.flatnonzero(~space)
+    part = np.cumsum(number, dtype=np.int32)[ink]
+    new = np.ones(len(ink), bool)
+    new[1:] = part[1:] != part[:-1]
+    firsts = np.flatnonzero(new)
+    start, end = ink[firsts], ink[np.append(firsts[1:], len(ink)) - 1] + 1 if len(ink) else ink
+    up, down = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    heads = ~space
+    heads[1:] &= space[:-1]
+    heads[start] = True  # a text can begin right behind the one before
+    count = np.concatenate([[0], np.cumsum(heads, dtype=np.int32)])
+    return mixed((sums[end] - sums[start]) * down[start]), start, end, np.searchsorted(at, start, "right") - 1, count[end] - count[start]
