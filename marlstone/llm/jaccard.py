@@ -11,7 +11,7 @@ prefixes are for m_x and m_y must share min(m_x, m_y) prefix tokens before it is
    are never shuffled again; then rarer ones first. Each set picks its own m by the estimated candidate cost.
 4. ``_linked``: verified links. First every set is tried against the least and greatest set of its tokens, twice, so that
    groups of near copies collapse to one component; then each pair of sets in different components that share enough
-   prefix tokens is verified. No link between different components is skipped, and none inside one is needed.
+   prefix tokens, in the places that both sizes leave for common ones, and whose parity signatures are near is verified. No link between different components is skipped, and none inside one is needed.
 
 All is keyed by set, so copies are never expanded. Tokens that are in one component only leave the index; what is
 left of a common token are pairs between components, which have to be looked at.
@@ -34,6 +34,8 @@ from marlstone.llm.shingles import shingle_sets, slices
 K, NUM, DEN = 5, 75, 100
 #: The first pass asks a tenth of a set as matches; m of the second pass is 1 to MOST_M; a verification costs as much as so many postings for each token.
 EXTRA, MOST_M, VERIFY = 0.1, 16, 0.05
+#: Words of 64 bits in a set's parity signature, which tells pairs apart that differ in more tokens than a link allows.
+SIGN = 8
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -180,16 +182,19 @@ def _able(answers: DataFrame, parts: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(set, tokens): the shingle set of each text that has one."""
+    """(set, tokens, sign): the shingle set of each text that has one, and the parity of its tokens in each of 64 * SIGN bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, at, data in slices(b.column(0)):
                 s, sizes, ids = shingle_sets(at, data, K)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), lists], names=["set", "tokens"]).filter(pa.array(sizes > 0))
+                sign = np.zeros(len(sizes) * SIGN, np.uint64)
+                np.bitwise_xor.at(sign, np.repeat(np.arange(len(sizes)), sizes) * SIGN + (s % np.uint64(SIGN)).astype(np.int64), np.uint64(1) << (s >> np.uint64(8)) % np.uint64(64))
+                signs = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * SIGN, pa.int32()), pa.array(sign.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), lists, signs], names=["set", "tokens", "sign"]).filter(pa.array(sizes > 0))
 
-    return texts.select("text").mapInArrow(work, "set long, tokens array<long>")
+    return texts.select("text").mapInArrow(work, "set long, tokens array<long>, sign array<long>")
 
 
 def _index(sets: DataFrame, parts: int) -> DataFrame:
@@ -261,10 +266,13 @@ def _linked(index: DataFrame, sets: DataFrame) -> DataFrame:
         named = materialize(named.join(mixed, "token"), "mixed")
         # the next round tries one set for each component and token, so that whole components meet
         live = named.groupBy("token", "component").agg(F.min_by("set", F.xxhash64("set", "token")).alias("set"))
-    a, b = (named.select("token", *(F.col(c).alias(c + x) for c in ("set", "component", "n", "m", "pos"))) for x in "ab")
+    signed = named.join(sets.select("set", *(F.col("sign")[k].alias(f"sign{k}") for k in range(SIGN))), "set")
+    a, b = (signed.select("token", *(F.col(c).alias(c + x) for c in ("set", "component", "n", "m", "pos", *(f"sign{k}" for k in range(SIGN))))) for x in "ab")
     # of this pair's common tokens, min(m) lie in prefixes that are as short as both sizes allow
     m, common = F.least("ma", "mb"), F.ceil((F.col("na") + F.col("nb")) * NUM / (DEN + NUM))
-    near = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (F.col("posa") < F.col("na") - common + m) & (F.col("posb") < F.col("nb") - common + m)
+    # sets that differ in d tokens differ in d bits of parity at most
+    differ = sum((F.bit_count(F.col(f"sign{k}a").bitwiseXOR(F.col(f"sign{k}b"))) for k in range(1, SIGN)), F.bit_count(F.col("sign0a").bitwiseXOR(F.col("sign0b"))))
+    near = (differ <= F.col("na") + F.col("nb") - 2 * common) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (F.col("posa") < F.col("na") - common + m) & (F.col("posb") < F.col("nb") - common + m)
     pairs = (
         a.join(b, "token").filter((F.col("componenta") < F.col("componentb")) & near)
         .groupBy(F.col("seta").alias("a"), F.col("setb").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.min(m).alias("m"))
