@@ -5,10 +5,19 @@ from __future__ import annotations
 from marlstone.llm.bpe import op1_bpe_encode_decode
 from marlstone.llm.chat import op9_chat_windows
 from marlstone.llm.decontaminate import op8_string_tiling
+from marlstone.llm.embeddings import op7_grid_order_join
 from marlstone.llm.jaccard import op4_jaccard_join
+from marlstone.llm.langid import op6_language_id
 from marlstone.llm.line_dedup import op10_line_dedup
+from marlstone.llm.pii import op2_pii_surrogates
 from marlstone.llm.sharding import op3_histogram_shards
 from marlstone.llm.substring_dedup import op5_sentence_spans
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_histogram_shards, op4_jaccard_join, op5_sentence_spans, op8_string_tiling, op9_chat_windows, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_encode_decode, op2_pii_surrogates, op3_histogram_shards, op4_jaccard_join, op5_sentence_spans, op6_language_id,
+        op7_grid_order_join, op8_string_tiling, op9_chat_windows, op10_line_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
