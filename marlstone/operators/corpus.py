@@ -88,7 +88,11 @@ def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int =
     joined only where a question has no rarer ones.
     """
     words = F.filter(F.split(F.lower("question"), r"\s+"), lambda x: x != "")
-    grams = F.when(F.size("w") < k, F.array(F.array_join("w", " "))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))))
+    # k shifted copies side by side: a slice for each place would work the words out again for each of them
+    runs = F.slice("w", 1, F.size("w") - k + 1)
+    for j in range(2, k + 1):
+        runs = F.zip_with(runs, F.slice("w", j, F.size("w") - k + 1), lambda a, b: F.concat_ws(" ", a, b))
+    grams = F.when(F.size("w") < k, F.array(F.array_join("w", " "))).otherwise(F.array_distinct(runs))
     distinct = pairs.groupBy("question").agg(F.min("uid").alias("uid")).withColumn("w", words).filter(F.size("w") > 0).withColumn("g", grams)
     tokens = distinct.select("uid", F.size("g").alias("n"), F.explode("g").alias("t"))
     df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))

@@ -92,7 +92,7 @@ POOL = "pool AS (SELECT l_suppkey AS video, CAST(l_linenumber AS BIGINT) AS segm
 def blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video, id, segment, title, topic, start_line, end_line, total_lines): line ranges over documents, with gaps, overlaps and equal titles."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("video"), F.size(F.split("text", "\n")).cast("long").alias("total_lines"))
-    return docs.withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(5))).cast("long")).selectExpr(*BLUEPRINT_COLUMNS)
+    return docs.withColumn("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long")))).selectExpr(*BLUEPRINT_COLUMNS)
 
 
 BLUEPRINT_COLUMNS = [
@@ -105,7 +105,7 @@ BLUEPRINT = f"blueprint AS (SELECT {', '.join(BLUEPRINT_COLUMNS).replace('STRING
 def caption_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").alias("video"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 41 != 0, F.unix_millis("ts") - F.lit(1704067200000)).alias("t_start_ms"),
+        F.col("user_id").alias("video"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 41 != 0, F.unix_millis(F.col("ts").cast("timestamp")) - F.lit(1704067200000)).alias("t_start_ms"),
         F.when(F.col("event_type") != "error", F.col("event_id") % 5000).alias("d_duration_ms"), F.when(F.col("event_id") % 43 != 0, F.array(F.col("event_type"), F.lit("\n"), F.when(F.col("event_id") % 7 != 0, F.lit(" ok  now ")).otherwise(F.lit("")))).alias("texts"),
     )
 
