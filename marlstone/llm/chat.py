@@ -58,22 +58,18 @@ def format_windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY
             F.when(F.col("at.kind") == "system", 0).otherwise(F.col("place")).alias("place"), F.col("at.kind").alias("kind"),
             F.when(F.col("at.kind") == "system", F.col("head")).otherwise(F.col("line")).alias("line"),
             ((F.col("at.kind") == "new") & (F.col("role") == "assistant")).alias("loss"),
-            (F.length("role") * 0 + F.length(F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n")))).alias("lead"),
+            (F.length(F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n")))).alias("lead"),
         ).alias("t"),
     )
     windows = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("t")).alias("t"))
     windows = windows.withColumn("formatted", F.array_join(F.col("t.line"), ""))
     # starts of turns by a running sum of lengths, kept as a fold over the few turns of a window
     starts = F.aggregate("t", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x["line"])))
-    return windows.withColumn("starts", starts).select(
-        "conv_id", "window", "formatted",
-        F.transform("t", lambda x, i: F.struct(
-            x["kind"].alias("kind"),
-            (F.col("starts")[i] + F.when(x["loss"], x["lead"]).otherwise(0)).alias("start"),
-            (F.length(x["line"]) - F.when(x["loss"], x["lead"] + len(END)).otherwise(0)).alias("length"),
-            x["loss"].alias("loss"),
-        )).alias("turns"),
-    )
+    turns = F.zip_with("t", F.slice(starts, 1, F.size("t")), lambda x, at: F.struct(
+        x["kind"].alias("kind"), (at + F.when(x["loss"], x["lead"]).otherwise(0)).alias("start"),
+        (F.length(x["line"]) - F.when(x["loss"], x["lead"] + len(END)).otherwise(0)).alias("length"), x["loss"].alias("loss"),
+    ))
+    return windows.select("conv_id", "window", "formatted", turns.alias("turns"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

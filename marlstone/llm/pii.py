@@ -185,7 +185,9 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
         per = per.withColumnsRenamed({"doc_id": "_odd_id", "h": "_odd_h"})
         found = found.join(per, F.col("doc_id").eqNullSafe(F.col("_odd_id")) & (F.xxhash64("text") == F.col("_odd_h")), "left").drop("_odd_id", "_odd_h")
         attempt = lambda p: F.coalesce(F.try_element_at(F.col("_odd"), F.concat_ws("|", p["type"], p["canon"])), F.lit(0))
-    to = F.transform("_found", lambda f: _written(f["m"], f["kind"], F.transform(f["parts"], lambda p: surrogate(p["type"], p["canon"], attempt(p), key))))
+    made = lambda f: F.transform(f["parts"], lambda p: surrogate(p["type"], p["canon"], attempt(p), key))
+    # again an array of one, so that surrogates are made once for a match and not for each of its characters
+    to = F.transform("_found", lambda f: F.transform(F.array(made(f)), lambda t: _written(f["m"], f["kind"], t))[0])
     gaps = F.split("text", PATTERN)
     text = F.concat(gaps[0], F.array_join(F.zip_with(to, F.slice(gaps, 2, F.size("_found")), lambda a, b: F.concat(a, b)), ""))
     return found.withColumns({"text": F.when(F.size("_found") > 0, text).otherwise(F.col("text")), "n_entities": F.greatest(F.coalesce(F.size("_found"), F.lit(0)), F.lit(0)).cast("long")}).drop("_found", "_odd")
