@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marlstone.llm import oracles
 from marlstone.llm.bpe import op1_bpe_encode_decode
 from marlstone.llm.chat import op9_chat_windows
 from marlstone.llm.decontaminate import op8_string_tiling
@@ -20,4 +21,6 @@ QUERIES = {
         op7_grid_order_join, op8_string_tiling, op9_chat_windows, op10_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": oracles.OP4, "op5_sentence_spans": oracles.OP5, "op7_grid_order_join": oracles.OP7, "op9_chat_windows": oracles.OP9, "op10_line_dedup": oracles.OP10,
+}
