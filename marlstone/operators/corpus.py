@@ -23,6 +23,11 @@ def select_videos(manifest: DataFrame, only: list[int] | None = None, start: int
     return out.filter(F.col("index") >= start) if start is not None else out
 
 
+def select_approaches(pairs: DataFrame, app: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
+    """Pairs of the approaches asked for (None: all) without those to be skipped."""
+    return exclude_approaches(pairs.filter(F.col("approach").isin(app)) if app else pairs, skip or [])
+
+
 def drop_refusals(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~is_refusal(F.col("answer")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import format_hhmmss, normalize_text
+from marlstone.functions.text import deictic_share, format_hhmmss, normalize_text
 
 
 def captions_to_segments(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +49,12 @@ def segment_content(segments: DataFrame, lines: DataFrame, keys: list[str], tota
     return segments.join(found, [*keys, "segment"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
+def drop_visual_references(segments: DataFrame, most: float = 0.02, mask: bool = False) -> DataFrame:
+    """Segments whose share of phrases that point at the picture is at most ``most``; with ``mask`` the others stay, without their text."""
+    shown = deictic_share(F.col("text")) <= most
+    return segments.withColumn("text", F.when(shown, F.col("text"))) if mask else segments.filter(shown)
+
+
 def segment_times(segments: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """segments with the start of their first line and the end of their last one, 0 where a line is missing, in seconds and as HH:MM:SS."""
     first = lines.select(*keys, F.col("line_no").alias("start_line"), F.col("start_sec").alias("time_start_sec"))

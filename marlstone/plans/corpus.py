@@ -111,6 +111,7 @@ PARSED = f"""rows AS (SELECT conv_id, turn, role, trim({ONE.format('text')}) AS
 QUERIES = {
     "corpus_pairs": lambda s, d: _corpus(s, d).select("uid", "dataset", "video", "approach", "n", "t", "te"),
     "exclude_approaches": lambda s, d: C.exclude_approaches(_corpus(s, d), ["RAG", "DualAgent"]).select("uid", "approach"),
+    "select_approaches": lambda s, d: C.select_approaches(_corpus(s, d), ["RAG", "SingleAgent", "DualAgent"], ["RAG"]).select("uid", "approach"),
     "select_videos": lambda s, d: C.select_videos(A.manifest(s, d).withColumnRenamed("video", "index"), start=20).select("dataset", "index"),
     "drop_refusals": lambda s, d: C.drop_refusals(_corpus(s, d).withColumn("answer", F.when(F.col("n") % 3 == 0, F.concat(F.lit("Not AVAILABLE in the provided context: "), "answer")).otherwise(F.col("answer")))).select("uid"),
     "cap_answers": cap_answers,
@@ -138,6 +139,7 @@ _LINKS = "links AS (SELECT * FROM manifest WHERE url IS NOT NULL)"
 ORACLE_SQL = {
     "corpus_pairs": f"WITH {Z} SELECT uid, dataset, video, approach, n, t, te FROM corpus",
     "exclude_approaches": f"WITH {Z} SELECT uid, approach FROM corpus WHERE approach NOT IN ('RAG', 'DualAgent')",
+    "select_approaches": f"WITH {Z} SELECT uid, approach FROM corpus WHERE approach IN ('SingleAgent', 'DualAgent')",
     "select_videos": f"WITH {A.MANIFEST} SELECT dataset, video AS index FROM manifest WHERE video >= 20",
     "drop_refusals": f"WITH {Z} SELECT uid FROM corpus WHERE n % 3 <> 0",
     "cap_answers": f"WITH {Z} SELECT video, n FROM qa WHERE n % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY video ORDER BY n) <= 2",

@@ -165,6 +165,7 @@ QUERIES = {
     "flatten_transcript": flatten_transcript,
     "write_srt": srt,
     "visual_references": visual_references,
+    "drop_visual_references": lambda s, d: G.drop_visual_references(A.segments(s, d)).select("video", "line_no"),
     "recursive_chunks": chunks,
     "number_lines": number_lines,
     "captions_to_segments": lambda s, d: G.captions_to_segments(A.caption_events(s, d), ["video"]).select("video", "line_no", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "text"),
@@ -201,6 +202,7 @@ ORACLE_SQL = {
     "flatten_transcript": f"WITH {A.SEGMENTS} SELECT video, md5(string_agg({SQUEEZE.format('text')}, ' ' ORDER BY line_no)) AS transcript_md5 FROM segments WHERE {SQUEEZE.format('text')} <> '' GROUP BY video",
     "write_srt": f"WITH {A.SEGMENTS} SELECT video, md5(string_agg(line_no || chr(10) || {SRT.format('start_sec')} || ' --> ' || {SRT.format('end_sec')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY line_no)) AS srt_md5 FROM segments GROUP BY video",
     "visual_references": f"WITH {A.SEGMENTS}, v AS (SELECT video, line_no, round(len(regexp_extract_all(lower(text), '\\b(here|this|like so|you can see|watch|notice how|as i''m showing)\\b')) * 1.0 / greatest({W.format('text')}, 1), 6) AS share FROM segments) SELECT * FROM v WHERE share > 0.02",
+    "drop_visual_references": f"WITH {A.SEGMENTS} SELECT video, line_no FROM segments WHERE len(regexp_extract_all(lower(text), '\\b(here|this|like so|you can see|watch|notice how|as i''m showing)\\b')) * 1.0 / greatest({W.format('text')}, 1) <= 0.02",
     "number_lines": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line_no, md5(row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ': ' || text) AS line_md5 FROM conversations WHERE text IS NOT NULL",
     "captions_to_segments": """WITH e AS (SELECT user_id AS video, event_id AS seq, epoch_us(ts) // 1000 - 1704067200000 AS ms, CASE WHEN event_type <> 'error' THEN event_id % 5000 END AS dur, trim(event_type || ' ' || CASE WHEN event_id % 7 <> 0 THEN 'ok now' ELSE '' END) AS text FROM events WHERE event_id % 41 <> 0 AND event_id % 43 <> 0)
  SELECT video, row_number() OVER w AS line_no, round(ms / 1000.0, 6) AS start_sec, round(coalesce(ms / 1000.0 + dur / 1000.0, lead(ms) OVER w / 1000.0, ms / 1000.0), 6) AS end_sec, text FROM e WINDOW w AS (PARTITION BY video ORDER BY seq)""",
