@@ -17,6 +17,7 @@ TRACKS = {"en": ["en-orig", "en"], "zh": ["zh-Hans", "zh-Hant", "zh"], "hi": ["h
 END_MARKS = {"hi": "।", "zh": "。", "ja": "。", "ko": "。"}
 # Phrases that point at what can only be seen.
 DEICTIC = ["here", "this", "like so", "you can see", "watch", "notice how", "as i'm showing"]
+# The sentence of a refusal, and the forms of question, answer and timestamp lines in responses.
 REFUSAL = "not available in the provided context"
 QUESTION_LINE = r"(?i)^\s*(?:[-*>]\s*)?(?:\d+\s*:|(?:\d+\.\s*)?(?:\*{1,3}|_+)?\s*(?:question\s*\d*|q\d*)\s*(?:\*{1,3}|_+)?\s*:?)"
 ANSWER_LINE = r"(?i)^(?:answer|a\d*)[:\s]"

@@ -31,7 +31,7 @@ _SAFETY = ["Unsafe Medical or Health Advice", *S.ERRORS["care_safety"][1:]]
 RATING_BASE = ["event_id AS id", "user_id AS u", "ts AS created_at", "event_type AS event_type", "CAST(floor(value) AS BIGINT) AS seconds_spent", "CAST(round(value * 100) AS BIGINT) AS v", "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k"]
 RATING_COLUMNS = [
     "id", "concat('s', CAST(u AS STRING)) AS session_id", "concat('a', CAST(u % 12 AS STRING)) AS annotator", "concat('q', CAST(k AS STRING)) AS qa_uid",
-    "CASE WHEN event_type IN ('click', 'view') THEN 'Master' ELSE 'Teepa' END AS dataset", "CASE WHEN k % 2 = 0 THEN 'SingleAgent' ELSE 'MultiAgent' END AS approach", "concat('b', CAST(u % 3 AS STRING)) AS batch",
+    "CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END AS dataset", "CASE WHEN k % 2 = 0 THEN 'SingleAgent' ELSE 'MultiAgent' END AS approach", "concat('b', CAST(u % 3 AS STRING)) AS batch",
     "created_at", "seconds_spent",
     *[_attribute(m, i, _OLD.get(m, S.SCALES[m])) for i, m in enumerate(S.ORDINAL)], *[_issue(m, i, _SAFETY if m == "care_safety" else S.ERRORS[m]) for i, m in enumerate(S.BINARY)],
     *[f"CASE WHEN id % 17 = {i} THEN NULL WHEN (v + {i} * k) % 4 < 2 THEN 'Yes' ELSE 'No' END AS qna_{m}_binary" for i, m in enumerate(S.BINARY)],
@@ -70,7 +70,7 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QA_COLUMNS = [
-    "CASE WHEN conv_id % 3 = 0 THEN 'Master' ELSE 'Teepa' END AS dataset", "conv_id AS video", "CASE conv_id % 4 WHEN 0 THEN 'SingleAgent' WHEN 1 THEN 'DualAgent' WHEN 2 THEN 'MultiAgent' ELSE 'RAG' END AS approach",
+    "CASE WHEN conv_id % 3 = 0 THEN 'north' ELSE 'south' END AS dataset", "conv_id AS video", "CASE conv_id % 4 WHEN 0 THEN 'SingleAgent' WHEN 1 THEN 'DualAgent' WHEN 2 THEN 'MultiAgent' ELSE 'RAG' END AS approach",
     "turn AS n", "question", "answer", "CASE WHEN conv_id % 4 = 3 THEN NULL ELSE turn * 10.5 END AS time_start_sec", "CASE WHEN conv_id % 4 = 3 THEN NULL ELSE turn * 10.5 + 8 END AS time_end_sec",
 ]
 QA = f"qa AS (SELECT {', '.join(QA_COLUMNS)} FROM (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'))"
@@ -117,7 +117,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MANIFEST_COLUMNS = [
-    "CASE WHEN conv_id % 3 = 0 THEN 'Master' ELSE 'Teepa' END AS dataset", "conv_id AS video", "CASE WHEN conv_id % 7 = 0 THEN NULL ELSE concat('https://video.example.com/', CAST(conv_id AS STRING)) END AS url",
+    "CASE WHEN conv_id % 3 = 0 THEN 'north' ELSE 'south' END AS dataset", "conv_id AS video", "CASE WHEN conv_id % 7 = 0 THEN NULL ELSE concat('https://video.example.com/', CAST(conv_id AS STRING)) END AS url",
     "CASE WHEN conv_id % 5 = 0 THEN 'chinese' ELSE 'english' END AS language",
 ]
 MANIFEST = f"manifest AS (SELECT {', '.join(MANIFEST_COLUMNS).replace('STRING', 'VARCHAR')} FROM (SELECT DISTINCT conv_id FROM conversations))"
