@@ -9,8 +9,8 @@ prefixes are for m_x and m_y must share min(m_x, m_y) prefix tokens before it is
    partner at all. Only these are kept, as the condition is necessary.
 3. ``_index``: over these the exact frequency of each token; tokens of one set only come first in the order and
    are never shuffled again; then rarer ones first. Each set picks its own m by the estimated candidate cost.
-4. ``_linked``: verified links. First every set is tried against the least and greatest set of its tokens, twice, so that
-   groups of near copies collapse to one component; then each pair of sets in different components that share enough
+4. ``_linked``: verified links. First every set is tried against hubs of its tokens, in a few rounds, so that groups of
+   near copies collapse to one component; then each pair of sets in different components that share enough
    prefix tokens, in the places that both sizes leave for common ones, and whose parity signatures are near is verified. No link between different components is skipped, and none inside one is needed.
 
 All is keyed by set, so copies are never expanded. Tokens that are in one component only leave the index; what is
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.graph import connected_components
@@ -34,6 +34,8 @@ from marlstone.llm.shingles import shingle_sets, slices
 K, NUM, DEN = 5, 75, 100
 #: The first pass asks a tenth of a set as matches; m of the second pass is 1 to MOST_M; a verification costs as much as so many postings for each token.
 EXTRA, MOST_M, VERIFY = 0.1, 16, 0.05
+#: Times that sets are tried against hubs, so many hubs each, before the rest is compared pair by pair.
+ROUNDS, HUBS = 2, 3
 #: Words of 64 bits in a set's parity signature, which tells pairs apart that differ in more tokens than a link allows.
 SIGN = 8
 _LOW = np.uint64((1 << 48) - 1)
@@ -198,7 +200,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _index(sets: DataFrame, parts: int) -> DataFrame:
-    """(set, n, m, pos, token): the prefix tokens of each set that at least one other set has too, and their places, rare ones first."""
+    """(set, n, m, pos, token, alone): the prefix tokens of each set that at least one other set has too, and their places, rare ones first; alone: thousandths of the set's tokens that no other set has."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +223,7 @@ def _index(sets: DataFrame, parts: int) -> DataFrame:
         order = np.lexsort((t, f, i))
         i, n, t, f = (x[order] for x in (i, n, t, f))
         edges = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]]) if len(i) else []
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
         for a, b in zip(edges[:-1], edges[1:]):
             size, k = int(n[a]), b - a
             need = int(_need(size))
@@ -234,12 +236,12 @@ def _index(sets: DataFrame, parts: int) -> DataFrame:
                 best = 0
             k_best = int(length[best])
             if k_best:
-                for c, v in zip(out, (i[a : a + k_best], n[a : a + k_best], np.full(k_best, m[best]), size - k + np.arange(k_best), t[a : a + k_best].view(np.int64)), strict=True):
+                for c, v in zip(out, (i[a : a + k_best], n[a : a + k_best], np.full(k_best, m[best]), size - k + np.arange(k_best), t[a : a + k_best].view(np.int64), np.full(k_best, 1000 * (size - k) // size)), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["set", "n", "m", "pos", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["set", "n", "m", "pos", "token", "alone"])
 
     counted = sets.mapInArrow(pack, _PACKED_DDL).repartition(parts, "bucket").mapInArrow(count, _ANSWER_DDL)
-    return counted.repartition(parts, "to").mapInArrow(choose, "set long, n int, m int, pos int, token long")
+    return counted.repartition(parts, "to").mapInArrow(choose, "set long, n int, m int, pos int, token long, alone int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,33 +251,55 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(DEN * both >= NUM * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
+def _signed(sets: DataFrame, x: str) -> DataFrame:
+    return sets.select(F.col("set").alias(x), *(F.col("sign")[k].alias(f"sign{k}{x}") for k in range(SIGN)))
+
+
+def _differ() -> Column:
+    """Bits of parity in which the sets a and b differ; they differ in as many tokens at least."""
+    bits = [F.bit_count(F.col(f"sign{k}a").bitwiseXOR(F.col(f"sign{k}b"))) for k in range(SIGN)]
+    return sum(bits[1:], bits[0])
+
+
+def _common() -> Column:
+    """Tokens that a and b share if they link."""
+    return F.ceil((F.col("na") + F.col("nb")) * NUM / (DEN + NUM))
+
+
+def _may_link(differ: Column | None = None) -> Column:
+    differ = F.col("differ") if differ is None else differ
+    return (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (differ <= F.col("na") + F.col("nb") - 2 * _common())
+
+
 def _linked(index: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect just the sets that all links connect."""
-    links = components = None
-    live = index
-    for _ in range(2):
-        ends = live.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"))
-        hubs = live.join(ends, "token").groupBy("set").agg(F.min("low").alias("x"), F.max("high").alias("y"))
-        pairs = hubs.select("set", F.explode(F.array("x", "y")).alias("hub")).filter("set <> hub").select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
+    links, live = None, index.withColumn("component", F.col("set"))
+    for k in range(ROUNDS):
+        # hubs of a token: any two sets, others in each round, and first the one with the fewest tokens of its own, the middle of a group of copies
+        draw = lambda j: F.xxhash64("set", "token", F.lit(j))
+        one, middle = F.struct("set", "component", "n"), F.struct(F.col("alone"), F.xxhash64("set"))
+        ends = live.groupBy("token").agg(F.min_by(one, draw(2 * k)).alias("x"), F.min_by(one, draw(2 * k + 1) if k else middle).alias("y"))
+        tried = live.join(ends, "token").select("set", "component", "n", F.explode(F.array("x", "y")).alias("hub")).filter("component <> hub.component")
+        tried = tried.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("hub.set").alias("b"), F.col("hub.n").alias("nb")).distinct()
+        # of these, a set is verified against the few whose signatures are nearest
+        near = tried.join(_signed(sets, "a"), "a").join(_signed(sets, "b"), "b").withColumn("differ", _differ()).filter(_may_link())
+        best = F.slice(F.array_sort(F.collect_list(F.struct("differ", "b"))), 1, HUBS)
+        pairs = near.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = materialize(_verified(pairs, sets), "links")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links)
-        named = index.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        named = live.drop("component").join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         named = materialize(named, "named")
+        # a token whose sets are all in one component can tell of no link that matters
         mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-        named = materialize(named.join(mixed, "token"), "mixed")
-        # the next round tries one set for each component and token, so that whole components meet
-        live = named.groupBy("token", "component").agg(F.min_by("set", F.xxhash64("set", "token")).alias("set"))
-    signed = named.join(sets.select("set", *(F.col("sign")[k].alias(f"sign{k}") for k in range(SIGN))), "set")
-    a, b = (signed.select("token", *(F.col(c).alias(c + x) for c in ("set", "component", "n", "m", "pos", *(f"sign{k}" for k in range(SIGN))))) for x in "ab")
+        live = materialize(named.join(mixed, "token"), "mixed")
+    a, b = (live.select("token", *(F.col(c).alias(c + x if c != "set" else x) for c in ("set", "component", "n", "m", "pos"))).join(_signed(sets, x), x) for x in "ab")
     # of this pair's common tokens, min(m) lie in prefixes that are as short as both sizes allow
-    m, common = F.least("ma", "mb"), F.ceil((F.col("na") + F.col("nb")) * NUM / (DEN + NUM))
-    # sets that differ in d tokens differ in d bits of parity at most
-    differ = sum((F.bit_count(F.col(f"sign{k}a").bitwiseXOR(F.col(f"sign{k}b"))) for k in range(1, SIGN)), F.bit_count(F.col("sign0a").bitwiseXOR(F.col("sign0b"))))
-    near = (differ <= F.col("na") + F.col("nb") - 2 * common) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (F.col("posa") < F.col("na") - common + m) & (F.col("posb") < F.col("nb") - common + m)
+    m = F.least("ma", "mb")
+    near = _may_link(_differ()) & (F.col("posa") < F.col("na") - _common() + m) & (F.col("posb") < F.col("nb") - _common() + m)
     pairs = (
         a.join(b, "token").filter((F.col("componenta") < F.col("componentb")) & near)
-        .groupBy(F.col("seta").alias("a"), F.col("setb").alias("b")).agg(F.count(F.lit(1)).alias("hits"), F.min(m).alias("m"))
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(m).alias("m"))
         .filter("hits >= m").select("a", "b")
     )
     return links.unionByName(_verified(pairs, sets))
