@@ -34,7 +34,7 @@ TYPES = {
     "secret": rf"(?<!{_W})(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{{32,64}}(?!{_W})",
     "iban": rf"(?<!{_W})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_W})",
     "ssn": rf"(?<![\p{{L}}\p{{N}}-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
-    "phone": rf"(?<![\p{{L}}\p{{N}}.])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)|\d{{2,4}})(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}([-.])\d{{3}}\1\d{{4}})(?!{_W})",
+    "phone": rf"(?<![\p{{L}}\p{{N}}.])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,8}}(?:[ .-]\d{{2,8}}){{0,5}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}([-. ])\d{{3}}\1\d{{4}})(?!{_W})",
     "card": rf"(?<![\p{{L}}\p{{N}}.])(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\2\d{{4}}\2\d{{1,7}})(?!{_W})",
     "name": rf"(?<!{_W})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME})?(?!{_W})",
 }
