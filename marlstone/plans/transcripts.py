@@ -213,6 +213,12 @@ ORACLE_SQL = {
     "merge_consecutive": f"""WITH {A.BLUEPRINT}, f AS (SELECT *, CASE WHEN lag(title) OVER (PARTITION BY video ORDER BY start_line, id) = title THEN 0 ELSE 1 END AS new FROM blueprint), r AS (SELECT *, SUM(new) OVER (PARTITION BY video ORDER BY start_line, id) AS island FROM f)
  SELECT video, any_value(title) AS title, MIN(start_line) AS start_line, arg_max(end_line, start_line * 1000 + id) AS end_line, row_number() OVER (PARTITION BY video ORDER BY island) AS id FROM r GROUP BY video, island""",
     "deduplicate_segments": f"WITH {A.BLUEPRINT} SELECT video, MIN(id) AS id, title FROM blueprint GROUP BY video, title",
+    "repair_segments": f"""WITH RECURSIVE {A.BLUEPRINT}, o AS (SELECT video, topic, start_line, end_line, row_number() OVER (PARTITION BY video ORDER BY start_line, end_line, topic) AS i FROM blueprint),
+ walk AS (SELECT DISTINCT video, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS cur, CAST(1 AS BIGINT) AS was, false AS taken, CAST(NULL AS BIGINT) AS start_line, CAST(NULL AS BIGINT) AS end_line, CAST(NULL AS VARCHAR) AS topic FROM o
+  UNION ALL SELECT o.video, o.i, CASE WHEN o.start_line > o.end_line OR o.start_line < w.cur THEN w.cur ELSE o.end_line + 1 END, w.cur, NOT (o.start_line > o.end_line OR o.start_line < w.cur), o.start_line, o.end_line, o.topic FROM walk w JOIN o ON o.video = w.video AND o.i = w.i + 1),
+ ends AS (SELECT w.video, arg_max(w.cur, w.i) AS cur, any_value(b.total_lines) AS total FROM walk w JOIN blueprint b USING (video) GROUP BY w.video),
+ rows AS (SELECT video, start_line, end_line, topic FROM walk WHERE taken UNION ALL SELECT video, was, start_line - 1, NULL FROM walk WHERE taken AND start_line > was UNION ALL SELECT video, cur, total, NULL FROM ends WHERE cur <= total)
+ SELECT video, row_number() OVER (PARTITION BY video ORDER BY start_line) AS segment, start_line, end_line, coalesce(topic, 'Uncategorized Content (Lines ' || start_line || '-' || end_line || ')') AS topic FROM rows""",
     "segment_quality": f"{QUOTAS} SELECT video, segment, round(quality, 6) AS quality FROM quotas",
     "largest_remainder_quotas": f"{QUOTAS} SELECT video, segment, CAST(quota AS BIGINT) AS quota FROM quotas",
     "select_proportional": f"{SELECTED} SELECT video, segment, id FROM s WHERE first OR rest <= 20 - taken",
