@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.graph import connected_components
 from marlstone.llm.shared import bound_batches, materialize
 
-COSINE, DIMS, LEAF, FAN = 0.93, 8, 256, 4
+COSINE, DIMS, LEAF, FAN = 0.93, 8, 512, 4
+AXES = 256
 
 
 def _usable(v: pd.Series) -> list[np.ndarray | None]:
@@ -38,14 +39,19 @@ def _usable(v: pd.Series) -> list[np.ndarray | None]:
 
 
 def _moments(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each length of vectors its mean and leading principal directions; one row of sums from each task comes to the driver."""
+    """For each length of vectors the mean and the leading principal directions of its first AXES components.
+
+    Sums are added up over all tasks before they come to the driver: AXES**2 + AXES numbers for each length at most. Distances
+    along any such directions are never more than those of whole vectors, so what is left out costs pruning only.
+    """
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, list] = {}
         for p in parts:
             for d, g in p.groupby(p["unit"].map(len)):
-                x = np.stack(g["unit"].to_numpy())
-                one = acc.setdefault(int(d), [0, np.zeros(d), np.zeros((d, d))])
+                x = np.stack(g["unit"].to_numpy())[:, :AXES]
+                k = x.shape[1]
+                one = acc.setdefault(int(d), [0, np.zeros(k), np.zeros((k, k))])
                 one[0] += len(x)
                 one[1] += x.sum(0)
                 one[2] += x.T @ x
@@ -58,7 +64,8 @@ def _moments(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for d in {r["d"] for r in rows}:
         own = sorted((r["k"], r["n"], r["v"]) for r in rows if r["d"] == d)
         n, v = own[0][1], np.array([x for _, _, x in own])
-        mean, second = v[:d] / n, v[d:].reshape(d, d) / n
+        k = min(d, AXES)
+        mean, second = v[:k] / n, v[k:].reshape(k, k) / n
         _, directions = np.linalg.eigh(second - np.outer(mean, mean))
         out[d] = (mean, directions[:, ::-1][:, :DIMS])
     return out
@@ -143,7 +150,7 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = COSINE, leaf: int =
 
     def project(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            proj = [((u - moments.value[len(u)][0]) @ moments.value[len(u)][1]) for u in p["unit"]]
+            proj = [((u[:AXES] - moments.value[len(u)][0]) @ moments.value[len(u)][1]) for u in p["unit"]]
             proj = [np.pad(x, (0, DIMS - len(x))) for x in proj]
             yield p.assign(proj=proj, cells=[np.floor(x / cell).astype(np.int64) for x in proj], grp=[f"{label}|{len(u)}" for label, u in zip(p["label"], p["unit"], strict=True)])
 
@@ -152,10 +159,10 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = COSINE, leaf: int =
     # place in the grid order without a task for a whole label: rows before a first cell, then the row's place among those of the cell's piece
     piece = F.struct(F.col("cells")[0].alias("c0"), F.col("cells")[1].alias("c1"), F.pmod(F.xxhash64("hash"), F.lit(16)).alias("r"))
     counts = placed.groupBy("grp", piece.alias("piece")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("leaves", F.ceil(F.col("n") / leaf)).withColumn("base", F.sum("leaves").over(Window.partitionBy("grp").orderBy("piece")) - F.col("leaves")).select("grp", "piece", "base")
+    before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("grp").orderBy("piece")) - F.col("n")).select("grp", "piece", "base")
     rank = F.row_number().over(Window.partitionBy("grp", "piece").orderBy("cells", "proj", "hash"))
     placed = placed.withColumn("piece", piece).withColumn("rank", rank).join(before, ["grp", "piece"])
-    placed = materialize(placed.withColumn("leaf", (F.col("base") + F.floor((F.col("rank") - 1) / leaf)).cast("long")).select("grp", "leaf", "hash", "copies", "proj", "unit", F.xxhash64("grp", "hash").alias("id")), "leaves")
+    placed = materialize(placed.withColumn("leaf", F.floor((F.col("base") + F.col("rank") - 1) / leaf).cast("long")).select("grp", "leaf", "hash", "copies", "proj", "unit", F.xxhash64("grp", "hash").alias("id")), "leaves")
     pairs = _near_leaves(_tree(placed), eps)
 
     leaves = placed.groupBy("grp", "leaf").agg(F.collect_list("id").alias("ids"), F.collect_list("copies").alias("counts"), F.flatten(F.collect_list("unit")).alias("units"))
