@@ -103,7 +103,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage
                     for p, w, q in zip(pair[np.append(0, cuts)].tolist(), np.split(where, cuts), np.split(place, cuts), strict=True):
                         r, item = divmod(p, len(bm.ids))
                         n = int(bm.sizes[item])
-                        if len(np.unique(q)) + tile - 1 >= coverage * n - (tile - 1) * n:
+                        if len(np.unique(q)) * tile >= coverage * n:  # as much as seeds can cover
                             covered = sum(x for _, _, x in tiles(w, q, tile))
                             if covered >= coverage * n:
                                 leaks[first + r].append({"item_id": bm.ids[item], "covered": covered, "words": n})
