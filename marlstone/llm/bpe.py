@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from marlstone.llm.shared import bound_batches, documents
 
-CACHED = 250_000
+CACHED = 100_000
 #: Longer words are merged over a heap.
 LONG = 64
 #: The fixed pattern of byte-level BPE; ``\s`` is Unicode's White_Space.
@@ -152,7 +153,8 @@ class Bpe:
             at, a, b, limit = at[go], a[go], b[go], limit[go]
         return ok
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word as the bytes of 32-bit numbers, which are joined without a step for each token."""
         out = [self._greedy(w) for w in words]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         flat = np.fromiter(chain.from_iterable(out), np.int64, int(sizes.sum()))
@@ -160,7 +162,7 @@ class Bpe:
         inner = np.flatnonzero(of[1:] == of[:-1]) if len(of) else np.zeros(0, np.int64)
         for w in np.unique(of[inner[~self.compatible(flat[inner], flat[inner + 1])]]).tolist():
             out[w] = self.exact(words[w])
-        return [tuple(x) for x in out]
+        return [array("i", x).tobytes() for x in out]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes of the tokens, added ones included, as UTF-8; what isn't UTF-8 becomes U+FFFD."""
@@ -190,8 +192,8 @@ class Encoder:
         self.known.update((w, self.older[w]) for w in again)
         new = [w for w in unseen - again if isinstance(w, str)]
         self.known.update(zip(new, self.bpe.encode_words([w.encode() for w in new]), strict=True))
-        self.known.update((w, (w,)) for w in unseen if not isinstance(w, str))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, p)), np.int32) for p in pieces]
+        self.known.update((w, array("i", [w]).tobytes()) for w in unseen if not isinstance(w, str))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32) for p in pieces]
 
 
 _encoders: dict[str, Encoder] = {}

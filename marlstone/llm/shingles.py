@@ -31,7 +31,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for k, x in enumerate((_R, _INV)):
-            step = np.full(max(n, 1 << 21), x, np.uint64)
+            step = np.full(max(n, 1 << 20), x, np.uint64)
             step[0] = 1
             _powers[k] = np.cumprod(step, dtype=np.uint64)
     return _powers[0][:n], _powers[1][:n]
@@ -49,8 +49,8 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)
 
 
-def slices(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, offsets, bytes) of pieces of about ``most`` bytes; a longer text is a piece by itself."""
+def slices(col: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, offsets, bytes) of pieces of about ``most`` bytes, so that a worker needs tens of MB; a longer text is a piece by itself."""
     at, data = buffers(col)
     first, n = 0, len(at) - 1
     while first < n:
