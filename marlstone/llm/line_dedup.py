@@ -34,7 +34,7 @@ def winnow(h: np.ndarray, row: np.ndarray, run: int) -> np.ndarray:
 
 
 def _fingerprints(run: int):
-    def spans(h: np.ndarray, row: np.ndarray, words: np.ndarray) -> tuple:
+    def spans(h: np.ndarray, row: np.ndarray, words: np.ndarray, size: np.ndarray) -> tuple:
         p = winnow(h, row, run)
         key, first = runs(h, row, run)
         starts = np.searchsorted(row, row)  # the first segment of a segment's row

@@ -17,6 +17,8 @@ from marlstone.llm.shingles import segments, slices
 
 LAST = (1 << 63) - 1
 KEYS = ["doc", "text_hash"]
+#: Bytes of a single segment that count as many words: about 50 words, or 100 letters of a script without spaces.
+BYTES = 300
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -24,14 +26,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def span_rows(docs: DataFrame, sentences: bool, spans: Callable, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """(doc, text_hash, *fields): what ``spans(hashes, rows, words)`` gives for the segments of all texts: (rows, *columns)."""
+    """(doc, text_hash, *fields): what ``spans(hashes, rows, words, sizes in bytes)`` gives for the segments of all texts: (rows, *columns)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, text_hash = np.asarray(b.column(0)), np.asarray(b.column(1))
             for first, _, at, data in slices(b.column(2)):
-                h, _, _, row, words = segments(at, data, sentences)
-                of, *columns = spans(h, row, words)
+                h, start, end, row, words = segments(at, data, sentences)
+                of, *columns = spans(h, row, words, end - start)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[of + first]), pa.array(text_hash[of + first]), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t, _) in zip(columns, fields, strict=True))], names=[*KEYS, *(n for n, _, _ in fields)])
 
     ddl = ", ".join(["doc long", "text_hash long", *(f"{n} {d}" for n, _, d in fields)])

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of three consecutive sentences is hashed, and runs of two and single sentences that are long in words; the
-hashes are joined over all documents, and a sentence goes if a span that occurs before covers it.
+Every run of two consecutive sentences is hashed, and single sentences that are long in words or bytes; the
+hashes are joined over all documents, and a sentence goes if a span that occurs before covers it. A longer run that occurs before is
+covered by its runs of two, each of which occurs there too, so repeated runs of any length go whole.
 """
 
 from __future__ import annotations
@@ -10,22 +11,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.repeats import later_ranges, remove_ranges, span_rows
+from marlstone.llm.repeats import BYTES, later_ranges, remove_ranges, span_rows
 from marlstone.llm.shared import bound_batches, documents
 from marlstone.llm.shingles import runs
 
-#: Sentences of a span -> words that it must have.
-SPANS = {3: 15, 2: 25, 1: 50}
+#: Sentences of a span -> words that it must have; single sentences of BYTES bytes count as well.
+SPANS = {2: 0, 1: 50}
 
 
 def _spans(least: dict[int, int]):
-    def spans(h: np.ndarray, row: np.ndarray, words: np.ndarray) -> tuple:
+    def spans(h: np.ndarray, row: np.ndarray, words: np.ndarray, size: np.ndarray) -> tuple:
         place = np.arange(len(row)) - np.searchsorted(row, row)
         total = np.concatenate([[0], np.cumsum(words)])
         out: list[list[np.ndarray]] = [[], [], [], []]
         for n, need in least.items():
             key, i = runs(h, row, n)
             long = total[i + n] - total[i] >= need
+            if n == 1:
+                long |= size[i] >= BYTES
             for c, v in zip(out, (row[i[long]], key[long].view(np.int64), place[i[long]], np.full(int(long.sum()), n)), strict=True):
                 c.append(v)
         return tuple(np.concatenate(c) for c in out)
