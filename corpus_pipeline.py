@@ -13,7 +13,7 @@ from marlstone.llm.bpe import default_tokenizer, encoded_digests
 from marlstone.llm.decontaminate import find_leaks
 from marlstone.llm.jaccard import jaccard_classes
 from marlstone.llm.langid import UNKNOWN, identify, train
-from marlstone.llm.line_dedup import dedup_lines
+from marlstone.llm.line_dedup import LINE, SHORT_RUN, dedup_lines
 from marlstone.llm.shared import documents, materialize
 
 #: A text is rejected if it has no letter, or if no language gets so much of the pooled probability.
@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of runs that occur before; those with nothing left go; n_chars is counted anew."""
-    cut = dedup_lines(docs).filter((F.col("n_removed_lines") == 0) | (F.trim("text") != ""))
+    """Documents without lines of runs, or long single lines, that occur before; those with nothing left go; n_chars is counted anew."""
+    cut = dedup_lines(docs, SHORT_RUN, LINE).filter((F.col("n_removed_lines") == 0) | (F.trim("text") != ""))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -4,7 +4,8 @@ A line's hash is of its trimmed text; blank lines don't count. In every window o
 ones the last), so two texts that share a run of RUN lines choose the same line of it: the fingerprint is guaranteed. Chosen
 lines are joined by hash over all documents, which drops lines that are in one place only. Around each match the RUN
 windows that hold it are compared, so that a match extends to both sides as far as the lines agree with an earlier
-place; a run of at least RUN lines that occurs before, in document order, is deleted where it comes later.
+place; a run of at least RUN lines that occurs before, in document order, is deleted where it comes later. Single lines
+that are long enough are their own fingerprints and need no neighbour.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.repeats import KEYS, later_ranges, remove_ranges, span_rows
 from marlstone.llm.shared import bound_batches, documents
-from marlstone.llm.shingles import runs
+from marlstone.llm.shingles import mixed, runs
 
 RUN = 3
+#: For whole tables: runs of two lines or more (longer ones are covered by theirs of two), and single lines of so many words or bytes.
+SHORT_RUN, LINE = 2, (5, 40)
 
 
 def winnow(h: np.ndarray, row: np.ndarray, run: int) -> np.ndarray:
@@ -33,7 +36,7 @@ def winnow(h: np.ndarray, row: np.ndarray, run: int) -> np.ndarray:
     return np.unique(best)
 
 
-def _fingerprints(run: int):
+def _fingerprints(run: int, line: tuple[int, int] | None):
     def spans(h: np.ndarray, row: np.ndarray, words: np.ndarray, size: np.ndarray) -> tuple:
         p = winnow(h, row, run)
         key, first = runs(h, row, run)
@@ -45,26 +48,34 @@ def _fingerprints(run: int):
         w = np.repeat(low, count) + np.arange(at[-1]) - np.repeat(at[:-1], count)
         index = np.searchsorted(first, w)
         windows = pa.ListArray.from_arrays(pa.array(at), pa.array(key[index].view(np.int64)))
-        return row[p], h[p].view(np.int64), (low - starts[p]).astype(np.int32), windows
+        of, key_of, place, n = row[p], h[p], low - starts[p], np.full(len(p), run)
+        if line:
+            one = np.flatnonzero((words >= line[0]) | (size >= line[1]))
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(one) + 1, dtype=np.int32)), pa.array(h[one].view(np.int64)))
+            windows = pa.concat_arrays([windows, own])
+            of, key_of = np.concatenate([of, row[one]]), np.concatenate([key_of, mixed(h[one])])
+            place, n = np.concatenate([place, one - starts[one]]), np.concatenate([n, np.ones(len(one), np.int64)])
+        return of, key_of.view(np.int64), place.astype(np.int32), n.astype(np.int32), windows
 
     return spans
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, line: tuple[int, int] | None = None) -> DataFrame:
     """docs(doc_id, text, ...) with later repeated runs of at least ``run`` lines cut out of text, n_lines and n_removed_lines.
 
+    line: (words, bytes) from which a single repeated line goes too; None: no single line goes.
     All rows and columns stay; a text that is wholly repeated becomes empty. Null texts stay null and texts with fewer than ``run`` lines
-    stay as they are. Ties: the smaller doc_id is the earlier one, null comes last; rows that agree in doc_id and text are alike.
+    stay as they are, but for such lines. Ties: the smaller doc_id is the earlier one, null comes last; rows that agree in doc_id and text are alike.
     Columns named as the counts are replaced. No rows give no rows.
     """
     bound_batches(docs.sparkSession)
-    prints = span_rows(docs, False, _fingerprints(run), [("line", pa.int64(), "long"), ("low", pa.int32(), "int"), ("windows", pa.list_(pa.int64()), "array<long>")])
+    prints = span_rows(docs, False, _fingerprints(run, line), [("line", pa.int64(), "long"), ("low", pa.int32(), "int"), ("n", pa.int32(), "int"), ("windows", pa.list_(pa.int64()), "array<long>")])
     here = F.struct(*KEYS, "low")
     shared = prints.groupBy("line").agg(F.min(here).alias("a"), F.max(here).alias("b")).filter("a <> b").select("line")
-    matched = prints.join(shared, "line").select(*KEYS, "low", F.posexplode("windows").alias("i", "key"))
-    spans = matched.select(*KEYS, "key", (F.col("low") + F.col("i")).alias("start"), F.lit(run).alias("n")).distinct()
+    matched = prints.join(shared, "line").select(*KEYS, "low", "n", F.posexplode("windows").alias("i", "key"))
+    spans = matched.select(*KEYS, "key", (F.col("low") + F.col("i")).alias("start"), "n").distinct()
     return remove_ranges(docs, later_ranges(spans), False, "n_lines", "n_removed_lines")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "text")
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), SHORT_RUN, LINE).select("doc_id", "n_lines", "n_removed_lines", "text")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from marlstone.llm import substring_dedup
+import corpus_pipeline
+from marlstone.llm import line_dedup, substring_dedup
 from tests.compare import DATA
 from tests.llm.odd import segments
 
@@ -44,3 +45,12 @@ def test_short_runs_of_sentences_go(spark):
     got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "X. Y.", 3: "Q. R.", 4: rows[3][1], 5: "w"}
     assert_whole(spark, substring_dedup.dedup_substrings, rows + [(i + 10, t) for i, t in table_rows(spark)], True, 50, 300, names)
+
+
+def test_short_runs_of_lines_and_long_lines_go(spark):
+    rows = [(1, "a\nb\nc\none two three four five\nz"), (2, "x\na\nb\ny"), (3, "one two three four five\ny\nc"), (4, "日本語" * 5 + "\nq"), (5, "日本語" * 5 + "\nc\nw")]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, table, DATA).collect()}
+    assert got == {1: rows[0][1], 2: "x\ny", 3: "y\nc", 4: rows[3][1], 5: "c\nw"}
+    op = lambda docs: line_dedup.dedup_lines(docs, line_dedup.SHORT_RUN, line_dedup.LINE)
+    assert_whole(spark, op, rows + [(i + 10, t) for i, t in table_rows(spark)], False, *line_dedup.LINE, ("n_lines", "n_removed_lines"))
