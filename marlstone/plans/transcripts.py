@@ -133,8 +133,9 @@ def selection_status(spark, d):
 
 
 def retrieve_top_k(spark, d):
+    """Every tenth vector asks; all vectors are searched, so that each finds itself as well."""
     e = A.table(spark, d, "embeddings").filter("embedding is not null and label is not null")
-    return C.retrieve_top_k(e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("q_id"), "embedding"), e.filter("vec_id % 10 <> 0").select("label", F.col("vec_id").alias("chunk_id"), "embedding"), "label")
+    return C.retrieve_top_k(e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("q_id"), "embedding"), e.select("label", F.col("vec_id").alias("chunk_id"), "embedding"), "label")
 
 
 QUOTAS = f"""WITH {A.POOL}, q AS (SELECT video, segment, greatest(round(avg(score) - coalesce(stddev_samp(score), 0), 9), 0) AS quality FROM pool GROUP BY ALL),
