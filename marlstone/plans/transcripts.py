@@ -53,7 +53,7 @@ def word_budget(spark, d):
 def numbered_lists(spark, d):
     """Each turn's sentences written as a numbered list, and read again in both ways."""
     listed = F.array_join(F.transform(F.split("text", r"\. "), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    one = _turns(spark, d).filter(~F.col("text").rlike(r"[0-9\n]")).withColumn("listed", listed)
+    one = _turns(spark, d).withColumn("listed", listed)
     return one.select("conv_id", "turn", F.size(X.parse_numbered_list(F.col("listed"))).alias("lines"), F.size(X.split_numbered(F.col("listed"))).alias("parts"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from marlstone.plans import registry
 from tests.compare import DATA
 
@@ -16,3 +18,18 @@ def test_every_vector_can_be_found(spark):
     got = {(r["q_id"], r["rank"]): (r["distance"], r["chunk_id"]) for r in registry.QUERIES["retrieve_top_k"](spark, DATA).collect()}
     assert got.keys() == want.keys() and any(i % 10 == 0 for _, i in got.values())
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+
+
+def test_every_turn_is_parsed(spark, tmp_path):
+    """Numbers within items, items over several lines, blank ones, and all turns of the table."""
+    turns = [(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()]
+    turns += [(-1, 0, "Use 2. 5 cups"), (-1, 1, "First\nsecond line. 3. third"), (-1, 2, "a. \n7. b. . c"), (-1, 3, ""), (-1, 4, None), (-1, 5, "v1.2 is out\n")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for conv, turn, text in turns:
+        if text is not None:
+            listed = "\n".join(f"{i}. {x}" for i, x in enumerate(text.split(". "), 1))
+            items = [m[1].strip() for x in listed.split("\n") if (m := re.match(r"\s*\d+\.\s*(.+)", x))]
+            want[conv, turn] = sum(x != "" for x in items), sum(x.strip() != "" for x in re.split(r"\d+\.\s*", listed))
+    got = {(r["conv_id"], r["turn"]): (r["lines"], r["parts"]) for r in registry.QUERIES["numbered_lists"](spark, str(tmp_path)).collect()}
+    assert got == want and any(a != b for a, b in got.values())
