@@ -89,7 +89,8 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int = 3) -> DataFrame:
     """(uid_a, uid_b, jaccard) of pairs whose questions share that much of their word shingles, by an equi-join on rare shingles.
 
-    Equal questions are one first. A question's prefix in order of frequency must meet a partner's, so common shingles are
+    Equal questions are one first, known by the least uid; each other uid of them comes as (least uid, uid, 1.0), so every uid that has an equal or
+    near one is in some row. Pairs of different questions are pairs of least uids. A question's prefix in order of frequency must meet a partner's, so common shingles are
     joined only where a question has no rarer ones.
     """
     words = F.filter(F.split(F.lower("question"), r"\s+"), lambda x: x != "")
@@ -98,7 +99,9 @@ def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int =
     for j in range(2, k + 1):
         runs = F.zip_with(runs, F.slice("w", j, F.size("w") - k + 1), lambda a, b: F.concat_ws(" ", a, b))
     grams = F.when(F.size("w") < k, F.array(F.array_join("w", " "))).otherwise(F.array_distinct(runs))
-    distinct = pairs.groupBy("question").agg(F.min("uid").alias("uid")).withColumn("w", words).filter(F.size("w") > 0).withColumn("g", grams)
+    least = pairs.filter("question is not null").groupBy("question").agg(F.min("uid").alias("uid"))
+    equal = pairs.join(least.withColumnRenamed("uid", "uid_a"), "question").filter("uid <> uid_a").select("uid_a", F.col("uid").alias("uid_b"), F.lit(1.0).alias("jaccard")).distinct()
+    distinct = least.withColumn("w", words).filter(F.size("w") > 0).withColumn("g", grams)
     tokens = distinct.select("uid", F.size("g").alias("n"), F.explode("g").alias("t"))
     df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     place = F.row_number().over(Window.partitionBy("uid").orderBy("f", "t"))
@@ -107,7 +110,14 @@ def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int =
     sets = distinct.select("uid", "g")
     both = pairs_.join(sets.withColumnsRenamed({"uid": "uid_a", "g": "ga"}), "uid_a").join(sets.withColumnsRenamed({"uid": "uid_b", "g": "gb"}), "uid_b")
     j = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
-    return both.select("uid_a", "uid_b", F.round(j, 6).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return both.select("uid_a", "uid_b", F.round(j, 6).alias("jaccard")).filter(F.col("jaccard") >= threshold).unionByName(equal)
+
+
+def near_duplicate_rate(pairs: DataFrame, threshold: float = 0.75, k: int = 3) -> DataFrame:
+    """(pairs, near_duplicates, share): one row, of all pairs with a question those that have an equal or near one among the others."""
+    found = near_duplicate_questions(pairs, threshold, k).select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct().withColumn("near", F.lit(1))
+    out = pairs.filter("question is not null").select("uid").join(found, "uid", "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("near").alias("near_duplicates"))
+    return out.withColumn("share", F.round(F.col("near_duplicates") / F.greatest("pairs", F.lit(1)), 6))
 
 
 def auto_index(manifest: DataFrame, order: str) -> DataFrame:

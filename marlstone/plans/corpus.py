@@ -93,9 +93,12 @@ def agent_time_rollup(spark, d):
     return C.agent_time_rollup(m, [1, 2])
 
 
+def _questions(spark, d):
+    return A.table(spark, d, "documents").filter("text is not null").selectExpr("CAST(doc_id AS STRING) AS uid", "text AS question")
+
+
 def near_duplicate_questions(spark, d):
-    docs = A.table(spark, d, "documents").filter("text is not null").selectExpr("CAST(doc_id AS STRING) AS uid", "text AS question")
-    return C.near_duplicate_questions(docs)
+    return C.near_duplicate_questions(_questions(spark, d))
 
 
 def length_profile(spark, d):
@@ -126,6 +129,7 @@ QUERIES = {
     "length_profile": length_profile,
     "compare_runs": compare_runs,
     "near_duplicate_questions": near_duplicate_questions,
+    "near_duplicate_rate": lambda s, d: C.near_duplicate_rate(_questions(s, d)),
     "parse_qa_pairs": parse_qa_pairs,
     "attach_timestamps": attach_timestamps,
     "parse_shortfall": parse_shortfall,

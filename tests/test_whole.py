@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from marlstone.operators import corpus
 from marlstone.plans import registry
 from tests.compare import DATA
 
@@ -33,3 +34,20 @@ def test_every_turn_is_parsed(spark, tmp_path):
             want[conv, turn] = sum(x != "" for x in items), sum(x.strip() != "" for x in re.split(r"\d+\.\s*", listed))
     got = {(r["conv_id"], r["turn"]): (r["lines"], r["parts"]) for r in registry.QUERIES["numbered_lists"](spark, str(tmp_path)).collect()}
     assert got == want and any(a != b for a, b in got.values())
+
+
+def test_exact_copies_are_near_duplicates(spark):
+    """Copies come with the least uid of theirs, with or without a near text; the share is over all rows."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [("a", "the same words here"), ("b", "the same words here"), ("c", "the same words here"), ("d", near), ("e", near + " x"), ("f", near), ("g", "alone it stands now"), ("h", None)]
+    table = spark.createDataFrame(rows, "uid string, question string")
+    got = {(r["uid_a"], r["uid_b"]): r["jaccard"] for r in corpus.near_duplicate_questions(table).collect()}
+    assert got == {("a", "b"): 1.0, ("a", "c"): 1.0, ("d", "f"): 1.0, ("d", "e"): 0.933333}
+    assert tuple(corpus.near_duplicate_rate(table).first()) == (7, 6, 0.857143)
+    docs = [(str(r["doc_id"]), r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("text is not null").collect()]
+    w = {u: t.lower().split() for u, t in docs}
+    grams = {u: {tuple(x[i : i + 3]) for i in range(len(x) - 2)} or {tuple(x)} - {()} for u, x in w.items()}
+    text = dict(docs)
+    count = sum(any(v != u and (text[u] == text[v] or g and round(len(g & h) / len(g | h), 6) >= 0.75) for v, h in grams.items()) for u, g in grams.items())
+    one = registry.QUERIES["near_duplicate_rate"](spark, DATA).first()
+    assert (one["pairs"], one["near_duplicates"]) == (len(docs), count)
