@@ -6,18 +6,21 @@ stay digits, letters letters of the same case, separators and country codes stay
 if they had one; addresses stay addresses; names keep title, script and the gender that the title tells.
 
 Collisions are looked for over the distinct entities of the whole table: of two entities with one surrogate, or where a
-surrogate is itself an entity of the table, the later one takes another attempt until none is left. Only these exceptions are
-joined back; where there are none, texts are rewritten in the scan without any shuffle of texts.
+surrogate is itself an entity of the table, the later one takes another attempt, with longer names from the third on. Where a
+form has too few values for that (four digits, one-letter addresses), the entities of that form swap theirs after ATTEMPTS rounds, so the
+rounds always end. Only these exceptions are joined back; where there are none, texts are rewritten in the scan without any shuffle of texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import documents, materialize
 
 KEY = "marlstone"
+#: Rounds after which forms that are still short of surrogates swap theirs.
+ATTEMPTS = 12
 #: Titles before names, by the gender they tell.
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Г-жа|госпожа"
@@ -111,13 +114,13 @@ def _from_stream(kind: Column, canon: Column, attempt: Column, s: Column) -> Col
     ip = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: (_number(s, i) % 254 + 1).cast("string")), ".")
 
     def name(script: str) -> Column:
-        part = lambda j: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _number(s, F.lit(j)) % len(SYLLABLES[script]) + 1)
+        part = lambda j: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), _number(s, j) % len(SYLLABLES[script]) + 1)
         end = F.lit("")
         for g, x in ENDS[script].items():
             end = F.when(kind == f"given_{g}", x).otherwise(end)
-        # names of one table can be many: surnames have six syllables' worth of choice once short ones run out
-        more = F.when(attempt > 2, F.concat(part(3), part(4))).otherwise(F.lit(""))
-        return F.concat(part(0), part(1), F.when(kind == "surname", part(2)).otherwise(F.lit("")), more, end)
+        # names of one table can be many: each attempt from the third on has a syllable more, up to 12
+        more = F.when(attempt > 2, F.array_join(F.transform(F.sequence(F.lit(3), F.least(attempt + 1, F.lit(14))), part), "")).otherwise(F.lit(""))
+        return F.concat(part(F.lit(0)), part(F.lit(1)), F.when(kind == "surname", part(F.lit(2))).otherwise(F.lit("")), more, end)
 
     # a stream has at least 16 numbers, whatever the length of the canonical form
     named = F.when(canon.rlike(r"\p{IsCyrillic}"), name("Cyrillic")).otherwise(name("Latin"))
@@ -150,10 +153,10 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def _exceptions(entities: DataFrame, key: str) -> DataFrame:
-    """(type, canon, attempt) of the entities whose first surrogate is taken."""
+    """(type, canon, to) of the entities whose first surrogate is taken."""
     family = F.regexp_replace("type", "^given_.$", "given")  # names of any gender must differ from each other
     entities = materialize(entities.select("type", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
-    while True:
+    for k in range(ATTEMPTS + 1):
         tried = entities.withColumn("to", surrogate(F.col("type"), F.col("canon"), F.col("attempt"), key)).withColumn("family", family)
         # attempts taken earlier win over later ones, then the smaller entity
         order = F.struct("attempt", "type", "canon")
@@ -163,29 +166,47 @@ def _exceptions(entities: DataFrame, key: str) -> DataFrame:
         losers = losers.unionByName(tried.join(real, ["family", "to"], "left_semi").select("type", "canon")).distinct().withColumn("lost", F.lit(1))
         losers = materialize(losers, "losers")
         if losers.isEmpty():
-            return entities.filter("attempt > 0")
+            return tried.filter("attempt > 0").select("type", "canon", "to")
+        if k == ATTEMPTS:
+            return _swapped(tried, losers, key)
         entities = materialize(entities.join(losers, ["type", "canon"], "left").select("type", "canon", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt")), "entities")
 
 
+def _swapped(tried: DataFrame, losers: DataFrame, key: str) -> DataFrame:
+    """(type, canon, to), where all entities of a loser's family and form take each other's canonical forms in a keyed circle.
+
+    Other forms' surrogates are no entities of the table and not of this form, so all stay distinct. An entity alone in its form keeps its last attempt.
+    """
+    form = F.when(F.col("family").isin("given", "surname", "ip"), "").otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace("canon", r"[0-9]", "0"), r"\p{IsCyrillic}", "б"), r"(?![0б])\p{L}", "a"))
+    formed = tried.withColumn("form", form)
+    full = formed.join(losers, ["type", "canon"], "left_semi").select("family", "form").distinct().withColumn("full", F.lit(1))
+    circle = Window.partitionBy("family", "form").orderBy(F.sha2(F.concat_ws("|", F.lit(key), "canon").cast("binary"), 256), "canon", "type")
+    rows = formed.join(full, ["family", "form"])
+    after = F.coalesce(F.lead("canon").over(circle), F.first("canon").over(circle))
+    swapped = rows.withColumn("after", after).select("type", "canon", F.when(F.col("after") == F.col("canon"), F.col("to")).otherwise(F.col("after")).alias("to"))
+    rest = formed.join(full, ["family", "form"], "left_anti").filter("attempt > 0").select("type", "canon", "to")
+    return materialize(swapped.unionByName(rest), "swapped")
+
+
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs(doc_id, text, ...) with surrogates in text, and n_entities, the number of matches replaced.
 
     Two different entities of a type never get one surrogate, an entity always gets the same one, and no surrogate is an entity of the
-    table. Null texts stay null with n_entities 0; empty texts and texts without entities stay as they are; repeated rows are alike. All
+    table, but where the entities of a form fill so much of its values that they swap theirs. Null texts stay null with n_entities 0; empty texts and texts without entities stay as they are; repeated rows are alike. All
     rows and columns stay; a column named n_entities is replaced. No rows give no rows. Long texts are rewritten whole.
     """
     found = _found(docs.drop("n_entities"))
     parts = found.filter(F.size("_found") > 0).select(F.explode("_found").alias("f")).select(F.explode("f.parts").alias("p")).select("p.type", "p.canon")
     odd = _exceptions(parts, key)
-    attempt = lambda p: F.lit(0)
+    other = lambda p: F.lit(None).cast("string")
     if not odd.isEmpty():
         name = F.concat_ws("|", "type", "canon")
         ids = found.filter(F.size("_found") > 0).select("doc_id", F.xxhash64("text").alias("h"), F.explode("_found").alias("f")).select("doc_id", "h", F.explode("f.parts").alias("p")).select("doc_id", "h", "p.type", "p.canon").distinct()
-        per = ids.join(odd, ["type", "canon"]).groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct(name.alias("k"), F.col("attempt").alias("v")))).alias("_odd"))
+        per = ids.join(odd, ["type", "canon"]).groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct(name.alias("k"), F.col("to").alias("v")))).alias("_odd"))
         per = per.withColumnsRenamed({"doc_id": "_odd_id", "h": "_odd_h"})
         found = found.join(per, F.col("doc_id").eqNullSafe(F.col("_odd_id")) & (F.xxhash64("text") == F.col("_odd_h")), "left").drop("_odd_id", "_odd_h")
-        attempt = lambda p: F.coalesce(F.try_element_at(F.col("_odd"), F.concat_ws("|", p["type"], p["canon"])), F.lit(0))
-    made = lambda f: F.transform(f["parts"], lambda p: surrogate(p["type"], p["canon"], attempt(p), key))
+        other = lambda p: F.try_element_at(F.col("_odd"), F.concat_ws("|", p["type"], p["canon"]))
+    made = lambda f: F.transform(f["parts"], lambda p: F.coalesce(other(p), surrogate(p["type"], p["canon"], F.lit(0), key)))
     # again an array of one, so that surrogates are made once for a match and not for each of its characters
     to = F.transform("_found", lambda f: F.transform(F.array(made(f)), lambda t: _written(f["m"], f["kind"], t))[0])
     gaps = F.split("text", PATTERN)

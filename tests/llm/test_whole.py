@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from marlstone.llm import line_dedup, substring_dedup
+from marlstone.llm import line_dedup, pii, substring_dedup
 from tests.compare import DATA
 from tests.llm.odd import segments
 
@@ -54,3 +54,12 @@ def test_short_runs_of_lines_and_long_lines_go(spark):
     assert got == {1: rows[0][1], 2: "x\ny", 3: "y\nc", 4: rows[3][1], 5: "c\nw"}
     op = lambda docs: line_dedup.dedup_lines(docs, line_dedup.SHORT_RUN, line_dedup.LINE)
     assert_whole(spark, op, rows + [(i + 10, t) for i, t in table_rows(spark)], False, *line_dedup.LINE, ("n_lines", "n_removed_lines"))
+
+
+def test_forms_with_few_values_end(spark):
+    """More than half of all numbers of three digits: no attempt can keep clear of real ones, so they swap."""
+    rows = spark.createDataFrame([(i, f"call +{i} now") for i in range(100, 900)] + [(1, "call +100 and +4917012345678")], "doc_id long, text string")
+    got = {r["doc_id"]: re.findall(r"\d+", r["text"]) for r in pii.replace_pii(rows).collect()}
+    assert len({got[i][0] for i in range(100, 900)}) == 800
+    assert all(len(got[i][0]) == 3 and got[i][0] != str(i) for i in range(100, 900))
+    assert got[1][0] == got[100][0] and got[1][1] != "4917012345678"
