@@ -1,19 +1,20 @@
-"""What the operators of this folder share: the shared scratch folder, and bounded Arrow batches."""
+"""What the operators of this folder share: the shared scratch folder, and workers that give their memory back."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new local one."""
+    """The folder of ``spark.checkpoint.dir``, which every executor must see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -25,6 +26,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read again: all that has been made of them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        mine = f"{scratch_dir(spark)}/marlstone/".split(":", 1)[-1].lstrip("/")
+        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles() if mine in f}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A worker's process outlives its task: what the task has freed goes back to the system for the next one."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def bound_batches(spark: SparkSession, rows: int = 512) -> None:
     """Few rows in an Arrow batch, as a text can be long; sizes of batches never change results."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
