@@ -10,7 +10,7 @@ prefixes are for m_x and m_y must share min(m_x, m_y) prefix tokens before it is
    time. A token that two sets of one piece of the input share is answered there, so a frequent one reaches its bucket once for each piece.
 2. ``_index``: over the sets left the exact frequency of each token; tokens of one set only come first in the order and
    are never shuffled again; then rarer ones first. Each set picks its own m by the estimated candidate cost.
-3. ``_linked``: the join of the prefixes. A token's sets are first joined to hubs, not to each other, so that a group of near copies
+3. ``_components``: the join of the prefixes. A token's sets are first joined to hubs, not to each other, so that a group of near copies
    gives a star and not all its pairs; stars that are linked contract to one component. What is left of a token are
    sets of different components, which are joined with each other. Hub or not, a pair is verified only if its prefixes share min(m)
    tokens, and no link between different components is skipped.
@@ -312,9 +312,9 @@ def _rest(live: DataFrame, postings: DataFrame, tokens: DataFrame, total: int) -
     return signed.filter(_may_link(_differ())).select("a", "b")
 
 
-def _linked(index: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links (a, b) that connect just the sets that all links connect."""
-    live, links = index.withColumn("component", F.col("set")), []
+def _components(index: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of the sets that verified links connect, component the least of them."""
+    live, links, components = index.withColumn("component", F.col("set")), None, None
     for k in range(ROUNDS + 1):
         postings = live.select("set", "component", "n", "m", (F.col("alone") / F.col("n")).alias("own"), "alone", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("alone") + F.col("i"))
         # hubs of a token: by turns of its sets in an order of its own, and at first a set with few tokens of its own, the middle of a group of copies
@@ -329,21 +329,16 @@ def _linked(index: DataFrame, sets: DataFrame) -> DataFrame:
         if not total:
             discard(tokens)
             break
-        pairs = (_stars if k < ROUNDS else _rest)(live, postings, tokens, total)
-        links.append(materialize(_verified(pairs, sets), "links"))
+        found = materialize(_verified((_stars if k < ROUNDS else _rest)(live, postings, tokens, total), sets), "links")
         discard(tokens)
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        components = connected_components(links)
         if k < ROUNDS:
-            components = connected_components(links[0] if len(links) == 1 else links[0].unionByName(links[1]))
             named = index.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-            if k:
-                discard(live)
             live = materialize(named, "named")
-    if not links:
-        return sets.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+    return sets.select(F.col("set").alias("node"), F.col("set").alias("component")).limit(0) if components is None else components
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -364,7 +359,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(able.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = materialize(_sets(texts), "sets")
     index = _index(sets)
-    components = connected_components(_linked(index, sets)).withColumnRenamed("node", "set")
+    components = _components(index, sets).withColumnRenamed("node", "set")
     firsts = per.select("set", F.col("doc_id").alias("first")).join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
     names = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(firsts.join(names, "component").select("set", "component_id"), "names")
