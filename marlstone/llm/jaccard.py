@@ -293,30 +293,27 @@ def _stars(live: DataFrame, postings: DataFrame, tokens: DataFrame, total: int)
     return best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest(live: DataFrame, postings: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
+def _rest(_: DataFrame, postings: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     """Candidates (a, b): sets of different components that share enough prefix tokens, in the places that both sizes leave for common ones.
 
     The sets of a token are dealt into groups of about GROUP on one side, and the other side goes to each of them.
     """
     groups = tokens.select("token", "f", F.ceil(F.col("f") / GROUP).cast("int").alias("groups"))
-    rows = _with_hot(postings.select("set", "component", "n", "m", "pos", "token"), groups, total, "f").drop("f")
-    sides = ("component", "n", "m", "pos")
+    rows = _with_hot(postings.select("set", "component", "n", "m", "pos", "sign", "token"), groups, total, "f").drop("f")
+    sides = ("component", "n", "m", "pos", "sign")
     a = rows.withColumn("group", F.pmod(F.xxhash64("set"), F.col("groups"))).select("token", F.col("group").cast("int").alias("group"), F.col("set").alias("a"), *(F.col(c).alias(c + "a") for c in sides))
     b = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("token", "group", F.col("set").alias("b"), *(F.col(c).alias(c + "b") for c in sides))
     # of this pair's common tokens, min(m) lie in prefixes that are as short as both sizes allow
     m = F.least("ma", "mb")
-    sized = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
-    near = sized & (F.col("posa") < F.col("na") - _common() + m) & (F.col("posb") < F.col("nb") - _common() + m) & (F.col("componenta") < F.col("componentb"))
-    counted = a.join(b, ["token", "group"]).filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(m).alias("m")).filter("hits >= m").select("a", "b")
-    signed = counted.join(_side(live, "a", "n", "sign"), "a").join(_side(live, "b", "n", "sign"), "b")
-    return signed.filter(_may_link(_differ())).select("a", "b")
+    near = _may_link(_differ()) & (F.col("posa") < F.col("na") - _common() + m) & (F.col("posb") < F.col("nb") - _common() + m) & (F.col("componenta") < F.col("componentb"))
+    return a.join(b, ["token", "group"]).filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(m).alias("m")).filter("hits >= m").select("a", "b")
 
 
 def _components(index: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of the sets that verified links connect, component the least of them."""
     live, links, components = index.withColumn("component", F.col("set")), None, None
     for k in range(ROUNDS + 1):
-        postings = live.select("set", "component", "n", "m", (F.col("alone") / F.col("n")).alias("own"), "alone", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("alone") + F.col("i"))
+        postings = live.select("set", "component", "n", "m", (F.col("alone") / F.col("n")).alias("own"), "alone", "sign", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("alone") + F.col("i"))
         # hubs of a token: by turns of its sets in an order of its own, and at first a set with few tokens of its own, the middle of a group of copies
         turn = lambda j: F.xxhash64("token", F.lit(j))
         mix = F.min(F.col("set").bitwiseXOR(turn(2 * k)))
