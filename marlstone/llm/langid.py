@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import bound_batches, documents
+from marlstone.llm.shared import documents, tidy
 from marlstone.llm.shingles import slices
 
 SEGMENT, HIDDEN, SAMPLE, WINDOWS, LANGUAGES = 48, 8, 256, 8, 200
@@ -184,7 +184,6 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru | None], at_once: in
     docs = docs.drop("lang_pred", "score")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.withColumns({"_letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), "lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     at_text, at_letters = rows.columns.index("text"), rows.columns.index("_letters")
@@ -206,7 +205,7 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru | None], at_once: in
             score = pa.array(np.where(known, pooled[np.arange(len(best)), best], 0.0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], names, score], schema=batch.schema)
 
-    return rows.mapInArrow(work, rows.schema).drop("_letters")
+    return rows.mapInArrow(tidy(work), rows.schema).drop("_letters")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

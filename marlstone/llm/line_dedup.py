@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.repeats import KEYS, later_ranges, remove_ranges, span_rows
-from marlstone.llm.shared import bound_batches, documents
+from marlstone.llm.shared import documents, materialize
 from marlstone.llm.shingles import mixed, runs
 
 RUN = 3
@@ -66,10 +66,10 @@ def dedup_lines(docs: DataFrame, run: int = RUN, line: tuple[int, int] | None =
     line: (words, bytes) from which a single repeated line goes too; None: no single line goes.
     All rows and columns stay; a text that is wholly repeated becomes empty. Null texts stay null and texts with fewer than ``run`` lines
     stay as they are, but for such lines. Ties: the smaller doc_id is the earlier one, null comes last; rows that agree in doc_id and text are alike.
-    Columns named as the counts are replaced. No rows give no rows.
+    Columns named as the counts are replaced; ``_doc``, ``_text_hash`` and ``_mark_*`` are lost. No rows give no rows.
     """
-    bound_batches(docs.sparkSession)
     prints = span_rows(docs, False, _fingerprints(run, line), [("line", pa.int64(), "long"), ("low", pa.int32(), "int"), ("n", pa.int32(), "int"), ("windows", pa.list_(pa.int64()), "array<long>")])
+    prints = materialize(prints, "prints")
     here = F.struct(*KEYS, "low")
     shared = prints.groupBy("line").agg(F.min(here).alias("a"), F.max(here).alias("b")).filter("a <> b").select("line")
     matched = prints.join(shared, "line").select(*KEYS, "low", "n", F.posexplode("windows").alias("i", "key"))

@@ -33,12 +33,14 @@ OP9 = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def _cut(breaks: str, counts: str, removed: str, spans: dict[int, int]) -> str:
-    """Segments that end behind ``breaks``, spans of them, and the texts without the segments of spans that occur before."""
+def _cut(breaks: str, counts: str, removed: str, words: int, size: int) -> str:
+    """Segments that end behind ``breaks``, runs of two of them (which cover every longer run) and single ones of so many words or bytes, and
+    the texts without the segments of runs that occur before."""
+    spans = (1, 2)
     grams = " UNION ALL ".join(
         f"SELECT doc_id, i, {n} AS n, s{''.join(f' || chr(1) || lead(s, {j}) OVER w' for j in range(1, n))} AS key, words{''.join(f' + lead(words, {j}) OVER w' for j in range(1, n))} AS words FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY i)" for n in spans
     )
-    need = " OR ".join(f"(n = {n} AND words >= {w})" for n, w in spans.items())
+    need = f"n > 1 OR words >= {words} OR strlen(key) >= {size}"
     return f"""WITH raw AS (SELECT doc_id, text, unnest(x) AS raw, unnest(range(1, len(x) + 1)) AS j FROM (SELECT doc_id, text, string_split(regexp_replace(text, '({breaks})', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL)),
  placed AS (SELECT *, SUM(length(raw)) OVER (PARTITION BY doc_id ORDER BY j) - length(ltrim(raw, {_WS})) AS start FROM raw),
  seg AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i, trim(raw, {_WS}) AS s, len(list_filter(string_split_regex(raw, '[\\x09-\\x0D ]+'), lambda x: x <> '')) AS words FROM placed WHERE trim(raw, {_WS}) <> ''),
@@ -50,5 +52,5 @@ def _cut(breaks: str, counts: str, removed: str, spans: dict[int, int]) -> str:
  SELECT d.doc_id, coalesce({counts}, 0) AS {counts}, coalesce({removed}, 0) AS {removed}, CASE WHEN {removed} > 0 THEN CASE WHEN last THEN rtrim(kept, {_WS}) ELSE kept END ELSE d.text END AS text FROM documents d LEFT JOIN one USING (doc_id)"""
 
 
-OP10 = _cut("\\n", "n_lines", "n_removed_lines", {3: 0})
-OP5 = _cut("\\n|[.!?][\\x09-\\x0D ]", "n_sentences", "n_removed_sentences", {3: 15, 2: 25, 1: 50})
+OP10 = _cut("\\n", "n_lines", "n_removed_lines", 5, 40)
+OP5 = _cut("\\n|[.!?][\\x09-\\x0D ]", "n_sentences", "n_removed_sentences", 50, 300)

@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marlstone.llm.shared import tidy
 from marlstone.llm.shingles import segments, slices
 
 LAST = (1 << 63) - 1
@@ -37,7 +39,7 @@ def span_rows(docs: DataFrame, sentences: bool, spans: Callable, fields: list[tu
                 yield pa.RecordBatch.from_arrays([pa.array(doc[of + first]), pa.array(text_hash[of + first]), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t, _) in zip(columns, fields, strict=True))], names=[*KEYS, *(n for n, _, _ in fields)])
 
     ddl = ", ".join(["doc long", "text_hash long", *(f"{n} {d}" for n, _, d in fields)])
-    return keyed(docs).select("_doc", "_text_hash", "text").mapInArrow(work, ddl)
+    return keyed(docs).select("_doc", "_text_hash", "text").mapInArrow(tidy(work), ddl)
 
 
 def later_ranges(spans: DataFrame) -> DataFrame:
@@ -55,37 +57,43 @@ def later_ranges(spans: DataFrame) -> DataFrame:
     return cut.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
+def _without(raw: bytes, begin: list[int], drop: np.ndarray) -> str:
+    """A text without the segments that begin at such places and are to go; what stands before the first one stays."""
+    ends = [*begin[1:], len(raw)]
+    whole = b"".join([raw[: begin[0]], *(raw[a:e] for a, e, d in zip(begin, ends, drop.tolist(), strict=True) if not d)])
+    return (whole.rstrip() if drop[-1] else whole).decode()
+
+
 def remove_ranges(docs: DataFrame, ranges: DataFrame, sentences: bool, total: str, removed: str) -> DataFrame:
-    """docs with the segments of ``ranges`` cut out of ``text``, and counts of segments before and of those removed."""
-
-    @F.pandas_udf(f"text string, {total} long, {removed} long")
-    def cut(text, found):
-        import pandas as pd
-
-        out, totals, gone = text.tolist(), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-        arr = pa.array(text, pa.large_string(), from_pandas=True)
-        for first, last, at, data in slices(arr):
-            _, start, _, row, _ = segments(at, data, sentences)
-            totals[first:last] = np.bincount(row, minlength=last - first)
-            for k in range(first, last):
-                if found.iloc[k] is None or not len(found.iloc[k]):
-                    continue
-                begin = start[np.searchsorted(row, k - first) : np.searchsorted(row, k - first, "right")]
-                drop = np.zeros(len(begin), bool)
-                for r in found.iloc[k]:
-                    drop[r["start"] : r["end"]] = True
-                gone[k] = drop.sum()
-                ends = np.append(begin[1:], at[k - first + 1])
-                raw = data[at[k - first] : at[k - first + 1]].tobytes()
-                base = at[k - first]
-                kept = [raw[: (begin[0] if len(begin) else at[k - first + 1]) - base]]
-                kept += [raw[a - base : e - base] for a, e, d in zip(begin.tolist(), ends.tolist(), drop.tolist(), strict=True) if not d]
-                whole = b"".join(kept)
-                out[k] = (whole.rstrip() if drop[-1] else whole).decode()
-        return pd.DataFrame({"text": out, total: totals, removed: gone})
-
-    rows = keyed(docs.drop(total, removed))
+    """docs with the segments of ``ranges`` cut out of ``text``, and counts of segments before and of those removed.
+
+    Columns of docs named _doc, _text_hash or _mark_* are lost.
+    """
+    docs = docs.drop(total, removed, "_doc", "_text_hash", "_mark_doc", "_mark_hash", "_mark_ranges")
+    schema = T.StructType([*docs.schema.fields, T.StructField(total, T.LongType()), T.StructField(removed, T.LongType())])
+    where = docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, last, at, data in slices(b.column(where)):
+                part = b.slice(first, last - first)
+                *columns, found = part.columns
+                _, start, _, row, _ = segments(at, data, sentences)
+                totals, gone = np.bincount(row, minlength=last - first), np.zeros(last - first, np.int64)
+                if found.null_count < len(found):
+                    texts = columns[where].to_pylist()
+                    for k in np.flatnonzero(found.is_valid()).tolist():
+                        begin = start[np.searchsorted(row, k) : np.searchsorted(row, k, "right")] - at[k]
+                        drop = np.zeros(len(begin), bool)
+                        for r in found[k].as_py():
+                            drop[r["start"] : r["end"]] = True
+                        gone[k] = drop.sum()
+                        if gone[k]:
+                            texts[k] = _without(data[at[k] : at[k + 1]].tobytes(), begin.tolist(), drop)
+                    columns[where] = pa.array(texts, columns[where].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+
     marks = ranges.withColumnsRenamed({"doc": "_mark_doc", "text_hash": "_mark_hash", "ranges": "_mark_ranges"})
+    rows = keyed(docs)
     joined = rows.join(marks, (F.col("_doc") == F.col("_mark_doc")) & (F.col("_text_hash") == F.col("_mark_hash")), "left")
-    joined = joined.withColumn("_cut", cut("text", "_mark_ranges"))
-    return joined.withColumns({"text": F.col("_cut.text"), total: F.col(f"_cut.{total}"), removed: F.col(f"_cut.{removed}")}).drop("_cut", "_doc", "_text_hash", "_mark_doc", "_mark_hash", "_mark_ranges")
+    return joined.select(*docs.columns, "_mark_ranges").mapInArrow(tidy(cut), schema)

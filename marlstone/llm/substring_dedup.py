@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.repeats import BYTES, later_ranges, remove_ranges, span_rows
-from marlstone.llm.shared import bound_batches, documents
+from marlstone.llm.shared import documents
 from marlstone.llm.shingles import runs
 
 #: Sentences of a span -> words that it must have; single sentences of BYTES bytes count as well.
@@ -41,9 +41,9 @@ def dedup_substrings(docs: DataFrame, least: dict[int, int] | None = None) -> Da
 
     A sentence ends at a line feed, or at white space after one of ``.!?``. The first occurrence, by doc_id (null last) and place, stays whole.
     All rows and columns stay; a text that is wholly repeated becomes empty; null texts stay null; short texts stay as they are; rows that
-    agree in doc_id and text are alike. Columns named as the counts are replaced. No rows give no rows.
+    agree in doc_id and text are alike. Columns named as the counts are replaced; ``_doc``, ``_text_hash`` and
+    ``_mark_*`` are lost. No rows give no rows.
     """
-    bound_batches(docs.sparkSession)
     spans = span_rows(docs, True, _spans(least or SPANS), [("key", pa.int64(), "long"), ("start", pa.int32(), "int"), ("n", pa.int32(), "int")])
     return remove_ranges(docs, later_ranges(spans), True, "n_sentences", "n_removed_sentences")
 

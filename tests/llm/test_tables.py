@@ -110,13 +110,13 @@ def test_pipeline(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from marlstone.llm import decontaminate, langid
-    from tests.llm.odd import cut
+    from marlstone.llm import decontaminate, langid, line_dedup
+    from tests.llm.test_whole import whole
 
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     found = langid.identify(table, langid.train(table)).collect()
     docs = sorted((r["doc_id"], r["text"]) for r in found if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE)
-    lines = cut(docs, False, {3: 0})
+    lines = whole(docs, False, 2, *line_dedup.LINE)
     docs = [(i, t) for i, t in docs if not lines[i, t][1] or lines[i, t][2]]
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, table.filter(table["doc_id"].isin([i for i, _ in docs])), DATA).collect()}
     assert all(re.split(r"\s*\n\s*", kept[i].strip()) == lines[i, t][2] for i, t in docs)
