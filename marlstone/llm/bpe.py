@@ -164,6 +164,12 @@ class Bpe:
         order = np.argsort(of, kind="stable")
         return ids[order], of[order]
 
+    def exact(self, word: bytes) -> list[int]:
+        return self._exact([word])[0].tolist()
+
+    def bytes_of(self, token: int) -> bytes:
+        return self.raw[self.at[token] : self.at[token + 1]].tobytes()
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         found = self.pairs.get(a * self.size + b).astype(np.int64)
         return np.where(found < 0, len(self.made), found)

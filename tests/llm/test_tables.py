@@ -85,6 +85,22 @@ def test_vectors(spark):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_distant_intervals_are_skipped(spark):
+    """Vectors with three strong directions: most pairs of leaves are skipped, and no link is lost."""
+    r = np.random.default_rng(5)
+    x = np.hstack([r.standard_normal((1500, 3)), 0.05 * r.standard_normal((1500, 29))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    eps = np.sqrt(2 - 2 * 0.98)
+    placed = embeddings._sequence(embeddings._units(df), eps, 16)
+    near = embeddings.near_leaves(placed, eps)
+    leaves = placed.select("leaf").distinct().count()
+    assert leaves == -(-1500 // 16) and near.count() < 0.5 * leaves * (leaves + 1) / 2
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    got = {v["vec_id"]: v["n_links"] for v in embeddings.near_duplicate_vectors(df, 0.98, 16).collect()}
+    assert [got[i] for i in range(1500)] == links.tolist()
+
+
 def test_shards(spark):
     docs = documents(spark, TEXTS + [(100 + i, f"text {i % 7} " * (i % 50)) for i in range(400)] + [(None, "same")] * 3)
     rows = sharding.histogram_shards(docs).collect()
