@@ -19,15 +19,23 @@ OP7 = f"""WITH RECURSIVE pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embe
 
 _ESC = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
 _LINE = f"'<|im_start|>' || replace({_ESC.format('role')}, chr(10), '\\' || chr(10)) || chr(10) || {_ESC.format('text')} || '<|im_end|>' || chr(10)"
-OP9 = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+OP9 = f"""WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
  l AS (SELECT *, {_LINE} AS line, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
- p AS (SELECT *, coalesce(SUM((strlen(line) + 3) // 4 + 4) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2048 AS win FROM l),
- opens AS (SELECT conv_id, win, MIN(place) AS first FROM p GROUP BY ALL),
- shown AS (SELECT p.conv_id, length(line) AS n FROM p UNION ALL SELECT o.conv_id, length(h.line) FROM opens o JOIN p h ON h.conv_id = o.conv_id AND h.place BETWEEN o.first - 2 AND o.first - 1
-   UNION ALL SELECT o.conv_id, length(s.line) FROM opens o JOIN p s ON s.conv_id = o.conv_id AND s.place = 1 AND s.role = 'system' AND o.first > 3),
- chars AS (SELECT conv_id, CAST(SUM(n) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id),
+ tok AS (SELECT *, (strlen(line) + 3) // 4 + 4 AS tok FROM l),
+ p AS (SELECT *, CAST(SUM(tok) OVER v AS BIGINT) AS upto, lag(tok, 1) OVER v AS t1, lag(tok, 2) OVER v AS t2, first_value(role) OVER v = 'system' AS has, first_value(tok) OVER v AS first_tok FROM tok WINDOW v AS (PARTITION BY conv_id ORDER BY place)),
+ -- what a window that opens at this turn starts with: the system turn, and up to two turns before
+ o AS (SELECT *, CASE WHEN has AND place > 1 THEN first_tok ELSE 0 END AS sys, place - 1 - CASE WHEN has THEN 1 ELSE 0 END AS free FROM p),
+ h AS (SELECT *, CASE WHEN free >= 2 AND sys + t1 + t2 + tok <= 256 THEN 2 WHEN free >= 1 AND sys + t1 + tok <= 256 THEN 1 ELSE 0 END AS hist FROM o),
+ g AS (SELECT *, greatest(upto, 256 - sys - CASE hist WHEN 2 THEN t1 + t2 WHEN 1 THEN t1 ELSE 0 END + upto - tok) AS lim FROM h),
+ w(conv_id, place, win, lim, opens) AS (SELECT conv_id, place, 0, lim, TRUE FROM g WHERE place = 1
+   UNION ALL SELECT g.conv_id, g.place, CASE WHEN g.upto <= w.lim THEN w.win ELSE w.win + 1 END, CASE WHEN g.upto <= w.lim THEN w.lim ELSE g.lim END, g.upto > w.lim FROM w JOIN g ON g.conv_id = w.conv_id AND g.place = w.place + 1),
+ placed AS (SELECT g.*, w.win, w.opens FROM w JOIN g USING (conv_id, place)),
+ shown AS (SELECT conv_id, win, length(line) AS n, tok FROM placed UNION ALL SELECT a.conv_id, a.win, length(x.line), x.tok FROM placed a JOIN placed x ON x.conv_id = a.conv_id AND x.place BETWEEN a.place - a.hist AND a.place - 1 WHERE a.opens
+   UNION ALL SELECT a.conv_id, a.win, length(x.line), x.tok FROM placed a JOIN placed x ON x.conv_id = a.conv_id AND x.place = 1 WHERE a.opens AND a.has AND a.place > 1),
+ sizes AS (SELECT conv_id, win, SUM(n) AS n, SUM(tok) AS tok FROM shown GROUP BY ALL),
+ chars AS (SELECT conv_id, CAST(SUM(n) AS BIGINT) AS formatted_chars, COUNT(*) AS n_windows, CAST(MAX(tok) AS BIGINT) AS largest_window FROM sizes GROUP BY conv_id),
  whole AS (SELECT conv_id, COUNT(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM l GROUP BY conv_id)
- SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole JOIN chars USING (conv_id)"""
+ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows, largest_window FROM whole JOIN chars USING (conv_id)"""
 
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
