@@ -11,12 +11,12 @@ new one, without history. Only new assistant turns are under the loss mask, so e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY = 2048, 2
 #: The registered query's budget: most conversations of the tables are several times as long.
-QUERY_BUDGET = 256
+QUERY_BUDGET = 640
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -66,10 +66,11 @@ def format_windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), given.alias("given"))
     rows = rows.withColumn("lead", F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n")))
     rows = rows.withColumn("line", F.concat("lead", escaped(F.col("text")), F.lit(END)))
-    turn = F.struct("turn", "role", "text", F.coalesce("given", approximate_tokens(F.col("line"))).alias("tokens"), F.length("lead").alias("lead"), "line")
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    sums = F.aggregate("t", F.array().cast("array<bigint>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + x["tokens"]))
-    whole = whole.withColumn("upto", sums)
+    rows = rows.withColumn("tokens", F.coalesce("given", approximate_tokens(F.col("line"))))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.struct("turn", "role", "text", "tokens", "upto", F.length("lead").alias("lead"), "line")
+    whole = rows.withColumn("upto", F.sum("tokens").over(order)).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    whole = whole.withColumn("upto", F.col("t.upto"))
     windows = whole.withColumn("opened", _opened(budget, history)).select("conv_id", "t", F.posexplode("opened").alias("window", "w"))
 
     def shown(kind: str, first: Column, count: Column) -> Column:

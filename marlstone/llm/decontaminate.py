@@ -1,12 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits in lower case. Running Karp-Rabin hashes of all windows of TILE words give the
-seeds that a document and a benchmark item share; seeds on one diagonal are a match. The longest match of unmarked
-words is marked again and again (ties: first in the item, then in the document) until none of TILE words is left. The
-marked share of an item's words is its coverage, whatever the order of the tiles in the document.
-
-The benchmark is broadcast in blocks of at most about BLOCK words, each a pass over the documents, so what is broadcast never
-grows with it. Documents are never shuffled.
+Words are runs of letters, marks and digits of any script in lower case; a character of a script that is written without spaces is a word.
+Running Karp-Rabin hashes of all windows of TILE words give the seeds that a document and a benchmark item share; seeds on one diagonal
+are a match. The longest match of unmarked words is marked again and again (ties: first in the item, then in the document) until
+none of TILE words is left. The marked share of an item's words is its coverage, whatever the order of the tiles in the document.
+An item of fewer words is one window.
+
+The benchmark is broadcast in blocks of at most about BLOCK words (an item is never parted), so what is broadcast never grows with it. Of
+several blocks each is a pass over the documents that writes the few that leak. Documents are never shuffled if there is one block.
 """
 
 from __future__ import annotations
@@ -15,15 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.shared import bound_batches, documents
+from marlstone.llm.shared import documents, materialize, tidy
 from marlstone.llm.shingles import PUNCTUATION, buffers, runs, slices, words
 
 TILE, COVERAGE, BLOCK = 5, 0.6, 1_000_000
 _BITS = 20
+#: Scripts that are written without spaces.
+DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("covered", T.IntegerType()), T.StructField("words", T.IntegerType())]))
+
+
+def folded(c: Column) -> Column:
+    """The text in lower case with its words parted by what isn't a letter; ASCII texts are left to the hashing of words, which does the same."""
+    parted = F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " ")
+    dense = F.when(parted.rlike(DENSE), F.regexp_replace(parted, f"({DENSE})", " $1 ")).otherwise(parted)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), dense).otherwise(c)
 
 
 def tiles(doc_at: np.ndarray, item_at: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
@@ -46,71 +57,92 @@ def tiles(doc_at: np.ndarray, item_at: np.ndarray, tile: int) -> list[tuple[int,
 
 
 class _Block:
-    """A part of the benchmark: its seeds in order, with item and place, and a table of bits that most windows fail."""
+    """A part of the benchmark: for each length of windows its seeds in order, with item and place, and a table of bits that most windows fail."""
 
     def __init__(self, rows: list, tile: int):
         self.ids = [r["item_id"] for r in rows]
-        at, data = buffers(pa.array([r["text"] for r in rows], pa.string()))
-        h, _, row = words(at, data, PUNCTUATION)
+        h, _, row = words(*buffers(pa.array([r["text"] for r in rows], pa.string())), PUNCTUATION)
         self.sizes = np.bincount(row, minlength=len(rows))
-        seed, i = runs(h, row, tile)
-        order = np.argsort(seed, kind="stable")
-        self.seed, i = seed[order], i[order]
-        self.item = row[i]
-        self.place = i - np.searchsorted(row, row[i])
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[self.seed >> np.uint64(64 - _BITS)] = True
+        self.seeds = {}
+        for k in sorted({min(tile, n) for n in self.sizes.tolist() if n}):
+            seed, i = runs(h, row, k)
+            own = self.sizes[row[i]] == k if k < tile else self.sizes[row[i]] >= k
+            seed, i = seed[own], i[own]
+            order = np.argsort(seed, kind="stable")
+            seed, i = seed[order], i[order]
+            maybe = np.zeros(1 << _BITS, bool)
+            maybe[seed >> np.uint64(64 - _BITS)] = True
+            self.seeds[k] = seed, row[i], i - np.searchsorted(row, row[i]), maybe
+
+    def leaks(self, h: np.ndarray, row: np.ndarray, coverage: float) -> Iterator[tuple[int, dict]]:
+        """(row, leak) of the texts whose words have such hashes."""
+        for k, (seeds, items, places, maybe) in self.seeds.items():
+            seed, i = runs(h, row, k)
+            hit = np.flatnonzero(maybe[seed >> np.uint64(64 - _BITS)])
+            low, high = np.searchsorted(seeds, seed[hit]), np.searchsorted(seeds, seed[hit], "right")
+            count = high - low
+            where, total = np.repeat(i[hit], count), int(count.sum())
+            if not total:
+                continue
+            of = np.repeat(low, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+            pair = row[where].astype(np.int64) * len(self.ids) + items[of]
+            order = np.argsort(pair, kind="stable")
+            pair, where, place = pair[order], where[order], places[of][order]
+            cuts = np.flatnonzero(np.diff(pair)) + 1
+            for p, w, q in zip(pair[np.append(0, cuts)].tolist(), np.split(where, cuts), np.split(place, cuts), strict=True):
+                r, item = divmod(p, len(self.ids))
+                n = int(self.sizes[item])
+                if len(np.unique(q)) * k >= coverage * n:  # as much as seeds can cover
+                    covered = sum(x for _, _, x in tiles(w, q, k))
+                    if covered >= coverage * n:
+                        yield r, {"item_id": self.ids[item], "covered": covered, "words": n}
+
+
+def _with_leaks(docs: DataFrame, items: DataFrame, tile: int, coverage: float) -> DataFrame:
+    """docs(..., _folded) with leaks in place of _folded, for the items of one block."""
+    rows = sorted(items.collect(), key=lambda r: (r["item_id"] is not None, r["item_id"], r["text"]))
+    shared = docs.sparkSession.sparkContext.broadcast(_Block(rows, tile))
+    where = docs.columns.index("_folded")
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "_folded"), T.StructField("leaks", LEAKS)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.int32()), ("words", pa.int32())]))
+        for b in batches:
+            for first, last, at, data in slices(b.column(where)):
+                h, _, row = words(at, data, PUNCTUATION)
+                leaks: list[list] = [[] for _ in range(last - first)]
+                for r, leak in shared.value.leaks(h, row, coverage):
+                    leaks[r].append(leak)
+                part = b.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(part.columns) if k != where), pa.array(leaks, kind)], names=schema.names)
+
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     """docs with ``leaks``: array<struct(item_id, covered, words)> of the benchmark items whose covered words are at least ``coverage`` of theirs.
 
-    All rows and columns stay; a column named leaks is replaced. Null and empty texts have no leaks; null and empty items and items of
-    fewer than ``tile`` words leak nowhere. Items with equal texts or ids are listed one by one, by item_id (null first). Repeated rows are alike; an
-    empty benchmark gives empty arrays, no documents no rows.
+    All rows and columns stay; a column named leaks is replaced, columns named _folded, _leak_id or _leak_h are lost. Null and empty texts have no
+    leaks; null items and items without words leak nowhere; an item of fewer than ``tile`` words leaks where it stands whole. Items with equal
+    texts or ids are listed one by one. Letters are compared as they are encoded, without Unicode normalization. Repeated rows are
+    alike; an empty benchmark gives empty arrays, no documents no rows. Texts of any length are read whole.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("covered", T.IntegerType()), T.StructField("words", T.IntegerType())]))
-    out = docs.drop("leaks").withColumn("leaks", F.array().cast(kind))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    docs = docs.drop("leaks", "_folded", "_leak_id", "_leak_h")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), folded(F.col("text")).alias("text")).filter("text is not null")
     n_blocks = 1 + int(items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) // block
-    at_text, schema = out.columns.index("text"), out.schema
+    wide = docs.withColumn("_folded", folded(F.col("text")))
+    if n_blocks == 1:
+        return _with_leaks(wide, items, tile, coverage)
+    h = F.xxhash64("text")
+    narrow = docs.select(F.col("doc_id").alias("_leak_id"), h.alias("_leak_h"), folded(F.col("text")).alias("_folded"))
+    found = None
     for k in range(n_blocks):
-        part = _Block(sorted(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect(), key=lambda r: (r["item_id"] is not None, r["item_id"], r["text"])), tile)
-        if not len(part.seed):
-            continue
-        shared = spark.sparkContext.broadcast(part)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bm: _Block = shared.value
-            for b in batches:
-                leaks: list[list] = [x or [] for x in b.column(len(b.columns) - 1).to_pylist()]
-                for first, _, at, data in slices(b.column(at_text)):
-                    h, _, row = words(at, data, PUNCTUATION)
-                    seed, i = runs(h, row, tile)
-                    hit = np.flatnonzero(bm.maybe[seed >> np.uint64(64 - _BITS)])
-                    low, high = np.searchsorted(bm.seed, seed[hit]), np.searchsorted(bm.seed, seed[hit], "right")
-                    count = high - low
-                    where, total = np.repeat(i[hit], count), int(count.sum())
-                    if not total:
-                        continue
-                    of = np.repeat(low, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-                    pair = row[where].astype(np.int64) * len(bm.ids) + bm.item[of]
-                    order = np.argsort(pair, kind="stable")
-                    pair, where, place = pair[order], where[order], bm.place[of][order]
-                    cuts = np.flatnonzero(np.diff(pair)) + 1
-                    for p, w, q in zip(pair[np.append(0, cuts)].tolist(), np.split(where, cuts), np.split(place, cuts), strict=True):
-                        r, item = divmod(p, len(bm.ids))
-                        n = int(bm.sizes[item])
-                        if len(np.unique(q)) * tile >= coverage * n:  # as much as seeds can cover
-                            covered = sum(x for _, _, x in tiles(w, q, tile))
-                            if covered >= coverage * n:
-                                leaks[first + r].append({"item_id": bm.ids[item], "covered": covered, "words": n})
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(leaks, b.schema.field(len(b.columns) - 1).type)], schema=b.schema)
-
-        out = out.mapInArrow(work, schema)
-    return out
+        own = _with_leaks(narrow, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k), tile, coverage)
+        own = materialize(own.filter(F.size("leaks") > 0).dropDuplicates(["_leak_id", "_leak_h"]), "leaks")
+        found = own if found is None else found.unionByName(own)
+    found = found.groupBy("_leak_id", "_leak_h").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (h == F.col("_leak_h")), "left")
+    return joined.withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS))).drop("_leak_id", "_leak_h")
 
 
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ OP9 = f"""WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role,
  p AS (SELECT *, CAST(SUM(tok) OVER v AS BIGINT) AS upto, lag(tok, 1) OVER v AS t1, lag(tok, 2) OVER v AS t2, first_value(role) OVER v = 'system' AS has, first_value(tok) OVER v AS first_tok FROM tok WINDOW v AS (PARTITION BY conv_id ORDER BY place)),
  -- what a window that opens at this turn starts with: the system turn, and up to two turns before
  o AS (SELECT *, CASE WHEN has AND place > 1 THEN first_tok ELSE 0 END AS sys, place - 1 - CASE WHEN has THEN 1 ELSE 0 END AS free FROM p),
- h AS (SELECT *, CASE WHEN free >= 2 AND sys + t1 + t2 + tok <= 256 THEN 2 WHEN free >= 1 AND sys + t1 + tok <= 256 THEN 1 ELSE 0 END AS hist FROM o),
- g AS (SELECT *, greatest(upto, 256 - sys - CASE hist WHEN 2 THEN t1 + t2 WHEN 1 THEN t1 ELSE 0 END + upto - tok) AS lim FROM h),
+ h AS (SELECT *, CASE WHEN free >= 2 AND sys + t1 + t2 + tok <= 640 THEN 2 WHEN free >= 1 AND sys + t1 + tok <= 640 THEN 1 ELSE 0 END AS hist FROM o),
+ g AS (SELECT *, greatest(upto, 640 - sys - CASE hist WHEN 2 THEN t1 + t2 WHEN 1 THEN t1 ELSE 0 END + upto - tok) AS lim FROM h),
  w(conv_id, place, win, lim, opens) AS (SELECT conv_id, place, 0, lim, TRUE FROM g WHERE place = 1
    UNION ALL SELECT g.conv_id, g.place, CASE WHEN g.upto <= w.lim THEN w.win ELSE w.win + 1 END, CASE WHEN g.upto <= w.lim THEN w.lim ELSE g.lim END, g.upto > w.lim FROM w JOIN g ON g.conv_id = w.conv_id AND g.place = w.place + 1),
  placed AS (SELECT g.*, w.win, w.opens FROM w JOIN g USING (conv_id, place)),

@@ -71,13 +71,26 @@ def test_tiling(spark, docs):
     half = " ".join(words[:12]) + " but then something else"
     rows = documents(spark, [*TEXTS, (30, moved), (31, half), (32, PASSAGE.upper())])
     got = {r["doc_id"]: sorted(str(x["item_id"]) for x in r["leaks"]) for r in decontaminate.find_leaks(rows, bm).collect()}
-    assert {k for k, v in got.items() if v} == {14, 15, 30, 32} and got[30] == ["1", "None"]
+    assert {k for k, v in got.items() if v} == {14, 15, 30, 32} and got[30] == ["1", "None"]  # item 3 of two words stands nowhere
     blocks = {r["doc_id"]: sorted(str(x["item_id"]) for x in r["leaks"]) for r in decontaminate.find_leaks(rows, bm, block=20).collect()}
     assert blocks == got
     assert decontaminate.find_leaks(rows.limit(0), bm).count() == 0
     assert decontaminate.find_leaks(rows, bm.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_tiling_in_any_script(spark):
+    """Case of any letters, quotation marks of any kind, scripts without spaces, and items of few words."""
+    bm = [(1, "École était fermée à Noël par décision du préfet"), (2, "今天天气很好我们一起去公园散步然后回家吃饭"), (3, "Short item here"), (4, "Привет как дела сегодня утром в Москве"), (5, "。。"), (6, "ภาษาไทยไม่มีช่องว่างระหว่างคำ")]
+    docs = [
+        (1, "xx “ÉCOLE ÉTAIT FERMÉE À NOËL PAR DÉCISION DU PRÉFET” yy"), (2, "前面的话" + bm[1][1] + "后面的话"), (3, "a short ITEM, here!"), (4, "«ПРИВЕТ, КАК ДЕЛА СЕГОДНЯ УТРОМ В МОСКВЕ?»"), (5, "short items here 。。 今天"),
+        (6, "我们一起去公园散步。今天天气很好。"), (7, None), (8, ""), (9, "x" + bm[5][1]), (10, "école 今天 привет"),
+    ]
+    docs, bm = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bm, "item_id long, text string")
+    for block in (1000, 10):
+        got = {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"]) for r in decontaminate.find_leaks(docs, bm, block=block).collect()}
+        assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [2], 7: [], 8: [], 9: [6], 10: []}
+
+
 def test_tiles_are_greedy():
     """Against marking the longest common unmarked run again and again, over words themselves."""
     r = random.Random(4)
