@@ -2,8 +2,8 @@
 
 The network reads segments of SEGMENT bytes in both directions, gives every byte's position a distribution over the languages, and a
 document the mean of these over all positions of its whole text. It is trained in numpy by backpropagation through time, with
-a loss at every position, on a bounded sample: at most SAMPLE documents a language with WINDOWS segments each, spread over the
-whole text, of at most LANGUAGES languages (the most frequent). Everything else covers all rows, in one scan without a shuffle.
+a loss at every position, on a bounded sample: at most SAMPLE documents a language, and about ROWS in all (one of each language at
+least), with WINDOWS segments each, spread over the whole text. Everything else covers all rows, in one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import documents, tidy
 from marlstone.llm.shingles import slices
 
-SEGMENT, HIDDEN, SAMPLE, WINDOWS, LANGUAGES = 48, 8, 256, 8, 200
+SEGMENT, HIDDEN, SAMPLE, WINDOWS, ROWS = 48, 8, 256, 8, 51_200
 EPOCHS, BATCH, RATE, SEED = 10, 512, 0.02, 7
 UNKNOWN = "und"
 
@@ -158,14 +158,15 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame) -> tuple[list[str], BiGru | None]:
     """The languages and the network, learnt from text and lang of documents that aren't held out; no network without labelled text."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not langs:
         return [], None
+    most = max(1, min(SAMPLE, ROWS // len(langs)))
     room = F.greatest(F.length("text") - SEGMENT, F.lit(0))
     windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring(F.col("text"), F.floor(room * i / (WINDOWS - 1)).cast("int") + 1, F.lit(SEGMENT)))
     h = F.xxhash64("doc_id", "text")
     one = F.min(F.struct(h.alias("h"), F.array_join(F.array_distinct(windows), "\x00").alias("w"))).alias("one")
-    sample = known.filter(F.col("lang").isin(langs)).groupBy("lang", F.pmod(h, F.lit(SAMPLE)).alias("k")).agg(one).select("lang", "k", "one.w").collect()
+    sample = known.groupBy("lang", F.pmod(h, F.lit(most)).alias("k")).agg(one).select("lang", "k", "one.w").collect()
     rows = [(r["lang"], w) for r in sorted(sample, key=lambda r: (r["lang"], r["k"])) for w in r["w"].split("\x00") if w]
     raw = [w.encode()[:SEGMENT] for _, w in rows]
     b, mask, _ = segments_of(np.concatenate([[0], np.cumsum([len(x) for x in raw])]), np.frombuffer(b"".join(raw), np.uint8))
@@ -178,10 +179,10 @@ def identify(docs: DataFrame, model: tuple[list[str], BiGru | None], at_once: in
 
     A null or empty text or one without a letter is ``und`` with score 0, and so is every text if there was nothing to learn from. Ties go to
     the first language by name. All rows and columns stay, repeated ones are alike; columns named lang_pred and score are replaced; no rows
-    give no rows. Texts of any length are read whole, in segments.
+    give no rows. Texts of any length are read whole, in segments. A column named _letters is lost.
     """
     langs, net = model
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "_letters")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)

@@ -1,6 +1,6 @@
 """Sharding by histogram sort, under the law ``bytes``: shards of near equal size, each a run of the sorted rows.
 
-The sort key is a long: 40 bits from the hash of the text, then 24 bits from the hash of doc_id. Equal texts so come
+The sort key is a long: 39 bits from the hash of the text, then 24 bits from the hash of doc_id. Equal texts so come
 next to each other, yet a group of copies that holds a third of all rows can be cut anywhere.
 
 Splitters are found by counting alone. A probe is a key prefix; each round counts rows and bytes exactly below all

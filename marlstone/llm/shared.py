@@ -52,10 +52,5 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return whole
 
 
-def bound_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Few rows in an Arrow batch, as a text can be long; sizes of batches never change results."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

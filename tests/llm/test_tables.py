@@ -118,6 +118,21 @@ def test_shards(spark):
     assert all(zlib.crc32(text[i].encode()) == c for i, c in zip(out.doc_id, out.text_crc32, strict=True))
 
 
+def test_shards_are_cuts_of_the_sorted_rows(spark):
+    """Against a plain sort: shards and slots are places in it, and each cut lies as near to its share of the bytes as the tolerance says."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for shards in (3, 8):
+        rows = sharding.histogram_shards(table, shards).withColumn("key", sharding._unsigned_key(table["text"], table["doc_id"])).collect()
+        plain = sorted(rows, key=lambda r: (r["key"], r["doc_id"], r["size"]))
+        assert [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))] == [r["doc_id"] for r in plain]
+        total, below = sum(r["size"] for r in plain), 0
+        for a, b in zip(plain, plain[1:]):
+            below += a["size"]
+            if a["shard"] != b["shard"]:
+                assert b["slot"] == 0 and abs(below - total * b["shard"] / shards) <= sharding.TOLERANCE * total / shards + max(a["size"], b["size"]) / 2
+        assert plain[0]["shard"] == 0 and plain[-1]["shard"] == shards - 1
+
+
 def test_pipeline(spark):
     """run() against plain versions of its stages; the network's verdicts are taken as they are."""
     import hashlib

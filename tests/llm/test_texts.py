@@ -182,3 +182,41 @@ def test_language(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op6_language_id(spark, "/root/testdata/sf0.01").join(table.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (out.lang == out.lang_pred).mean() > 0.97 and out.score.between(0, 1).all()
+
+
+def test_language_scores_are_the_plain_network(spark):
+    """identify() against the network written out for one byte at a time."""
+    texts = ["the cat sat on the mat and " * 9, "der Hund und die Katze sind da", "chat é noir", "12 34", "", None, "a"]
+    net = langid.BiGru(3, seed=4)
+    langs = ["de", "en", "fr"]
+    squash = lambda v: v / (1 + abs(v))
+
+    def one_way(b, d):
+        s, out = np.zeros(net.h), []
+        for c in b:
+            x = net.p["x"][d][c].astype(float)
+            gates = 0.5 + 0.5 * squash(s @ net.p["zr"][d] + x[: 2 * net.h])
+            z, r = gates[: net.h], gates[net.h :]
+            new = squash(r * (s @ net.p["n"][d]) + x[2 * net.h :])
+            s = z * s + (1 - z) * new
+            out.append(s)
+        return out
+
+    def score(text):
+        raw, total, n = text.encode(), np.zeros(3), 0
+        for a in range(0, len(raw), langid.SEGMENT):
+            own = raw[a : a + langid.SEGMENT]
+            b = own + bytes(langid.SEGMENT - len(own))
+            there, back = one_way(b, 0), one_way(b[::-1], 1)[::-1]
+            for k in range(len(own)):
+                e = np.exp(np.concatenate([there[k], back[k]]) @ net.p["o"] + net.p["c"])
+                total, n = total + e / e.sum(), n + 1
+        return total / n
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(rows, (langs, net)).collect():
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            want = score(r["text"])
+            assert r["lang_pred"] == langs[int(want.argmax())] and abs(r["score"] - want.max()) < 1e-4
