@@ -86,7 +86,7 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.coalesce("pairs_a", F.lit(0)).alias("pairs_a"), F.coalesce("pairs_b", F.lit(0)).alias("pairs_b"), F.coalesce(F.col("pairs_a") == F.col("pairs_b"), F.lit(False)).alias("same_count"), F.coalesce(F.col("q_a") == F.col("q_b"), F.lit(False)).alias("same_questions"), F.coalesce(F.size(F.array_intersect("q_a", "q_b")), F.lit(0)).alias("common"))
 
 
-def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int = 3) -> DataFrame:
+def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
     """(uid_a, uid_b, jaccard) of pairs whose questions share that much of their word shingles, by an equi-join on rare shingles.
 
     Equal questions are one first, known by the least uid; each other uid of them comes as (least uid, uid, 1.0), so every uid that has an equal or
@@ -113,7 +113,7 @@ def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int =
     return both.select("uid_a", "uid_b", F.round(j, 6).alias("jaccard")).filter(F.col("jaccard") >= threshold).unionByName(equal)
 
 
-def near_duplicate_rate(pairs: DataFrame, threshold: float = 0.75, k: int = 3) -> DataFrame:
+def near_duplicate_rate(pairs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
     """(pairs, near_duplicates, share): one row, of all pairs with a question those that have an equal or near one among the others."""
     found = near_duplicate_questions(pairs, threshold, k).select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct().withColumn("near", F.lit(1))
     out = pairs.filter("question is not null").select("uid").join(found, "uid", "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("near").alias("near_duplicates"))

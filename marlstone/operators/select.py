@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Chunks of a retrieval pack.
+PACK = 512
+
+
 def segment_quality(pool: DataFrame, keys: list[str], segment: str = "segment") -> DataFrame:
     """Mean score less its sample deviation, not below 0."""
     q = F.avg("score") - F.coalesce(F.stddev_samp("score"), F.lit(0.0))
@@ -98,40 +103,40 @@ def pick_min_overlap(items: DataFrame, keys: list[str], k: int = 20) -> DataFram
     return items.groupBy(*keys).applyInPandas(pick, items.schema)
 
 
+def _merged(parts: list[str], size: int, overlap: int) -> Iterator[str]:
+    """Short parts joined up to ``size`` characters; each piece begins with the last parts of the one before, up to ``overlap`` of them."""
+    now: list[str] = []
+    length = 0
+    for part in parts:
+        if now and length + len(part) > size:
+            yield "".join(now)
+            while now and (length > overlap or length + len(part) > size):
+                length -= len(now.pop(0))
+        now.append(part)
+        length += len(part)
+    yield "".join(now)
+
+
+def _chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> Iterator[str]:
+    """Text cut at the first separator that it has, which goes with the part behind it. What is short is joined; a long part ends that, and is cut at the next separator."""
+    while separators[0] and separators[0] not in text:
+        separators = separators[1:]
+    sep, finer = separators[0], separators[1:]
+    parts = [(sep if i else "") + x for i, x in enumerate(text.split(sep))] if sep else list(text)
+    for long, group in groupby((p for p in parts if p), key=lambda p: len(p) >= size and bool(finer)):
+        if long:
+            for part in group:
+                yield from _chunks(part, size, overlap, finer)
+        else:
+            yield from _merged(list(group), size, overlap)
+
+
 def recursive_chunks(texts: DataFrame, keys: list[str], text: str, size: int = 1000, overlap: int = 150) -> DataFrame:
-    """(keys, chunk_no, chunk): pieces of at most ``size`` characters that overlap, cut at blank lines, else lines, else spaces, else anywhere."""
-    separators = ["\n\n", "\n", " ", ""]
-
-    def pieces(t: str, level: int) -> Iterator[str]:
-        """Parts no longer than size, each with the separator in front of it."""
-        while level < len(separators) - 1 and separators[level] not in t:
-            level += 1
-        sep = separators[level]
-        if not sep:
-            yield from (t[i : i + size] for i in range(0, len(t), size))
-            return
-        for i, part in enumerate(t.split(sep)):
-            part = (sep if i else "") + part
-            if len(part) <= size:
-                yield part
-            else:
-                yield from pieces(part, level + 1)
-
-    def chunks(t: str) -> list[str]:
-        out, now, length = [], [], 0
-        for part in pieces(t, 0):
-            if now and length + len(part) > size:
-                out.append("".join(now))
-                while now and (length > overlap or length + len(part) > size):
-                    length -= len(now.pop(0))
-            now.append(part)
-            length += len(part)
-        out.append("".join(now))
-        return [x for c in out if (x := c.strip())]
+    """(keys, chunk_no, chunk): pieces of at most ``size`` characters that overlap, cut at blank lines, else lines, else spaces, else anywhere; trimmed, none is empty."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            p = p.assign(chunk=[chunks(t) if isinstance(t, str) else [] for t in p[text]])
+            p = p.assign(chunk=[[x for c in _chunks(t, size, overlap) if (x := c.strip())] if isinstance(t, str) else [] for t in p[text]])
             p["chunk_no"] = [list(range(len(c))) for c in p["chunk"]]
             yield p[[*keys, "chunk_no", "chunk"]].explode(["chunk_no", "chunk"]).dropna(subset=["chunk"])
 
@@ -142,11 +147,14 @@ def recursive_chunks(texts: DataFrame, keys: list[str], text: str, size: int = 1
 def retrieve_top_k(questions: DataFrame, chunks: DataFrame, block: str, k: int = 5) -> DataFrame:
     """questions(block, q_id, embedding), chunks(block, chunk_id, embedding) -> (q_id, chunk_id, distance, rank): the k nearest of the same block, squared L2.
 
-    Chunks come in packs of rows, a pack a row; a pair of a question and a pack gives its own best k, so at most k rows for each pack reach
-    the last ranking, and no block is gathered in one place.
+    A block's chunks come in packs of about PACK rows, as many as its size asks for, and its questions go to each of these, so a task holds
+    single packs, whatever the block's size. A pair of a question and a pack gives its own best k, so at most k rows for each pack reach the last ranking.
     """
-    packs = chunks.withColumn("pack", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).groupBy(block, "pack").agg(F.collect_list(F.struct(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))).alias("c"))
-    pairs = questions.select(block, "q_id", F.col("embedding").alias("q")).join(packs, block)
+    packs = chunks.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("packs"))
+    packed = chunks.join(packs, block).withColumn("pack", F.pmod(F.xxhash64("chunk_id"), F.col("packs")).cast("int"))
+    packed = packed.groupBy(block, "pack").agg(F.collect_list(F.struct(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))).alias("c"))
+    asked = questions.join(packs, block).select(block, "q_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack"))
+    pairs = asked.join(packed, [block, "pack"])
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     near = F.slice(F.array_sort(F.transform("c", lambda c: F.struct(F.round(square(c["v"], F.col("q")), 6).alias("distance"), c["id"].alias("chunk_id")))), 1, k)
     best = pairs.select("q_id", F.explode(near).alias("n")).select("q_id", "n.*")

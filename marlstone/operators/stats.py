@@ -35,6 +35,13 @@ def describe_ordinal(hist: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def with_labels(summary: DataFrame) -> DataFrame:
+    """summary(metric, median, mode, ...) with median_label and mode_label; a median that no label has is ``between labels``."""
+    label = lambda c: F.coalesce(*[F.when(F.col("metric") == m, F.try_element_at(F.array(*map(F.lit, labels)), (len(labels) + 1 - F.col(c)).cast("int"))) for m, labels in S.SCALES.items()])
+    between = F.when(F.col("median") != F.floor("median"), "between labels").otherwise(label("median"))
+    return summary.withColumns({"median_label": between, "mode_label": label("mode")})
+
+
 def binary_pass_rate(long: DataFrame, by: list[str]) -> DataFrame:
     one = long.filter("pass is not null").groupBy(*by).agg(F.sum("pass").alias("pass_n"), F.count("pass").alias("pass_total"))
     low, high = wilson(F.col("pass_n"), F.col("pass_total"))
@@ -79,7 +86,7 @@ def mann_whitney(long: DataFrame, group: str, first: str, second: str) -> DataFr
     hist = histogram(long, ["metric", group])
     both = hist.groupBy("metric", "score").agg(F.coalesce(F.sum(F.when(F.col(group) == first, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col(group) == second, F.col("n"))), F.lit(0)).alias("b"))
     below = F.coalesce(F.sum("b").over(Window.partitionBy("metric").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = F.col("a") + F.col("b")
+    t = (F.col("a") + F.col("b")).cast("double")  # its cube is more than a long holds from 2,097,152 equal scores on
     one = both.withColumn("u", F.col("a") * (below + F.col("b") / 2)).groupBy("metric").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("u").alias("u"), F.sum(t * t * t - t).alias("ties")).filter("n1 > 0 and n2 > 0")
     delta = F.round(2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1, 6)
     size = F.when(F.abs("cliffs_delta") < 0.147, "negligible").when(F.abs("cliffs_delta") < 0.33, "small").when(F.abs("cliffs_delta") < 0.474, "medium").otherwise("large")
@@ -96,25 +103,49 @@ def mann_whitney(long: DataFrame, group: str, first: str, second: str) -> DataFr
     return one.withColumn("cliffs_delta", delta).withColumns({"magnitude": size, "p": p_value("u", "n1", "n2", "ties")})
 
 
+def _fisher(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided p of [[a, b], [c, d]]: the tables with these margins that are no likelier, from both ends of the likelier ones outwards until nothing is added."""
+    r, s, k = a + b, c + d, a + c
+    if 0 in (r, s, k, b + d):
+        return 1.0
+    low, high = max(0, k - s), min(r, k)
+    log = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
+    at = lambda x: log(r, x) + log(s, k - x) - log(r + s, k)
+    limit, mode = at(a) + 1e-7, min(high, max(low, (r + 1) * (k + 1) // (r + s + 2)))
+    total = 0.0
+    for end, way in ((low, -1), (high, 1)):
+        # the likelihood falls from the mode to either end: halve to the first table that is no likelier
+        near, far = mode, end
+        if at(end) > limit:
+            continue
+        while abs(far - near) > 1:
+            middle = (near + far) // 2
+            near, far = (near, middle) if at(middle) <= limit else (middle, far)
+        x = near if near != far and at(near) <= limit else far
+        if x == mode and way == 1 and at(mode) <= limit:
+            x += 1  # the mode itself is counted on the other side
+        while low <= x <= high and (term := math.exp(at(x))) > total * 1e-17:
+            total += term
+            x += way
+    return min(1.0, total)
+
+
 def fisher_exact(counts: DataFrame) -> DataFrame:
     """counts(..., a, b, c, d) with p, two-sided for the table [[a, b], [c, d]]; a margin of 0 gives 1."""
 
     @F.pandas_udf("double")
     def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        def one(a: int, b: int, c: int, d: int) -> float:
-            r, s, k, n = a + b, c + d, a + c, a + b + c + d
-            if 0 in (r, s, k, n - k):
-                return 1.0
-            log = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
-            at = lambda x: log(r, x) + log(s, k - x) - log(n, k)
-            here = at(a)
-            return min(1.0, sum(math.exp(v) for x in range(max(0, k - s), min(r, k) + 1) if (v := at(x)) <= here + 1e-7))
-
-        return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d, strict=True)])
+        return pd.Series([_fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)])
 
     return counts.withColumn("p", p("a", "b", "c", "d"))
 
 
+def binary_tables(long: DataFrame, group: str, first: str, second: str) -> DataFrame:
+    """(metric, a, b, c, d): passes and failures of two levels in the binary questions."""
+    n = lambda level, passed: F.count_if((F.col(group) == level) & (F.col("pass") == passed))
+    return long.filter("pass is not null").groupBy("metric").agg(n(first, 1).alias("a"), n(first, 0).alias("b"), n(second, 1).alias("c"), n(second, 0).alias("d"))
+
+
 def top2_tables(long: DataFrame, group: str, first: str, second: str) -> DataFrame:
     """(metric, a, b, c, d): top-2 and other counts of two levels."""
     n = lambda level, top: F.sum(F.when((F.col(group) == level) & ((F.col("score") >= 3) == top), F.col("n")).otherwise(0))
@@ -137,21 +168,24 @@ def krippendorff_alpha(long: DataFrame, unit: str = "qa_uid") -> DataFrame:
     """
     hist = long.filter("score is not null").groupBy("metric", unit, "score").agg(F.count(F.lit(1)).alias("n"))
     units = hist.groupBy("metric", unit).agg(F.collect_list(F.struct("score", "n")).alias("v"), F.sum("n").alias("m")).filter("m > 1")
-    pair = units.select("metric", unit, "m", F.explode("v").alias("c"), "v").select("metric", unit, "m", "c", F.explode("v").alias("k"))
+    pair = units.select("metric", "m", F.posexplode("v").alias("i", "c"), "v").select("metric", "m", "i", "c", F.posexplode("v").alias("j", "k"))
     weight = F.col("c.n") * (F.col("k.n") - (F.col("c.score") == F.col("k.score")).cast("int")) / (F.col("m") - 1)
-    o = pair.groupBy("metric", F.col("c.score").alias("c"), F.col("k.score").alias("k")).agg(F.sum(weight).alias("o"))
-    mass = o.groupBy("metric", "c").agg(F.sum("o").alias("nc"))
-    mass = mass.withColumn("upto", F.sum("nc").over(Window.partitionBy("metric").orderBy("c")))
-    left = mass.select("metric", "c", F.col("nc").alias("nc_c"), F.col("upto").alias("upto_c"))
-    right = mass.select("metric", F.col("c").alias("k"), F.col("nc").alias("nc_k"), F.col("upto").alias("upto_k"))
-    # mass between c and k, each half: cumulative sums up to the greater, less those below the smaller
-    between = F.abs(F.col("upto_c") - F.col("nc_c") / 2 - (F.col("upto_k") - F.col("nc_k") / 2))
-    grid = left.join(right, "metric").join(o, ["metric", "c", "k"], "left").withColumn("d", between * between)
-    one = grid.groupBy("metric").agg(F.sum(F.coalesce("o", F.lit(0.0)) * F.col("d")).alias("seen"), F.sum(F.col("nc_c") * F.col("nc_k") * F.col("d")).alias("expected"))
-    n = mass.groupBy("metric").agg(F.sum("nc").alias("n"))
-    count = units.groupBy("metric").agg(F.count(F.lit(1)).alias("units"))
+    o = pair.groupBy("metric", F.col("c.score").alias("c"), F.col("k.score").alias("k")).agg(F.sum(weight).alias("o"), F.count_if((F.col("i") == 0) & (F.col("j") == 0)).alias("units"))
+    # from here on a metric is one array of at most 16 pairs of scores
+    one = o.groupBy("metric").agg(F.collect_list(F.struct("c", "k", "o")).alias("o"), F.sum("units").alias("units"))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    mass = F.transform(F.array_sort(F.array_distinct("o.c")), lambda c: F.struct(c.alias("c"), add(F.transform(F.filter("o", lambda x: x["c"] == c), lambda x: x["o"])).alias("nc")))
+    one = one.withColumn("mass", mass).withColumn("n", add(F.col("mass.nc")))
+    # the middle of a score's mass on the line of all mass: distances are differences of middles
+    middle = lambda c: add(F.transform("mass", lambda x: F.when(x["c"] < c, x["nc"]).when(x["c"] == c, x["nc"] / 2).otherwise(0.0)))
+    one = one.withColumn("mass", F.transform("mass", lambda x: F.struct(x["c"].alias("c"), x["nc"].alias("nc"), middle(x["c"]).alias("at"))))
+    place = lambda c: F.filter("mass", lambda x: x["c"] == c)[0]["at"]
+    square = lambda x, y: (x - y) * (x - y)
+    seen = add(F.transform("o", lambda x: x["o"] * square(place(x["c"]), place(x["k"]))))
+    expected = add(F.transform("mass", lambda x: add(F.transform("mass", lambda y: x["nc"] * y["nc"] * square(x["at"], y["at"])))))
+    one = one.select("metric", "units", "n", seen.alias("seen"), expected.alias("expected"))
     alpha = F.when(F.col("expected") == 0, 1.0).otherwise(1 - (F.col("n") - 1) * F.col("seen") / F.col("expected"))
-    return one.join(n, "metric").join(count, "metric").select("metric", "units", F.round(alpha, 6).alias("alpha"))
+    return one.select("metric", "units", F.round(alpha, 6).alias("alpha"))
 
 
 def agreement_rates(long: DataFrame, unit: str = "qa_uid") -> DataFrame:

@@ -163,8 +163,9 @@ ORACLE_SQL = {
  x AS (SELECT video, approach, COUNT(*) AS n, list_sort(list(DISTINCT question)) AS q FROM corpus GROUP BY ALL), y AS (SELECT video, approach, COUNT(*) AS n, list_sort(list(DISTINCT question)) AS q FROM b GROUP BY ALL)
  SELECT video, approach, coalesce(x.n, 0) AS pairs_a, coalesce(y.n, 0) AS pairs_b, coalesce(x.n = y.n, false) AS same_count, coalesce(x.q = y.q, false) AS same_questions, coalesce(len(list_intersect(x.q, y.q)), 0) AS common FROM x FULL JOIN y USING (video, approach)""",
     "near_duplicate_questions": """WITH d AS (SELECT text, MIN(CAST(doc_id AS VARCHAR)) AS uid FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT uid, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM d),
- g AS (SELECT DISTINCT uid, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS t FROM w WHERE len(w) > 0), n AS (SELECT uid, COUNT(*) AS n FROM g GROUP BY uid),
- c AS (SELECT a.uid AS uid_a, b.uid AS uid_b, COUNT(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.uid < b.uid GROUP BY ALL) SELECT uid_a, uid_b, round(c * 1.0 / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.uid = uid_a JOIN n y ON y.uid = uid_b WHERE round(c * 1.0 / (x.n + y.n - c), 6) >= 0.75""",
+ g AS (SELECT DISTINCT uid, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS t FROM w WHERE len(w) > 0), n AS (SELECT uid, COUNT(*) AS n FROM g GROUP BY uid),
+ c AS (SELECT a.uid AS uid_a, b.uid AS uid_b, COUNT(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.uid < b.uid GROUP BY ALL) SELECT uid_a, uid_b, round(c * 1.0 / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.uid = uid_a JOIN n y ON y.uid = uid_b WHERE round(c * 1.0 / (x.n + y.n - c), 6) >= 0.75
+ UNION ALL SELECT DISTINCT d.uid, CAST(o.doc_id AS VARCHAR), 1.0 FROM documents o JOIN d USING (text) WHERE CAST(o.doc_id AS VARCHAR) <> d.uid""",
     "parse_qa_pairs": f"WITH {PARSED} SELECT response_id, n, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM parsed WHERE n <= 20",
     "attach_timestamps": f"""WITH {PARSED}, m AS (SELECT conv_id AS response_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM rows WHERE role = 'user')
  SELECT response_id, p.n, m.turn || ':05-' || (m.turn + 1) || ':00' AS "timestamp", m.turn * 60 + 5 AS time_start_sec, (m.turn + 1) * 60 AS time_end_sec FROM parsed p LEFT JOIN m USING (response_id, n) WHERE p.n <= 20""",

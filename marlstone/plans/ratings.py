@@ -88,10 +88,29 @@ def _pick(labels: list[str], n: str, base: int = 0) -> str:
     return f"CASE {n} " + " ".join(f"WHEN {k + base} THEN '{x}'" for k, x in enumerate(labels)) + f" ELSE CAST({n} AS VARCHAR) END"
 
 
+def _fisher_sql(good: str, known: str) -> str:
+    """p by adding up all tables with the same margins."""
+    log = lambda x, y: f"(lgamma({x} + 1) - lgamma({y} + 1) - lgamma({x} - ({y}) + 1))"
+    at = lambda x: f"({log('r', x)} + {log('s', f'k - {x}')} - {log('r + s', 'k')})"
+    n = lambda level, x: f"COUNT(*) FILTER (approach = '{level}' AND {x}({good}))"
+    return f"""WITH {LONG}, t AS (SELECT metric, {n('MultiAgent', '')} AS a, {n('MultiAgent', 'NOT ')} AS b, {n('SingleAgent', '')} AS c, {n('SingleAgent', 'NOT ')} AS d FROM long WHERE {known} IS NOT NULL GROUP BY metric),
+ m AS (SELECT *, CAST(a + b AS DOUBLE) AS r, CAST(c + d AS DOUBLE) AS s, CAST(a + c AS DOUBLE) AS k FROM t), x AS (SELECT *, unnest(range(CAST(greatest(0, k - s) AS BIGINT), CAST(least(r, k) AS BIGINT) + 1)) AS x FROM m WHERE r > 0 AND s > 0 AND k > 0 AND b + d > 0),
+ p AS (SELECT metric, SUM(CASE WHEN {at('x')} <= {at('a')} + 1e-7 THEN exp({at('x')}) ELSE 0 END) AS p FROM x GROUP BY metric)
+ SELECT metric, a, b, c, d, round(least(1.0, coalesce(p, 1.0)), 9) AS p FROM m LEFT JOIN p USING (metric)"""
+
+
 def fisher_exact(spark, d):
     return T.fisher_exact(T.top2_tables(_long(spark, d), "approach", "MultiAgent", "SingleAgent")).withColumn("p", F.round("p", 9))
 
 
+def fisher_binary(spark, d):
+    return T.fisher_exact(T.binary_tables(_long(spark, d), "approach", "MultiAgent", "SingleAgent")).withColumn("p", F.round("p", 9))
+
+
+def median_labels(spark, d):
+    return T.with_labels(T.describe_ordinal(T.histogram(_long(spark, d), ["metric"]), ["metric"])).select("metric", "median", "mode", "median_label", "mode_label")
+
+
 def krippendorff_alpha(spark, d):
     return T.krippendorff_alpha(_long(spark, d))
 
@@ -121,6 +140,8 @@ QUERIES = {
     "label_counts_long": lambda s, d: R.label_counts_long(_latest(s, d)),
     "mann_whitney": lambda s, d: T.mann_whitney(_long(s, d), "approach", "MultiAgent", "SingleAgent").drop("p"),
     "fisher_exact": fisher_exact,
+    "fisher_binary": fisher_binary,
+    "median_labels": median_labels,
     "normalize_issue_cell": issue_cells,
     "union_exports": union_exports,
     "restore_checkpoint": restore_checkpoint,
@@ -161,8 +182,12 @@ ORACLE_SQL = {
     "rated_rows": f"WITH {A.RATINGS} SELECT id FROM ratings WHERE coalesce({', '.join(f'qna_{m}_binary' for m in S.BINARY)}, caregiver_recommendation) IS NOT NULL",
     "completeness": f"WITH {LATEST} SELECT id, {', '.join(f'{x} AS {m}_complete' for m, x in _done.items())}, {' AND '.join(_done.values())} AND coalesce({_case('recommendation', 'caregiver_recommendation')} IS NOT NULL, false) AS complete FROM latest",
     "label_counts_long": f"WITH {LATEST} SELECT approach, cell, label, COUNT(*) AS n FROM ({' UNION ALL '.join(f'''SELECT approach, '{n}' AS cell, {c} AS label FROM latest''' for n, c in _CELLNAMES)}) WHERE label IS NOT NULL GROUP BY ALL",
+    "fisher_exact": _fisher_sql("score >= 3", "score"),
+    "fisher_binary": _fisher_sql("pass = 1", "pass"),
+    "median_labels": f"""WITH {LONG}, {_describe("metric")}, dim AS ({_DIM}) SELECT o.metric, median, mode, CASE WHEN median <> floor(median) THEN 'between labels' ELSE a.label END AS median_label, b.label AS mode_label
+ FROM ordinal o JOIN modes USING (metric) LEFT JOIN dim a ON a.metric = o.metric AND a.score = median LEFT JOIN dim b ON b.metric = o.metric AND b.score = mode""",
     "mann_whitney": f"""WITH {LONG}, h AS (SELECT metric, score, COUNT(*) FILTER (approach = 'MultiAgent') AS a, COUNT(*) FILTER (approach = 'SingleAgent') AS b FROM long WHERE score IS NOT NULL GROUP BY ALL),
- n AS (SELECT metric, CAST(SUM(a) AS BIGINT) AS n1, CAST(SUM(b) AS BIGINT) AS n2, CAST(SUM((a + b) * (a + b) * (a + b) - (a + b)) AS BIGINT) AS ties FROM h GROUP BY metric), u AS (SELECT x.metric, SUM(x.a * y.b * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS u FROM h x JOIN h y USING (metric) GROUP BY ALL),
+ n AS (SELECT metric, CAST(SUM(a) AS BIGINT) AS n1, CAST(SUM(b) AS BIGINT) AS n2, SUM(CAST(a + b AS DOUBLE) * (a + b) * (a + b) - (a + b)) AS ties FROM h GROUP BY metric), u AS (SELECT x.metric, SUM(x.a * y.b * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS u FROM h x JOIN h y USING (metric) GROUP BY ALL),
  r AS (SELECT metric, n1, n2, CAST(u AS DOUBLE) AS u, ties, round(2 * CAST(u AS DOUBLE) / (n1 * n2) - 1, 6) AS cliffs_delta FROM n JOIN u USING (metric) WHERE n1 > 0 AND n2 > 0)
  SELECT *, CASE WHEN abs(cliffs_delta) < 0.147 THEN 'negligible' WHEN abs(cliffs_delta) < 0.33 THEN 'small' WHEN abs(cliffs_delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM r""",
     "normalize_issue_cell": f"WITH {LATEST} SELECT id, list_aggregate(list_transform(string_split(qna_care_safety_issue, '; '), lambda e: {_fix}), 'string_agg', '; ') AS cell FROM latest WHERE qna_care_safety_issue IS NOT NULL",

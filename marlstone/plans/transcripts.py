@@ -133,9 +133,9 @@ def selection_status(spark, d):
 
 
 def retrieve_top_k(spark, d):
-    """Every tenth vector asks; all vectors are searched, so that each finds itself as well."""
+    """Every vector whose id is divisible by 50 asks; all vectors are searched, so that each finds itself as well."""
     e = A.table(spark, d, "embeddings").filter("embedding is not null and label is not null")
-    return C.retrieve_top_k(e.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("q_id"), "embedding"), e.select("label", F.col("vec_id").alias("chunk_id"), "embedding"), "label")
+    return C.retrieve_top_k(e.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("q_id"), "embedding"), e.select("label", F.col("vec_id").alias("chunk_id"), "embedding"), "label")
 
 
 QUOTAS = f"""WITH {A.POOL}, q AS (SELECT video, segment, greatest(round(avg(score) - coalesce(stddev_samp(score), 0), 9), 0) AS quality FROM pool GROUP BY ALL),
@@ -197,7 +197,8 @@ ORACLE_SQL = {
     "marked_lines": f"WITH {A.SEGMENTS} SELECT video, line_no, md5('[' || CAST(floor(start_sec) AS BIGINT) // 60 || ':' || lpad(CAST(CAST(floor(start_sec) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '] ' || trim(text)) AS line_md5 FROM segments WHERE {SQUEEZE.format('text')} <> ''",
     "word_budget": f"WITH w AS (SELECT doc_id, text, {W.format('''regexp_replace(text, '\\[[0-9]+:[0-9]{2}\\]', '', 'g')''')} AS words FROM documents WHERE text IS NOT NULL) SELECT doc_id, words, greatest(4, CAST(round_even(words / 250.0, 0) AS BIGINT)) AS qa_target, length(text) // 4 AS approx_tokens, least(length(text), 5000) AS kept_chars FROM w",
     "split_sentences": "WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS n FROM p) SELECT doc_id, n, md5(regexp_replace(regexp_replace(s, '^\\s+', ''), '\\s+$', '')) AS sentence_md5 FROM s WHERE regexp_replace(s, '\\s+', '', 'g') <> ''",
-    "numbered_lists": "SELECT conv_id, turn, len(list_filter(string_split(text, '. '), lambda x: trim(x) <> '')) AS lines, len(list_filter(string_split(text, '. '), lambda x: trim(x) <> '')) AS parts FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[0-9\\n]')",
+    "numbered_lists": r"""WITH l AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(text, '. '), lambda x, i: i || '. ' || x), chr(10)) AS listed FROM conversations WHERE text IS NOT NULL)
+ SELECT conv_id, turn, len(list_filter(string_split(listed, chr(10)), lambda x: regexp_matches(regexp_extract(x, '^\s*\d+\.\s*(.+)', 1), '\S'))) AS lines, len(list_filter(string_split_regex(listed, '\d+\.\s*'), lambda x: regexp_matches(x, '\S'))) AS parts FROM l""",
     "parse_scores": f"WITH r AS (SELECT event_id AS id, {_SC} AS reply FROM events), x AS (SELECT *, regexp_extract_all(reply, '[ACE]\\s*=\\s*([0-9]+)', 1) AS m, regexp_extract(reply, '([0-9]+)', 1) AS f FROM r) SELECT id, round(CASE WHEN len(m) = 3 THEN list_sum(list_transform(m, lambda v: least(greatest(CAST(v AS DOUBLE), 1.0), 10.0))) / 3 WHEN f <> '' THEN least(greatest(CAST(f AS DOUBLE), 1.0), 10.0) ELSE 5.0 END, 6) AS score, len(regexp_extract_all(reply, '[0-9]+')) AS ints FROM x",
     "parse_mmss_range": "SELECT event_id AS id, CASE WHEN event_id % 3 < 2 THEN event_id % 200 * 60 + event_id % 60 END AS start, CASE WHEN event_id % 3 < 2 THEN event_id % 150 * 60 + 30 END AS \"end\" FROM events",
     "flatten_transcript": f"WITH {A.SEGMENTS} SELECT video, md5(string_agg({SQUEEZE.format('text')}, ' ' ORDER BY line_no)) AS transcript_md5 FROM segments WHERE {SQUEEZE.format('text')} <> '' GROUP BY video",
@@ -226,6 +227,6 @@ ORACLE_SQL = {
     "selection_status": f"{SELECTED} SELECT video, segment, id, CASE WHEN first OR rest <= 20 - taken THEN 'Selected' ELSE 'Rejected' END AS status FROM s",
     "skip_topics": f"WITH {A.BLUEPRINT} SELECT video, segment, topic FROM blueprint WHERE topic <> 't1'",
     "seeded_shuffle": f"WITH {A.POOL} SELECT video, id, row_number() OVER (PARTITION BY video ORDER BY md5(id || '|7'), id) AS question_number FROM pool",
-    "retrieve_top_k": """WITH p AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0)
+    "retrieve_top_k": """WITH p AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0)
  SELECT q_id, distance, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, chunk_id) AS rank FROM p QUALIFY rank <= 5""",
 }

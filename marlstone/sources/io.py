@@ -33,13 +33,14 @@ def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """<dataset>/<video>/Transcript/transcript*.json -> (dataset, video, name, line_no, start_sec, end_sec, text): the first file by name of each video."""
+    """<dataset>/<video>/Transcript/transcript*.json -> (dataset, video, name, line_no, start_sec, end_sec, text): the first file by name of each video; one that is no list raises."""
     place = r"([^/]+)/(\d+)/Transcript/(transcript[^/]*\.json)$"
     files = _whole_files(spark, path, "transcript*.json").select(*[F.regexp_extract("path", place, k).alias(c) for k, c in ((1, "dataset"), (2, "video"), (3, "name"))], "value").filter("name <> ''")
     first = files.groupBy("dataset", "video").agg(F.min("name").alias("name"))
     cues = F.from_json("value", F.lit("ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>"))
     chosen = files.join(first, ["dataset", "video", "name"], "left_semi")
-    return chosen.select("dataset", F.col("video").cast("int").alias("video"), "name", F.posexplode(cues).alias("at", "c")).select("dataset", "video", "name", (F.col("at") + 1).alias("line_no"), F.col("c.start").alias("start_sec"), F.col("c.end").alias("end_sec"), "c.text")
+    listed = F.when(~F.coalesce(F.ltrim("value").startswith("["), F.lit(False)) | cues.isNull(), F.raise_error(F.concat(F.lit("no list of cues: "), "dataset", F.lit("/"), "video", F.lit("/"), "name"))).otherwise(cues)
+    return chosen.select("dataset", F.col("video").cast("int").alias("video"), "name", F.posexplode(listed).alias("at", "c")).select("dataset", "video", "name", (F.col("at") + 1).alias("line_no"), F.col("c.start").alias("start_sec"), F.col("c.end").alias("end_sec"), "c.text")
 
 
 def read_caption_events(spark: SparkSession, path: str) -> DataFrame:

@@ -123,6 +123,39 @@ def test_chunks_are_short_and_whole(spark, text):
     assert set(" ".join(r["chunk"] for r in rows).split()) == set(text.split()) or "x" in text
 
 
+def test_chunks_end_before_a_long_part(spark):
+    """What stands before a long part is a chunk of its own; pieces of the long part overlap."""
+    long = " ".join(f"w{i:04}" for i in range(300))
+    got = [r["chunk"] for r in C.recursive_chunks(spark.createDataFrame([(1, "short para\n\n" + long + "\n\nend")], "id int, t string"), ["id"], "t").orderBy("chunk_no").collect()]
+    assert got[0] == "short para" and got[-1] == "end" and all(len(c) <= 1000 for c in got)
+    words = [c.split() for c in got[1:-1]]
+    for a, b in zip(words, words[1:]):
+        shared = a[a.index(b[0]) :]
+        assert b[: len(shared)] == shared and 0 < len(" ".join(shared)) <= 150
+    assert sorted(set(sum(words, []))) == sorted(long.split())
+
+
+def test_many_equal_scores(spark):
+    """Three million ratings of one score: their cube is more than a long holds."""
+    r = T.mann_whitney(spark.range(3_000_000).select(F.lit("m").alias("metric"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("approach"), F.lit(4).alias("score")), "approach", "a", "b").first()
+    assert r["cliffs_delta"] == 0.0 and r["p"] == 1.0 and math.isclose(r["ties"], 2.7e19, rel_tol=1e-6)
+
+
+def test_fisher_is_the_sum_of_all_tables():
+    import random
+
+    r = random.Random(1)
+    for _ in range(400):
+        a, b, c, d = (r.choice((0, 1, 2, 5, 20, 60)) + r.randint(0, 9) for _ in range(4))
+        n, k, s = a + b, a + c, c + d
+        if 0 in (n, s, k, b + d):
+            assert T._fisher(a, b, c, d) == 1.0
+            continue
+        p = {x: math.comb(n, x) * math.comb(s, k - x) / math.comb(n + s, k) for x in range(max(0, k - s), min(n, k) + 1)}
+        assert math.isclose(T._fisher(a, b, c, d), min(1.0, sum(v for v in p.values() if v <= p[a] * (1 + 1e-7))), rel_tol=1e-6)
+    assert 0 < T._fisher(50_000_100, 50_000_000, 50_000_000, 50_000_000) <= 1.0
+
+
 def test_alpha_of_perfect_agreement(spark):
     long = spark.createDataFrame([("m", f"u{i}", i % 4 + 1) for i in range(8) for _ in range(3)] + [("n", "u", 2), ("n", "u", 2)], "metric string, qa_uid string, score int")
     assert {r["metric"]: r["alpha"] for r in T.krippendorff_alpha(long).collect()} == {"m": 1.0, "n": 1.0}

@@ -13,11 +13,11 @@ def test_every_vector_can_be_found(spark):
     rows = [r for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect() if r["embedding"] is not None and r["label"] is not None]
     want = {}
     for q in rows:
-        if q["vec_id"] % 10 == 0:
+        if q["vec_id"] % 50 == 0:
             near = sorted((round(sum((a - b) ** 2 for a, b in zip(q["embedding"], c["embedding"], strict=True)), 6), c["vec_id"]) for c in rows if c["label"] == q["label"])
             want |= {(q["vec_id"], k + 1): x for k, x in enumerate(near[:5])}
     got = {(r["q_id"], r["rank"]): (r["distance"], r["chunk_id"]) for r in registry.QUERIES["retrieve_top_k"](spark, DATA).collect()}
-    assert got.keys() == want.keys() and any(i % 10 == 0 for _, i in got.values())
+    assert got.keys() == want.keys() and any(i % 50 == 0 for _, i in got.values())
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
 
 
@@ -42,11 +42,11 @@ def test_exact_copies_are_near_duplicates(spark):
     rows = [("a", "the same words here"), ("b", "the same words here"), ("c", "the same words here"), ("d", near), ("e", near + " x"), ("f", near), ("g", "alone it stands now"), ("h", None)]
     table = spark.createDataFrame(rows, "uid string, question string")
     got = {(r["uid_a"], r["uid_b"]): r["jaccard"] for r in corpus.near_duplicate_questions(table).collect()}
-    assert got == {("a", "b"): 1.0, ("a", "c"): 1.0, ("d", "f"): 1.0, ("d", "e"): 0.933333}
+    assert got == {("a", "b"): 1.0, ("a", "c"): 1.0, ("d", "f"): 1.0, ("d", "e"): 0.923077}
     assert tuple(corpus.near_duplicate_rate(table).first()) == (7, 6, 0.857143)
     docs = [(str(r["doc_id"]), r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("text is not null").collect()]
     w = {u: t.lower().split() for u, t in docs}
-    grams = {u: {tuple(x[i : i + 3]) for i in range(len(x) - 2)} or {tuple(x)} - {()} for u, x in w.items()}
+    grams = {u: {tuple(x[i : i + 5]) for i in range(len(x) - 4)} or {tuple(x)} - {()} for u, x in w.items()}
     text = dict(docs)
     count = sum(any(v != u and (text[u] == text[v] or g and round(len(g & h) / len(g | h), 6) >= 0.75) for v, h in grams.items()) for u, g in grams.items())
     one = registry.QUERIES["near_duplicate_rate"](spark, DATA).first()
