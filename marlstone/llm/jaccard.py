@@ -15,8 +15,7 @@ prefixes are for m_x and m_y must share min(m_x, m_y) prefix tokens before it is
    sets of different components, which are joined with each other. Hub or not, a pair is verified only if its prefixes share min(m)
    tokens, and no link between different components is skipped.
 
-Frequent tokens: those with more than a HOT-th of all rows are at most HOT, so what is known of them is broadcast; the
-sets of a token are joined with each other in groups of at most GROUP.
+What is known of frequent tokens is broadcast (``shared.join_hot``); the sets of a token are joined with each other in groups of about GROUP.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.graph import connected_components
-from marlstone.llm.shared import discard, documents, materialize, tidy
+from marlstone.llm.shared import discard, documents, join_hot, materialize, tidy
 from marlstone.llm.shingles import shingle_sets, slices
 
 K, NUM, DEN = 5, 75, 100
@@ -39,9 +38,8 @@ EXTRA, MOST_M, VERIFY = 0.1, 16, 0.05
 ROUNDS, HUBS = 2, 3
 #: Words of 64 bits in a set's parity signature, which tells pairs apart that differ in more tokens than a link allows.
 SIGN = 8
-#: Bytes of text for a bucket, prefix tokens of a piece, partitions at most; see above for HOT and GROUP.
-BUCKET, PIECE, PARTITIONS = 1 << 24, 1 << 20, 20_000
-HOT, GROUP = 4096, 512
+#: Bytes of text for a bucket, prefix tokens of a piece, partitions at most, sets of a token that meet in one group.
+BUCKET, PIECE, PARTITIONS, GROUP = 1 << 24, 1 << 20, 20_000, 512
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -209,13 +207,6 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(tidy(work), "set long, n int, tokens array<long>, sign array<long>")
 
 
-def _with_hot(rows: DataFrame, known: DataFrame, total: int, count: str) -> DataFrame:
-    """rows(token, ...) joined with known(token, count, ...), one row for each token that matters; those of over a HOT-th of ``total`` rows, so at most HOT, by broadcast."""
-    most = max(GROUP, total // HOT)
-    hot, rest = known.filter(F.col(count) > most), known.filter(F.col(count) <= most)
-    return rows.join(F.broadcast(hot), "token").unionByName(rows.join(F.broadcast(hot.select("token")), "token", "left_anti").join(rest, "token"))
-
-
 def _index(sets: DataFrame) -> DataFrame:
     """(set, n, m, alone, prefix, sign), one row for each set with a shared token in its prefix: its m, how many of its tokens no other set has, and the
     tokens of the m-prefix behind these, rare ones first."""
@@ -243,7 +234,7 @@ def _index(sets: DataFrame) -> DataFrame:
     postings = sets.select("set", "n", F.explode("tokens").alias("token"))
     freq = materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "frequencies")
     total = int(freq.agg(F.sum("f")).first()[0] or 0)
-    shared = _with_hot(postings, freq, total, "f").groupBy("set", "n").agg(F.collect_set(F.struct(F.col("f").cast("long").alias("f"), "token")).alias("found"))
+    shared = join_hot(postings, freq, ["token"], "f", total).groupBy("set", "n").agg(F.collect_set(F.struct(F.col("f").cast("long").alias("f"), "token")).alias("found"))
     chosen = shared.mapInArrow(tidy(choose), "set long, n int, m int, alone int, prefix array<long>")
     out = materialize(chosen.join(sets.select("set", "sign").dropDuplicates(["set"]), "set"), "index")
     discard(freq)
@@ -285,7 +276,7 @@ def _share_enough() -> Column:
 def _stars(live: DataFrame, postings: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     """Candidates (a, b): each set with the hubs of its prefix tokens, if their prefixes share enough; of these the HUBS with the nearest signatures."""
     ends = tokens.select("token", "f", F.array("x", "y").alias("hubs"))
-    tried = _with_hot(postings.select("set", "component", "token"), ends, total, "f").select("set", "component", F.explode("hubs").alias("hub")).distinct()
+    tried = join_hot(postings.select("set", "component", "token"), ends, ["token"], "f", total).select("set", "component", F.explode("hubs").alias("hub")).distinct()
     sides = ("n", "m", "prefix", "sign", "component")
     pairs = tried.filter(F.col("set") != F.col("hub")).select(F.col("set").alias("a"), F.col("hub").alias("b")).join(_side(live, "a", *sides), "a").join(_side(live, "b", *sides), "b")
     near = pairs.filter((F.col("componenta") != F.col("componentb")) & _may_link(_differ()) & _share_enough()).select("a", "b", _differ().alias("differ"))
@@ -299,7 +290,7 @@ def _rest(_: DataFrame, postings: DataFrame, tokens: DataFrame, total: int) -> D
     The sets of a token are dealt into groups of about GROUP on one side, and the other side goes to each of them.
     """
     groups = tokens.select("token", "f", F.ceil(F.col("f") / GROUP).cast("int").alias("groups"))
-    rows = _with_hot(postings.select("set", "component", "n", "m", "pos", "sign", "token"), groups, total, "f").drop("f")
+    rows = join_hot(postings.select("set", "component", "n", "m", "pos", "sign", "token"), groups, ["token"], "f", total).drop("f")
     sides = ("component", "n", "m", "pos", "sign")
     a = rows.withColumn("group", F.pmod(F.xxhash64("set"), F.col("groups"))).select("token", F.col("group").cast("int").alias("group"), F.col("set").alias("a"), *(F.col(c).alias(c + "a") for c in sides))
     b = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("token", "group", F.col("set").alias("b"), *(F.col(c).alias(c + "b") for c in sides))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.repeats import KEYS, later_ranges, remove_ranges, span_rows
-from marlstone.llm.shared import documents, materialize
+from marlstone.llm.shared import discard, documents, join_hot, materialize
 from marlstone.llm.shingles import mixed, runs
 
 RUN = 3
@@ -71,10 +71,13 @@ def dedup_lines(docs: DataFrame, run: int = RUN, line: tuple[int, int] | None =
     prints = span_rows(docs, False, _fingerprints(run, line), [("line", pa.int64(), "long"), ("low", pa.int32(), "int"), ("n", pa.int32(), "int"), ("windows", pa.list_(pa.int64()), "array<long>")])
     prints = materialize(prints, "prints")
     here = F.struct(*KEYS, "low")
-    shared = prints.groupBy("line").agg(F.min(here).alias("a"), F.max(here).alias("b")).filter("a <> b").select("line")
-    matched = prints.join(shared, "line").select(*KEYS, "low", "n", F.posexplode("windows").alias("i", "key"))
+    shared = prints.groupBy("line").agg(F.min(here).alias("a"), F.max(here).alias("b"), F.count(F.lit(1)).alias("count"))
+    shared = materialize(shared.filter("a <> b").select("line", "count"), "lines")
+    matched = join_hot(prints, shared, ["line"], "count", prints.count()).select(*KEYS, "low", "n", F.posexplode("windows").alias("i", "key"))
     spans = matched.select(*KEYS, "key", (F.col("low") + F.col("i")).alias("start"), "n").distinct()
-    return remove_ranges(docs, later_ranges(spans), False, "n_lines", "n_removed_lines")
+    ranges = later_ranges(spans)
+    discard(prints, shared)
+    return remove_ranges(docs, ranges, False, "n_lines", "n_removed_lines")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.shared import tidy
+from marlstone.llm.shared import discard, join_hot, materialize, tidy
 from marlstone.llm.shingles import segments, slices
 
 LAST = (1 << 63) - 1
@@ -45,16 +45,21 @@ def span_rows(docs: DataFrame, sentences: bool, spans: Callable, fields: list[tu
 def later_ranges(spans: DataFrame) -> DataFrame:
     """spans(doc, text_hash, key, start, n) -> (doc, text_hash, ranges array<struct(start, end)>): spans whose key occurs before.
 
-    A first occurrence is a minimum, so it is combined before the shuffle; the join back meets hot keys with AQE's split of
-    skewed partitions. A span that overlaps its first occurrence in the same text loses only what lies beyond that one.
+    A first occurrence is a minimum, so it is combined before the shuffle; frequent keys are joined back by broadcast. A span
+    that overlaps its first occurrence in the same text loses only what lies beyond that one.
     """
+    spans = materialize(spans, "spans")
     here = F.struct("doc", "text_hash", "start")
-    firsts = spans.groupBy("key", "n").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last").select("key", "n", "first")
-    later = spans.join(firsts, ["key", "n"]).filter(here != F.col("first"))
+    firsts = spans.groupBy("key", "n").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count(F.lit(1)).alias("count"))
+    firsts = materialize(firsts.filter("first <> last").select("key", "n", "first", "count"), "firsts")
+    joined = join_hot(spans, firsts, ["key", "n"], "count", spans.count())
+    later = joined.filter(here != F.col("first"))
     same = (F.col("first.doc") == F.col("doc")) & (F.col("first.text_hash") == F.col("text_hash"))
     start = F.when(same, F.greatest("start", F.col("first.start") + F.col("n"))).otherwise(F.col("start"))
     cut = later.select(*KEYS, start.alias("start"), (F.col("start") + F.col("n")).alias("end")).filter("start < end")
-    return cut.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    out = materialize(cut.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
+    discard(spans, firsts)
+    return out
 
 
 def _without(raw: bytes, begin: list[int], drop: np.ndarray) -> str:
