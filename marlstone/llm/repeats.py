@@ -86,12 +86,14 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, sentences: bool, total: st
                 _, start, _, row, _ = segments(at, data, sentences)
                 totals, gone = np.bincount(row, minlength=last - first), np.zeros(last - first, np.int64)
                 if found.null_count < len(found):
-                    texts = columns[where].to_pylist()
+                    texts, of = columns[where].to_pylist(), found.offsets.to_numpy()
+                    starts, ends = (found.values.field(c).to_numpy() for c in ("start", "end"))
                     for k in np.flatnonzero(found.is_valid()).tolist():
                         begin = start[np.searchsorted(row, k) : np.searchsorted(row, k, "right")] - at[k]
-                        drop = np.zeros(len(begin), bool)
-                        for r in found[k].as_py():
-                            drop[r["start"] : r["end"]] = True
+                        step = np.zeros(len(begin) + 1, np.int64)
+                        np.add.at(step, starts[of[k] : of[k + 1]], 1)
+                        np.add.at(step, ends[of[k] : of[k + 1]], -1)
+                        drop = np.cumsum(step[:-1]) > 0
                         gone[k] = drop.sum()
                         if gone[k]:
                             texts[k] = _without(data[at[k] : at[k + 1]].tobytes(), begin.tolist(), drop)
