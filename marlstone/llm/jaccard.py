@@ -39,7 +39,7 @@ ROUNDS, HUBS = 2, 3
 #: Words of 64 bits in a set's parity signature, which tells pairs apart that differ in more tokens than a link allows.
 SIGN = 8
 #: Bytes of text for a bucket, prefix tokens of a piece, partitions at most, sets of a token that meet in one group.
-BUCKET, PIECE, PARTITIONS, GROUP = 1 << 24, 1 << 20, 20_000, 512
+BUCKET, PIECE, PARTITIONS, GROUP = 1 << 24, 1 << 19, 20_000, 512
 _LOW = np.uint64((1 << 48) - 1)
 
 
