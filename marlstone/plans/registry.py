@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.plans import corpus, ratings, transcripts
+from marlstone.plans import corpus, files, ratings, transcripts
 
 
 def _wide(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,6 @@ def _wide(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
-_PARTS = (ratings, transcripts, corpus)
+_PARTS = (ratings, transcripts, corpus, files)
 QUERIES = {name: _wide(f) for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -93,9 +93,13 @@ def write_srt(segments: DataFrame, path: str) -> None:
     srt_documents(segments, ["dataset", "video"]).withColumnRenamed("srt", "value").write.mode("overwrite").partitionBy("dataset", "video").text(path)
 
 
-def write_corpus(pairs: DataFrame, videos: DataFrame, path: str) -> None:
+def write_corpus(pairs: DataFrame, videos: DataFrame, path: str, as_json: bool = False) -> None:
+    """Both tables as Parquet and, if asked for, as JSON lines under ``json``: one document for all would be written by one task."""
     pairs.write.mode("overwrite").partitionBy("dataset", "approach").parquet(f"{path}/pairs")
     videos.write.mode("overwrite").partitionBy("dataset").parquet(f"{path}/videos")
+    if as_json:
+        pairs.write.mode("overwrite").json(f"{path}/json/pairs", encoding="UTF-8")
+        videos.write.mode("overwrite").json(f"{path}/json/videos", encoding="UTF-8")
 
 
 def write_report_tables(tables: dict[str, DataFrame], path: str) -> list[str]:

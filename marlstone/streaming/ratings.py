@@ -5,19 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from marlstone.operators.ratings import latest_ratings
 
 
-def stream_latest_ratings(source: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch into the versions under ``table``: version n holds the latest rows after batch n, so a batch that is run again changes nothing."""
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each bucket the rows of its last batch. There is one row a bucket to broadcast, and other files aren't read beyond their place."""
+    last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), ["bucket", "batch"])
+
+
+def _stored(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema, StructField("batch", LongType()), StructField("bucket", IntegerType())])).parquet(table)
+
+
+def read_latest(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """What ``stream_latest_ratings`` has kept under ``table``: the newest row of each rater and pair."""
+    return _newest(_stored(spark, table, schema)).select(*schema.names)
+
+
+def stream_latest_ratings(source: DataFrame, table: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merge each batch into ``table``: batch n writes the buckets of keys that it touches, whole, under ``batch=n``; all others stay as they are.
+
+    A batch starts from what was there before it, so one that is run again changes nothing. Choose ``buckets`` once for a table: a task holds one.
+    """
     spark = source.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        whole = batch
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("session_id", "qa_uid"), F.lit(buckets)).cast("int"))
         if number > 0:
-            whole = spark.read.parquet(f"{table}/version={number - 1}").unionByName(batch)
-        latest_ratings(whole).write.mode("overwrite").parquet(f"{table}/version={number}")
+            before = _newest(_stored(spark, table, batch.schema).filter(F.col("batch") < number)).drop("batch")
+            rows = before.join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi").unionByName(rows)
+        latest_ratings(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -200,6 +200,7 @@ def test_files_round_trip(spark, tmp_path):
     assert [(r["uid"], r["t"]) for r in pairs.collect()] == [("A_v1_RAG_q1", 3)]
     io.write_corpus(pairs, pairs.select("dataset", "video").distinct(), str(tmp_path / "corpus"))
     assert spark.read.parquet(str(tmp_path / "corpus" / "pairs")).count() == 1
+    assert not (tmp_path / "corpus" / "json").exists()
 
 
 def test_manifest_modes(spark, tmp_path):
@@ -236,8 +237,7 @@ def test_streams(spark, tmp_path):
         df.filter(F.col("id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(t).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     stream.stream_latest_ratings(source, str(tmp_path / "latest"), str(tmp_path / "c1")).awaitTermination()
-    newest = max(int(p.name.split("=")[1]) for p in (tmp_path / "latest").iterdir())
-    got = {r["id"] for r in spark.read.parquet(str(tmp_path / "latest" / f"version={newest}")).collect()}
+    got = {r["id"] for r in stream.read_latest(spark, str(tmp_path / "latest"), df.schema).collect()}
     assert got == {r["id"] for r in R.latest_ratings(df).collect()}
     closed = stream.run_progress(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "c2"))
     assert {(r["hour"].hour, r["submissions"]) for r in closed.collect()} >= {(1, 2), (2, 2)}
@@ -245,3 +245,16 @@ def test_streams(spark, tmp_path):
 
 def test_label_dimensions():
     assert all(len(v) == 4 for v in S.SCALES.values()) and set(S.ERRORS) == set(S.BINARY)
+
+
+def test_scratch_folder(spark):
+    from types import SimpleNamespace
+
+    from marlstone.sources import scratch
+
+    assert scratch.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master))
+    assert scratch.scratch_dir(unset("local[2]")) == scratch.scratch_dir(unset("local[*]"))
+    for cluster in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch.scratch_dir(unset(cluster))
