@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import TRACKS, build_uid, is_refusal, word_count
+from marlstone.sources.scratch import materialize
 
 
 def corpus_pairs(pairs: DataFrame) -> DataFrame:
@@ -91,25 +92,29 @@ def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int =
 
     Equal questions are one first, known by the least uid; each other uid of them comes as (least uid, uid, 1.0), so every uid that has an equal or
     near one is in some row. Pairs of different questions are pairs of least uids. A question's prefix in order of frequency must meet a partner's, so common shingles are
-    joined only where a question has no rarer ones.
+    joined only where a question has no rarer ones. Shingles are 64-bit hashes, worked out once and written to the scratch folder; those of one question only take
+    the first places of its order and go no further than their count.
     """
+    questions = pairs.filter("question is not null")
+    least = questions.groupBy("question").agg(F.min("uid").alias("uid"))
+    equal = questions.join(least.withColumnRenamed("uid", "uid_a"), "question").filter("uid <> uid_a").select("uid_a", F.col("uid").alias("uid_b"), F.lit(1.0).alias("jaccard")).distinct()
     words = F.filter(F.split(F.lower("question"), r"\s+"), lambda x: x != "")
-    # k shifted copies side by side: a slice for each place would work the words out again for each of them
-    runs = F.slice("w", 1, F.size("w") - k + 1)
-    for j in range(2, k + 1):
-        runs = F.zip_with(runs, F.slice("w", j, F.size("w") - k + 1), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.when(F.size("w") < k, F.array(F.array_join("w", " "))).otherwise(F.array_distinct(runs))
-    least = pairs.filter("question is not null").groupBy("question").agg(F.min("uid").alias("uid"))
-    equal = pairs.join(least.withColumnRenamed("uid", "uid_a"), "question").filter("uid <> uid_a").select("uid_a", F.col("uid").alias("uid_b"), F.lit(1.0).alias("jaccard")).distinct()
-    distinct = least.withColumn("w", words).filter(F.size("w") > 0).withColumn("g", grams)
-    tokens = distinct.select("uid", F.size("g").alias("n"), F.explode("g").alias("t"))
-    df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    place = F.row_number().over(Window.partitionBy("uid").orderBy("f", "t"))
-    prefix = tokens.join(df, "t").withColumn("p", place).filter((F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("f") > 1)).select("t", "uid")
-    pairs_ = prefix.withColumnRenamed("uid", "uid_a").join(prefix.withColumnRenamed("uid", "uid_b"), "t").filter("uid_a < uid_b").select("uid_a", "uid_b").distinct()
-    sets = distinct.select("uid", "g")
-    both = pairs_.join(sets.withColumnsRenamed({"uid": "uid_a", "g": "ga"}), "uid_a").join(sets.withColumnsRenamed({"uid": "uid_b", "g": "gb"}), "uid_b")
-    j = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
+    runs = F.transform(F.slice("h", 1, F.size("h") - k + 1), lambda x, i: F.xxhash64(x, *[F.get("h", i + j) for j in range(1, k)]))
+    grams = F.when(F.size("h") < k, F.array(F.xxhash64("h"))).otherwise(F.array_distinct(runs))
+    # no filter on h or g: it would be pushed below and work the words out again for each place
+    hashed = least.filter(F.col("question").rlike(r"\S")).select("uid", F.transform(words, lambda x: F.xxhash64(x)).alias("h"))
+    sets = materialize(hashed.select("uid", grams.alias("g")), "question_shingles").withColumn("n", F.size("g"))
+    tokens = sets.select("uid", "n", F.explode("g").alias("t"))
+    df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    own = Window.partitionBy("uid")
+    shared = tokens.join(df, "t").withColumns({"p": F.row_number().over(own.orderBy("f", "t")), "m": F.count(F.lit(1)).over(own)})
+    prefix = shared.filter(F.col("n") - F.col("m") + F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", "uid", "n")
+    one = lambda x: prefix.select("t", F.col("uid").alias(f"uid_{x}"), F.col("n").alias(f"n{x}"))
+    met = one("a").join(one("b"), "t").filter((F.col("uid_a") < F.col("uid_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-6)))
+    candidates = met.select("uid_a", "uid_b").distinct()
+    side = lambda x: sets.select(F.col("uid").alias(f"uid_{x}"), F.col("g").alias(f"g{x}"))
+    both = candidates.join(side("a"), "uid_a").join(side("b"), "uid_b").withColumn("common", F.size(F.array_intersect("ga", "gb")))
+    j = F.col("common") / (F.size("ga") + F.size("gb") - F.col("common"))
     return both.select("uid_a", "uid_b", F.round(j, 6).alias("jaccard")).filter(F.col("jaccard") >= threshold).unionByName(equal)
 
 
