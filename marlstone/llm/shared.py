@@ -9,15 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.sources.scratch import new_folder, scratch_dir
+from marlstone.sources.scratch import materialize, scratch_dir
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "documents", "join_hot", "materialize", "tidy"]
 
 
 def discard(*tables: DataFrame) -> None:
