@@ -42,6 +42,17 @@ def select_proportional(pool: DataFrame, keys: list[str], k: int, segment: str =
     return ranked.withColumn("selected", F.col("first") | (~F.col("first") & (rest <= F.lit(k) - taken))).drop("first", "quota")
 
 
+def calls_per_agent(questions: DataFrame, keys: list[str], segment: str = "segment") -> DataFrame:
+    """questions(keys, segment, selected) -> (agent, calls, per_video): a call for each video, segment, candidate question and selected question. No questions: 0 calls, null for each video."""
+    parts = questions.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("q"), F.count_if("selected").alias("s"))
+    videos = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("parts"), F.sum("q").alias("q"), F.sum("s").alias("s"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = videos.agg(F.count(F.lit(1)).alias("v"), total("parts").alias("parts"), total("q").alias("q"), total("s").alias("s"))
+    agents = zip(("Architect", "Inquisitor", "Scorer", "Synthesizer"), ("v", "parts", "q", "s"), strict=True)
+    one = sums.select("v", F.explode(F.array(*[F.struct(F.lit(a).alias("agent"), F.col(c).alias("calls")) for a, c in agents])).alias("c"))
+    return one.select("c.agent", "c.calls", F.round(F.try_divide("c.calls", "v"), 6).alias("per_video"))
+
+
 def selection_status(questions: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
     flag = chosen.select(*on).distinct().withColumn("_in", F.lit(True))
     return questions.join(flag, on, "left").withColumn("status", F.when(F.col("_in"), "Selected").otherwise("Rejected")).drop("_in")

@@ -156,6 +156,12 @@ def annotator_calibration(long: DataFrame) -> DataFrame:
     return describe_ordinal(histogram(long, ["annotator", "metric"]), ["annotator", "metric"]).select("annotator", "metric", "n", "median", "top2_pct")
 
 
+def annotator_order(long: DataFrame) -> DataFrame:
+    """(annotator, n, place): annotators by all their scores, most first, then by name; the last window has a row for each annotator."""
+    n = long.filter("score is not null").groupBy("annotator").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("annotator").asc_nulls_last())))
+
+
 def annotator_pace(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("annotator").agg(F.countDistinct("qa_uid").alias("pairs"), F.median("seconds_spent").alias("median_seconds"))
 

@@ -51,8 +51,8 @@ def fenced_blueprints(spark, d):
 
 
 def caption_tracks(spark, d):
-    names = "CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'en-orig' WHEN 2 THEN 'zh-Hant' WHEN 3 THEN 'a-auto' ELSE 'zh' END"
-    t = A.table(spark, d, "events").selectExpr("user_id AS video", "CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang", f"{names} AS name").filter("name <> 'en-orig' or video % 3 = 0")
+    names = "CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN 'en-orig' ELSE 'a-orig' END WHEN 2 THEN 'zh-Hant' WHEN 3 THEN 'a-auto' ELSE 'zh' END"
+    t = A.table(spark, d, "events").selectExpr("user_id AS video", "CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang", f"{names} AS name")
     return C.pick_caption_track(t, ["video"])
 
 
@@ -151,8 +151,8 @@ ORACLE_SQL = {
     "pairs_with_video": f"WITH {Z}, {A.MANIFEST}, {_LINKS} SELECT uid, url, language FROM corpus LEFT JOIN links USING (dataset, video)",
     "missing_video_links": f"WITH {Z}, {A.MANIFEST}, {_LINKS} SELECT DISTINCT dataset, video FROM corpus ANTI JOIN links USING (dataset, video)",
     "pending_downloads": "SELECT doc_id AS video FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
-    "pick_caption_track": """WITH t AS (SELECT user_id AS video, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang, CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'en-orig' WHEN 2 THEN 'zh-Hant' WHEN 3 THEN 'a-auto' ELSE 'zh' END AS name FROM events)
- SELECT video, lang, arg_min(name, CASE lang || ' ' || name WHEN 'en en-orig' THEN '0' WHEN 'en en' THEN '1' WHEN 'zh zh-Hans' THEN '0' WHEN 'zh zh-Hant' THEN '1' WHEN 'zh zh' THEN '2' ELSE '9' END || name) AS name FROM t WHERE name <> 'en-orig' OR video % 3 = 0 GROUP BY video, lang""",
+    "pick_caption_track": """WITH t AS (SELECT user_id AS video, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang, CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN 'en-orig' ELSE 'a-orig' END WHEN 2 THEN 'zh-Hant' WHEN 3 THEN 'a-auto' ELSE 'zh' END AS name FROM events)
+ SELECT video, lang, arg_min(name, CASE lang || ' ' || name WHEN 'en en-orig' THEN '0' WHEN 'en en' THEN '1' WHEN 'zh zh-Hans' THEN '0' WHEN 'zh zh-Hant' THEN '1' WHEN 'zh zh' THEN '2' ELSE '9' END || name) AS name FROM t GROUP BY video, lang""",
     "pick_transcript": "SELECT user_id AS video, MIN(concat('transcript-', event_id % 7, '.json')) AS name FROM events WHERE event_id % 3 <> 0 GROUP BY user_id",
     "shared_ordered_set": f"WITH {Z} SELECT uid FROM corpus ORDER BY n, video, dataset, approach, uid LIMIT 50",
     "stratified_sample": f"WITH {Z} SELECT uid FROM corpus QUALIFY row_number() OVER (PARTITION BY dataset, video, approach ORDER BY md5(uid || '42'), uid) <= 1",

@@ -129,6 +129,7 @@ QUERIES = {
     "unexpected_labels": lambda s, d: R.unexpected_labels(_latest(s, d)),
     "unmapped_labels": lambda s, d: R.unmapped_labels(_latest(s, d)),
     "annotator_calibration": lambda s, d: T.annotator_calibration(_long(s, d)),
+    "annotator_order": lambda s, d: T.annotator_order(_long(s, d)),
     "annotator_pace": lambda s, d: T.annotator_pace(_latest(s, d)),
     "annotator_progress": lambda s, d: R.annotator_progress(A.ratings(s, d)),
     "overlap_ratings": lambda s, d: R.overlap_ratings(_latest(s, d)).select("id", "qa_uid", "annotator"),
@@ -169,6 +170,7 @@ ORACLE_SQL = {
     "unexpected_labels": f"WITH {ISSUES} SELECT metric, error, COUNT(*) AS n FROM ticked WHERE error <> 'No issue' AND NOT ({_KNOWN}) GROUP BY ALL",
     "unmapped_labels": f"WITH {LATEST} SELECT metric, label, COUNT(*) AS n FROM ({_LABELS}) WHERE label IS NOT NULL AND score IS NULL GROUP BY ALL",
     "annotator_calibration": f"WITH {LONG}, {_describe('annotator, metric')} SELECT annotator, metric, n, median, round(100.0 * top2_n / n, 6) AS top2_pct FROM ordinal",
+    "annotator_order": f"WITH {LONG} SELECT annotator, COUNT(*) AS n, row_number() OVER (ORDER BY COUNT(*) DESC, annotator) AS place FROM long WHERE score IS NOT NULL GROUP BY annotator",
     "annotator_pace": f"WITH {LATEST} SELECT annotator, COUNT(DISTINCT qa_uid) AS pairs, quantile_cont(seconds_spent, 0.5) AS median_seconds FROM latest GROUP BY annotator",
     "annotator_progress": f"WITH {LATEST} SELECT annotator, COUNT(*) AS rated, MAX(created_at) AS last_submission FROM latest GROUP BY annotator",
     "overlap_ratings": f"WITH {LATEST} SELECT id, qa_uid, annotator FROM latest WHERE qa_uid IN (SELECT qa_uid FROM latest GROUP BY qa_uid HAVING COUNT(DISTINCT annotator) > 1)",

@@ -106,7 +106,7 @@ def segment_times(spark, d):
 
 def question_context(spark, d):
     parts = G.segment_times(G.segment_content(A.blueprint(spark, d), A.segments(spark, d), ["video"]), A.segments(spark, d), ["video"])
-    asked = A.scored_pool(spark, d).filter("score >= 9").select("video", "segment", "id")
+    asked = C.select_proportional(A.scored_pool(spark, d), ["video"], 20).filter("selected").select("video", "segment", "id")
     return C.question_context(asked, parts, ["video", "segment"]).select("video", "segment", "id", F.length("content").alias("content_chars"), F.round("time_start_sec", 6).alias("time_start_sec"))
 
 
@@ -142,6 +142,7 @@ QUOTAS = f"""WITH {A.POOL}, q AS (SELECT video, segment, greatest(round(avg(scor
  r AS (SELECT *, round(CASE WHEN SUM(quality) OVER (PARTITION BY video) > 0 THEN quality / SUM(quality) OVER (PARTITION BY video) ELSE 1.0 / COUNT(*) OVER (PARTITION BY video) END * 20, 9) AS raw FROM q),
  b AS (SELECT *, CAST(floor(raw) AS BIGINT) AS base FROM r),
  quotas AS (SELECT video, segment, quality, base + CASE WHEN row_number() OVER (PARTITION BY video ORDER BY round(raw - base, 9) DESC, segment) <= 20 - SUM(base) OVER (PARTITION BY video) THEN 1 ELSE 0 END AS quota FROM b)"""
+ISLANDS = "f AS (SELECT *, CASE WHEN lag(title) OVER (PARTITION BY video ORDER BY start_line, id) = title THEN 0 ELSE 1 END AS new FROM blueprint), r AS (SELECT *, SUM(new) OVER (PARTITION BY video ORDER BY start_line, id) AS island FROM f)"
 SELECTED = QUOTAS + """, f AS (SELECT pool.*, row_number() OVER (PARTITION BY video, segment ORDER BY score DESC, id DESC) <= quota AS first FROM pool JOIN quotas USING (video, segment)),
  s AS (SELECT *, SUM(CAST(first AS INT)) OVER (PARTITION BY video) AS taken, row_number() OVER (PARTITION BY video, first ORDER BY score DESC, id DESC) AS rest FROM f)"""
 CONTENT = f"{A.SEGMENTS}, {A.BLUEPRINT}, content AS (SELECT b.video, b.segment, coalesce(string_agg(s.line_no || ': ' || s.text, chr(10) ORDER BY s.line_no), '') AS content FROM blueprint b LEFT JOIN segments s ON s.video = b.video AND s.line_no BETWEEN b.start_line AND b.end_line GROUP BY b.video, b.segment)"
@@ -173,12 +174,13 @@ QUERIES = {
     "segment_content": segment_content,
     "segment_times": segment_times,
     "question_context": question_context,
-    "distribute_questions": lambda s, d: G.distribute_questions(A.blueprint(s, d).filter("(video + id) % 4 <> 0"), ["video"], "start_line").select("video", "segment", "questions"),
+    "distribute_questions": lambda s, d: G.distribute_questions(G.merge_consecutive(A.blueprint(s, d), ["video"]), ["video"], "id").select("video", F.col("id").alias("segment"), "questions"),
     "merge_consecutive": lambda s, d: G.merge_consecutive(A.blueprint(s, d), ["video"]),
     "deduplicate_segments": lambda s, d: G.deduplicate_segments(A.blueprint(s, d), ["video"]).select("video", "id", "title"),
     "repair_segments": repair_segments,
     "segment_quality": lambda s, d: C.segment_quality(A.scored_pool(s, d), ["video"]).withColumn("quality", F.round("quality", 6)),
     "largest_remainder_quotas": lambda s, d: C.largest_remainder_quotas(C.segment_quality(A.scored_pool(s, d), ["video"]), ["video"], F.lit(20)).select("video", "segment", "quota"),
+    "calls_per_agent": lambda s, d: C.calls_per_agent(C.select_proportional(A.scored_pool(s, d), ["video"], 20), ["video"]),
     "select_proportional": lambda s, d: C.select_proportional(A.scored_pool(s, d), ["video"], 20).filter("selected").select("video", "segment", "id"),
     "selection_status": selection_status,
     "skip_topics": lambda s, d: C.skip_topics(A.blueprint(s, d), ["T1"]).select("video", "segment", "topic"),
@@ -210,9 +212,10 @@ ORACLE_SQL = {
  SELECT video, row_number() OVER w AS line_no, round(ms / 1000.0, 6) AS start_sec, round(coalesce(ms / 1000.0 + dur / 1000.0, lead(ms) OVER w / 1000.0, ms / 1000.0), 6) AS end_sec, text FROM e WINDOW w AS (PARTITION BY video ORDER BY seq)""",
     "segment_content": f"WITH {CONTENT} SELECT video, segment, md5(content) AS content_md5 FROM content",
     "segment_times": f"WITH {CONTENT}, {TIMES} SELECT video, segment, round(a, 6) AS time_start_sec, round(z, 6) AS time_end_sec, {HMS.format('a')} AS time_start_hhmmss, {HMS.format('z')} AS time_end_hhmmss FROM times",
-    "question_context": f"WITH {CONTENT}, {TIMES}, {A.POOL} SELECT video, segment, id, length(content) AS content_chars, round(a, 6) AS time_start_sec FROM pool JOIN content USING (video, segment) JOIN times USING (video, segment) WHERE score >= 9 AND content <> ''",
-    "distribute_questions": f"WITH {A.BLUEPRINT}, b AS (SELECT *, COUNT(*) OVER (PARTITION BY video) AS n, row_number() OVER (PARTITION BY video ORDER BY start_line) AS i FROM blueprint WHERE (video + id) % 4 <> 0) SELECT video, segment, 20 // n + CASE WHEN i <= 20 % n THEN 1 ELSE 0 END AS questions FROM b",
-    "merge_consecutive": f"""WITH {A.BLUEPRINT}, f AS (SELECT *, CASE WHEN lag(title) OVER (PARTITION BY video ORDER BY start_line, id) = title THEN 0 ELSE 1 END AS new FROM blueprint), r AS (SELECT *, SUM(new) OVER (PARTITION BY video ORDER BY start_line, id) AS island FROM f)
+    "question_context": f"{SELECTED}, {CONTENT}, {TIMES} SELECT video, segment, id, length(content) AS content_chars, round(a, 6) AS time_start_sec FROM s JOIN content USING (video, segment) JOIN times USING (video, segment) WHERE (first OR rest <= 20 - taken) AND content <> ''",
+    "distribute_questions": f"""WITH {A.BLUEPRINT}, {ISLANDS}, b AS (SELECT video, COUNT(*) OVER (PARTITION BY video) AS n, row_number() OVER (PARTITION BY video ORDER BY island) AS segment FROM (SELECT DISTINCT video, island FROM r))
+ SELECT video, segment, 20 // n + CASE WHEN segment <= 20 % n THEN 1 ELSE 0 END AS questions FROM b""",
+    "merge_consecutive": f"""WITH {A.BLUEPRINT}, {ISLANDS}
  SELECT video, any_value(title) AS title, MIN(start_line) AS start_line, arg_max(end_line, start_line * 1000 + id) AS end_line, row_number() OVER (PARTITION BY video ORDER BY island) AS id FROM r GROUP BY video, island""",
     "deduplicate_segments": f"WITH {A.BLUEPRINT} SELECT video, MIN(id) AS id, title FROM blueprint GROUP BY video, title",
     "repair_segments": f"""WITH RECURSIVE {A.BLUEPRINT}, o AS (SELECT video, topic, start_line, end_line, row_number() OVER (PARTITION BY video ORDER BY start_line, end_line, topic) AS i FROM blueprint),
@@ -223,6 +226,9 @@ ORACLE_SQL = {
  SELECT video, row_number() OVER (PARTITION BY video ORDER BY start_line) AS segment, start_line, end_line, coalesce(topic, 'Uncategorized Content (Lines ' || start_line || '-' || end_line || ')') AS topic FROM rows""",
     "segment_quality": f"{QUOTAS} SELECT video, segment, round(quality, 6) AS quality FROM quotas",
     "largest_remainder_quotas": f"{QUOTAS} SELECT video, segment, CAST(quota AS BIGINT) AS quota FROM quotas",
+    "calls_per_agent": f"""{SELECTED}, v AS (SELECT video, COUNT(DISTINCT segment) AS segments, COUNT(*) AS questions, COUNT(*) FILTER (first OR rest <= 20 - taken) AS selected FROM s GROUP BY video),
+ c AS (SELECT COUNT(*) AS videos, SUM(segments) AS segments, SUM(questions) AS questions, SUM(selected) AS selected FROM v), l AS (SELECT videos, unnest(['Architect', 'Inquisitor', 'Scorer', 'Synthesizer']) AS agent, unnest([videos, segments, questions, selected]) AS calls FROM c)
+ SELECT agent, CAST(calls AS BIGINT) AS calls, round(calls * 1.0 / videos, 6) AS per_video FROM l""",
     "select_proportional": f"{SELECTED} SELECT video, segment, id FROM s WHERE first OR rest <= 20 - taken",
     "selection_status": f"{SELECTED} SELECT video, segment, id, CASE WHEN first OR rest <= 20 - taken THEN 'Selected' ELSE 'Rejected' END AS status FROM s",
     "skip_topics": f"WITH {A.BLUEPRINT} SELECT video, segment, topic FROM blueprint WHERE topic <> 't1'",

@@ -258,3 +258,17 @@ def test_scratch_folder(spark):
     for cluster in ("spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="checkpoint"):
             scratch.scratch_dir(unset(cluster))
+
+
+def test_calls_per_agent_without_questions_and_with_one_segment(spark):
+    rows = [(1, 1, True), (1, 1, False), (1, 2, False), (2, 1, True)]
+    table = spark.createDataFrame(rows, "video int, segment int, selected boolean")
+    got = {r["agent"]: (r["calls"], r["per_video"]) for r in C.calls_per_agent(table, ["video"]).collect()}
+    assert got == {"Architect": (2, 1.0), "Inquisitor": (3, 1.5), "Scorer": (4, 2.0), "Synthesizer": (2, 1.0)}
+    none = C.calls_per_agent(table.limit(0), ["video"]).collect()
+    assert {(r["calls"], r["per_video"]) for r in none} == {(0, None)}
+
+
+def test_annotators_are_ordered_by_all_scores(spark):
+    table = spark.createDataFrame([("b", 4), ("a", 1), ("c", 2), ("c", 3), ("a", None)], "annotator string, score int")
+    assert [tuple(r) for r in T.annotator_order(table).orderBy("place").collect()] == [("c", 2, 1), ("a", 1, 2), ("b", 1, 3)]
