@@ -11,6 +11,7 @@ from marlstone.llm.jaccard import op4_jaccard_join
 from marlstone.llm.langid import op6_language_id
 from marlstone.llm.line_dedup import op10_line_dedup
 from marlstone.llm.pii import op2_pii_surrogates
+from marlstone.llm.rank_bpe import op12_rank_bpe
 from marlstone.llm.sharding import op3_histogram_shards
 from marlstone.llm.substring_dedup import op5_sentence_spans
 
@@ -19,6 +20,7 @@ QUERIES = {
     for f in (
         op1_bpe_encode_decode, op2_pii_surrogates, op3_histogram_shards, op4_jaccard_join, op5_sentence_spans, op6_language_id,
         op7_grid_order_join, op8_string_tiling, op9_chat_windows, op10_line_dedup,
+        op12_rank_bpe,
     )
 }
 ORACLE_SQL: dict[str, str] = {
