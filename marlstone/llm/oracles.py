@@ -62,3 +62,47 @@ def _cut(breaks: str, counts: str, removed: str, words: int, size: int) -> str:
 
 OP10 = _cut("\\n", "n_lines", "n_removed_lines", 5, 40)
 OP5 = _cut("\\n|[.!?][\\x09-\\x0D ]", "n_sentences", "n_removed_sentences", 50, 300)
+
+
+def _crc_step(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def crc32(codes: str) -> str:
+    """CRC-32 of a list of bytes, by a table that the rule gives."""
+    table = [_crc_step(c) for c in range(256)]
+    return f"xor(4294967295, list_reduce({codes}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+
+
+def _merkle(tree: str, start: str, levels: int) -> str:
+    """CTEs {tree}0.. of the nodes (g, pos, h, n) of each level, and {tree}s0.. with what stands left and right of each in its run of eight."""
+    out = [f"{tree}0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        before, after = (f"coalesce(string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN {w}), '')" for w in ("UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"))
+        out.append(f"{tree}s{k} AS MATERIALIZED (SELECT g, pos, n, {before} AS before, {after} AS after FROM {tree}{k})")
+        out.append(f"{tree}{k + 1} AS MATERIALIZED (SELECT g, pos // 8 AS pos, CASE WHEN min(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h, (min(n) + 7) // 8 AS n FROM {tree}{k} GROUP BY g, pos // 8)")
+    return ", ".join(out)
+
+
+def _climb(tree: str, way: str, levels: int) -> str:
+    """CTEs that take the rows (.., g, pos, f, proof) of {way}0 up through the levels."""
+    return ", ".join(
+        f"{way}{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.pos // 8 AS pos, CASE WHEN s.n > 1 THEN sha256(s.before || p.f || s.after) ELSE p.f END AS f, p.proof || s.before || s.after AS proof) FROM {way}{k} p JOIN {tree}s{k} s ON p.g IS NOT DISTINCT FROM s.g AND p.pos = s.pos)"
+        for k in range(levels)
+    )
+
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({{{c}}} AS VARCHAR)) || ':' || CAST({{{c}}} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_SAME = {c: c for c in ("doc_id", "source", "lang", "n_chars", "text")}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HIT = f"coalesce({crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 3 = 0, FALSE)"
+# Eight levels of eight hold 16 million rows of a language, three 512 languages.
+OP13 = f"""WITH l AS MATERIALIZED (SELECT doc_id, lang AS g, {_LEAF.format(**_SAME)} AS leaf, CASE WHEN {_HIT} THEN {_LEAF.format(**_SAME | {"text": _LOWER})} ELSE {_LEAF.format(**_SAME)} END AS other FROM documents),
+ r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos, COUNT(*) OVER (PARTITION BY g) AS n FROM l),
+ {_merkle("t", "SELECT g, pos, leaf AS h, n FROM r", 8)},
+ {_merkle("u", "SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, h, COUNT(*) OVER () AS n FROM t8", 3)},
+ p0 AS (SELECT doc_id, leaf, g, pos, other AS f, '' AS proof FROM r), {_climb("t", "p", 8)},
+ q0 AS (SELECT doc_id, leaf, lang.h AS subroot, 0 AS g, lang.pos AS pos, f, proof FROM p8 JOIN (SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos FROM t8) lang ON p8.g IS NOT DISTINCT FROM lang.g), {_climb("u", "q", 3)}
+ SELECT doc_id, leaf, subroot, u3.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u3.h AS verified FROM q3, u3"""
