@@ -106,3 +106,19 @@ OP13 = f"""WITH l AS MATERIALIZED (SELECT doc_id, lang AS g, {_LEAF.format(**_SA
  p0 AS (SELECT doc_id, leaf, g, pos, other AS f, '' AS proof FROM r), {_climb("t", "p", 8)},
  q0 AS (SELECT doc_id, leaf, lang.h AS subroot, 0 AS g, lang.pos AS pos, f, proof FROM p8 JOIN (SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos FROM t8) lang ON p8.g IS NOT DISTINCT FROM lang.g), {_climb("u", "q", 3)}
  SELECT doc_id, leaf, subroot, u3.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u3.h AS verified FROM q3, u3"""
+
+_RUN_HASH = crc32("flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(x) - 64] END))")
+OP11 = f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+ per AS (SELECT doc_id, run, COUNT(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL), hashed AS (SELECT *, {_RUN_HASH} AS h FROM per),
+ cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+ vocabulary AS MATERIALIZED (SELECT word, CAST(SUM(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING SUM(c) >= 3),
+ places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+ holes AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS x, substr(word, i + 1) AS y FROM places),
+ less AS (SELECT DISTINCT word, n, x || y AS other FROM holes),
+ pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.i = b.i AND a.x = b.x AND a.y = b.y AND a.word <> b.word
+   UNION ALL SELECT l.word, v.word, v.n FROM less l JOIN vocabulary v ON v.word = l.other UNION ALL SELECT v.word, l.word, l.n FROM less l JOIN vocabulary v ON v.word = l.other),
+ best AS (SELECT word, COUNT(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+ forms AS MATERIALIZED (SELECT v.word, CASE WHEN other_n >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+ way(word, top) AS (SELECT word, word FROM forms UNION ALL SELECT way.word, form FROM way JOIN forms ON forms.word = way.top WHERE form IS NOT NULL),
+ ends AS (SELECT way.word, top FROM way JOIN forms ON forms.word = way.top WHERE form IS NULL)
+ SELECT word, form, top AS root, n, n_near, form_n FROM forms JOIN ends USING (word)"""

@@ -14,6 +14,7 @@ from marlstone.llm.merkle import op13_merkle_manifest
 from marlstone.llm.pii import op2_pii_surrogates
 from marlstone.llm.rank_bpe import op12_rank_bpe
 from marlstone.llm.sharding import op3_histogram_shards
+from marlstone.llm.spelling import op11_spelling_variants
 from marlstone.llm.substring_dedup import op5_sentence_spans
 
 QUERIES = {
@@ -21,10 +22,10 @@ QUERIES = {
     for f in (
         op1_bpe_encode_decode, op2_pii_surrogates, op3_histogram_shards, op4_jaccard_join, op5_sentence_spans, op6_language_id,
         op7_grid_order_join, op8_string_tiling, op9_chat_windows, op10_line_dedup,
-        op12_rank_bpe, op13_merkle_manifest,
+        op11_spelling_variants, op12_rank_bpe, op13_merkle_manifest,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": oracles.OP4, "op5_sentence_spans": oracles.OP5, "op7_grid_order_join": oracles.OP7, "op9_chat_windows": oracles.OP9, "op10_line_dedup": oracles.OP10,
-    "op13_merkle_manifest": oracles.OP13,
+    "op11_spelling_variants": oracles.OP11, "op13_merkle_manifest": oracles.OP13,
 }
