@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlstone.llm import embeddings, graph, jaccard, registry, sharding
@@ -133,6 +134,50 @@ def test_shards_are_cuts_of_the_sorted_rows(spark):
         assert plain[0]["shard"] == 0 and plain[-1]["shard"] == shards - 1
 
 
+def test_shards_are_cut_inside_repeated_rows(spark):
+    """Rows that repeat doc_id and text, null ones too, hold most of the table: each shard has its share, to the tolerance and half a row."""
+    r = random.Random(2)
+    tables = [
+        [(7, "r" * 99)] * 800 + [(i, "x" * r.randint(0, 150)) for i in range(1000, 1200)],
+        [(None, None)] * 500 + [(None, "same")] * 500 + [(i, "same") for i in range(300)],
+        [(1, "only")] * 1001,
+        [(1, "a")] * 3,
+    ]
+    for rows in tables:
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).withColumn("extra", F.monotonically_increasing_id()).withColumn("shard", F.lit("x"))
+        got = sharding.histogram_shards(table).collect()
+        assert sorted(((x["doc_id"], x["text"]) for x in got), key=repr) == sorted(rows, key=repr) and len({x["extra"] for x in got}) == len(rows)
+        total, below, by = sum(x["size"] for x in got), 0, {}
+        for x in got:
+            by.setdefault(x["shard"], []).append(x)
+        for shard in range(8):
+            own = by.get(shard, [])
+            assert sorted(x["slot"] for x in own) == list(range(len(own)))
+            below += sum(x["size"] for x in own)
+            assert abs(below - total * (shard + 1) / 8) <= sharding.TOLERANCE * total / 8 + max(x["size"] for x in got) / 2
+    # the plain order: shards and slots are places in the sort by key
+    rows = tables[0]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.histogram_shards(table).withColumn("key", sharding._unsigned_key(table["text"], table["doc_id"])).collect()
+    placed = [x["key"] for x in sorted(got, key=lambda x: (x["shard"], x["slot"]))]
+    assert placed == sorted(placed)
+
+
+def test_counts_at_the_driver_dont_grow(spark):
+    """At first at most 16 cells for each piece, then 2**STEP for each open border, on a table in which one text is everywhere."""
+    rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.col("id").alias("doc_id"))
+    keyed = rows.select(sharding._unsigned_key(F.col("text"), F.col("doc_id")).alias("key"), F.lit(5).cast("long").alias("size"))
+    seen = []
+    probes = sharding._probes
+    sharding._probes = lambda counts, below: seen.append((len(counts), len(below))) or probes(counts, below)
+    try:
+        cuts = sharding.find_cuts(keyed, 16, lambda i: 0.001 * 2 if i % 2 == 0 else 0.5)
+    finally:
+        sharding._probes = probes
+    assert all(n <= (16 * 64 if at == 0 else open_ << sharding.STEP) for at, (n, open_) in enumerate(seen))
+    assert all(abs(c.rows - 20000 * (i + 1) / 16) <= (3 if i % 2 else 0.5 * 20000 / 16) for i, c in enumerate(cuts))
+
+
 def test_pipeline(spark):
     """run() against plain versions of its stages; the network's verdicts are taken as they are."""
     import hashlib
