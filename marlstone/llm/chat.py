@@ -92,7 +92,8 @@ def read_back(windows: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows, largest_window) from formatted windows alone."""
     cut = F.slice(F.split(F.col("formatted"), r"<\|im_end\|>\n"), 1, F.size("turns"))
     fresh = F.filter(F.arrays_zip(cut.alias("block"), F.col("turns.kind").alias("kind")), lambda x: x["kind"] == "new")["block"]
-    role_end = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
+    # possessive, so that a role of any length takes no stack
+    role_end = r"(?s)^<\|im_start\|>((?:[^\\\n]++|\\.)*+)\n(.*)$"
     read = F.transform(fresh, lambda x: F.concat(unescaped(F.regexp_extract(x, role_end, 1)), F.lit("\n"), unescaped(F.regexp_extract(x, role_end, 2)), F.lit("\n")))
     loss = F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: unescaped(F.substring(F.col("formatted"), x["start"] + 1, x["length"])))
     each = windows.select("conv_id", F.struct("window", F.size(read).alias("n"), F.array_join(read, "").alias("read"), F.array_join(loss, "").alias("loss")).alias("w"), F.length("formatted").cast("long").alias("chars"), "tokens")
