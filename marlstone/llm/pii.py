@@ -55,12 +55,13 @@ CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 _W = r"[\p{L}\p{N}]"
 _CASED = r"[\p{Lu}&&[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]]"
 #: One word of a name, without a genitive's apostrophe and s.
-_WORD = rf"{_CASED}(?:\p{{L}}|['’](?!s(?!\p{{L}}))\p{{L}})\p{{L}}*(?:(?!['’]s(?!\p{{L}}))['’-]\p{{L}}+)*"
+_WORD = rf"{_CASED}(?:\p{{L}}|['’](?!s(?!\p{{L}}))\p{{L}})\p{{L}}*+(?:(?!['’]s(?!\p{{L}}))['’-]\p{{L}}++(?!\p{{N}}))*+"
 _TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
 _HEX = "[0-9a-fA-F]{1,4}"
-#: What each type looks like; none begins inside a word.
+#: What each type looks like; none begins inside a word. No group is repeated without a bound but a possessive one, which takes no stack, and what
+#: can begin again and again in one run of characters is bounded (local parts 255, labels 63, hosts 128 labels), so that time is linear in the text.
 TYPES = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,254}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,126}\.\p{L}{2,63}+",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "ipv6": rf"(?<!:)(?:(?:{_HEX}:){{7}}{_HEX}|[0-9a-fA-F]{{4}}:(?:{_HEX}:){{0,5}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
     "secret": rf"(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{{32,64}}(?!{_W})",
@@ -71,8 +72,8 @@ TYPES = {
     ),
     "card": rf"(?<!\.)(?:\d{{13,19}}|\d{{4}}(?<part>[ -])\d{{4}}\k<part>\d{{4}}\k<part>\d{{1,7}})(?!{_W})",
     "token": (
-        r"(?:A[KS]IA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{20,}"
-        rf"|eyJ[0-9A-Za-z_-]{{10,}}\.[0-9A-Za-z_-]{{10,}}\.[0-9A-Za-z_-]{{10,}})(?!{_W})"
+        r"(?:A[KS]IA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[0-9A-Za-z-]{10,255}|sk-[0-9A-Za-z_-]{20,255}"
+        rf"|eyJ[0-9A-Za-z_-]{{10,2000}}+\.[0-9A-Za-z_-]{{10,8000}}+\.[0-9A-Za-z_-]{{10,2000}})(?!{_W})"
     ),
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_W})",
     "name": rf"(?:{_TITLE}){{1,3}}(?:(?:{PARTICLES}) ){{0,2}}{_WORD}(?: (?:(?:{PARTICLES}) ){{0,2}}{_WORD}){{0,2}}(?!{_W})",
@@ -123,7 +124,9 @@ def _known(names: Column) -> Column:
         role = lambda i: F.when(F.size(words) == 1, "single").when(i == F.size(words) - 1, "surname").otherwise("given")
         return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.lower(w).alias("canon"), role(i).alias("role"), _gender(m).alias("gender")))
 
-    return F.flatten(F.transform(names, one))
+    # distinct structs are found by comparing all, distinct strings by hashing; a word has no line end
+    lines = F.array_distinct(F.flatten(F.transform(F.array_distinct(names), lambda m: F.transform(one(m), lambda k: F.concat_ws("\n", k["word"], k["canon"], k["role"], k["gender"])))))
+    return F.transform(F.transform(lines, lambda x: F.split(x, "\n")), lambda x: F.struct(*[x[i].alias(c) for i, c in enumerate(("word", "canon", "role", "gender"))]))
 
 
 def _parts(m: Column, kind: Column, known: Column) -> Column:
@@ -145,9 +148,11 @@ def _parts(m: Column, kind: Column, known: Column) -> Column:
 
 
 def _stream(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """Keyed hex digits, four for each character of the canonical form."""
-    blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 16).cast("int"))
-    return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), b.cast("string"), canon).cast("binary"), 256)), "")
+    """Keyed hex digits, four for each character of the canonical form; names need 16 of them at most, and long forms are hashed once."""
+    size = F.when(kind.isin("surname", "given_m", "given_f", "given_n"), 0).otherwise(F.length(canon))
+    short = F.when(F.length(canon) > 255, F.sha2(canon.cast("binary"), 256)).otherwise(canon)
+    digits = lambda c: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(size / 16).cast("int")), lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), b.cast("string"), c).cast("binary"), 256)), "")
+    return F.transform(F.array(short), digits)[0]
 
 
 def _number(stream: Column, i: Column) -> Column:
@@ -243,19 +248,24 @@ def _has_place(kind: Column):
     return lambda c, one: c.rlike("[0-9]") | (c == "+") & (kind == "phone") & one.startswith("+") | ~kind.isin("phone", "card", "ssn") & ((c != " ") | (kind != "iban"))
 
 
+def _worked_out(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """docs with a column that is worked out once for each row: without the generator, Spark would move its expression into what is done for each element of an array."""
+    return docs.select(*[c for c in docs.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """docs with _pattern, and _found: array<struct(m, kind, parts)> of the matches of text, in order; null where there are none."""
-    docs = docs.withColumn("_hits", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    docs = docs.withColumn("_known", _known(F.filter("_hits", lambda m: m.rlike(f"^{_TITLE}"))))
+    docs = _worked_out(docs, "_hits", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    docs = _worked_out(docs, "_known", _known(F.filter("_hits", lambda m: m.rlike(f"^{_TITLE}"))))
     words = F.array_distinct(F.transform("_known", lambda k: k["word"]))
     # of two names that begin alike the longer one comes first
     words = F.reverse(F.array_sort(F.array_distinct(F.concat(words, F.transform(words, lambda w: F.upper(w))))))
     names = F.concat(F.lit(rf"{PATTERN}|(?<!{_W})(?:"), F.array_join(words, "|"), F.lit(rf")(?!{_W})"))
-    docs = docs.withColumn("_pattern", F.when(F.size("_known") > 0, names).otherwise(F.lit(PATTERN)))
-    docs = docs.withColumn("_hits", F.when(F.size("_known") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_hits")))
-    docs = docs.withColumn("_kinds", F.transform("_hits", lambda m: F.struct(m.alias("m"), _type(m).alias("kind"))))
+    docs = _worked_out(docs, "_pattern", F.when(F.size("_known") > 0, names).otherwise(F.lit(PATTERN)))
+    docs = _worked_out(docs, "_hits", F.when(F.size("_known") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_hits")))
+    docs = _worked_out(docs, "_kinds", F.transform("_hits", lambda m: F.struct(m.alias("m"), _type(m).alias("kind"))))
     found = F.transform("_kinds", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _parts(x["m"], x["kind"], F.col("_known")).alias("parts")))
-    return docs.withColumn("_found", found).drop("_hits", "_known", "_kinds")
+    return _worked_out(docs, "_found", found).drop("_hits", "_known", "_kinds")
 
 
 def _exceptions(entities: DataFrame, key: str) -> DataFrame:

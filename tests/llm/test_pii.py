@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import regex
 
@@ -84,3 +85,29 @@ def test_the_key_decides(spark):
     rows = spark.createDataFrame([(1, "Mr Smith, +49 30 1234567")], "doc_id long, text string")
     one, two = (pii.replace_pii(rows, k).first()["text"] for k in ("one", "two"))
     assert one != two and all(t.startswith("Mr ") and "+49 " in t for t in (one, two))
+
+
+REPEATED = [
+    "a.", "a@", "a@b.", "1.", "-", "é", "a", "A", "0", "f0", "0f:", "::", "123-", "12.", "+1 ", "+", "(123) ", "123 456 ", "0123 ", "1234-", "eyJ-", "eyJabcdefghijk.", "sk-", "xoxb-", "ghp_", "AB12 ABCD ", "AKIA", "Mr ", "Dr. Prof. ",
+    "Mr Smith ", "Mr Ann Lee-", "Mr O'", "Mr van der ", "Г-н ", "me@x.co ", "192.168.1.1 ", "\n", "日", "@", "._%+-",
+]
+
+
+def test_texts_of_a_megabyte_of_one_part(spark):
+    """No pattern takes stack or more than linear time for what it repeats; nothing is lost around the matches."""
+    rows = [(i, part * (1_000_000 // len(part))) for i, part in enumerate(REPEATED)]
+    rows += [(100, "me@" + "b." * 5000 + "com"), (101, "Mr Al" + "-a" * 500_000 + " left"), (102, "Mr " + "A" * 1_000_000), (103, "x" * 300 + "@y.com"), (104, "a@" + "b." * 100 + "com")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.replace_pii(table, KEY).collect()}
+    assert time.perf_counter() - began < 300
+    n = {part: got[i]["n_entities"] for i, part in enumerate(REPEATED)}
+    assert n["a."] == n["\n"] == n["日"] == 0 and n["Mr Smith "] == 1_000_000 // 9 and n["me@x.co "] == 125_000
+    assert got[0]["text"] == rows[0][1] and "Smith" not in got[REPEATED.index("Mr Smith ")]["text"] and len(set(got[REPEATED.index("me@x.co ")]["text"].split())) == 1
+    assert got[101]["n_entities"] == got[102]["n_entities"] == got[104]["n_entities"] == 1 and got[101]["text"].endswith(" left") and "-a" not in got[101]["text"]
+    assert got[103]["n_entities"] == 0 and got[104]["text"].endswith(".com")
+
+
+def test_a_digit_behind_a_part_of_a_name(spark):
+    (a,) = replaced(spark, ["Mr Jones-Smith2 and Mr Paul Jones2."])
+    assert regex.fullmatch(r"Mr (\w+)-Smith2 and Mr (\w+) Jones2\.", a) and "Paul" not in a
