@@ -60,7 +60,7 @@ def _cut(breaks: str, counts: str, removed: str, words: int, size: int) -> str:
  SELECT d.doc_id, coalesce({counts}, 0) AS {counts}, coalesce({removed}, 0) AS {removed}, CASE WHEN {removed} > 0 THEN CASE WHEN last THEN rtrim(kept, {_WS}) ELSE kept END ELSE d.text END AS text FROM documents d LEFT JOIN one USING (doc_id)"""
 
 
-OP10 = _cut("\\n", "n_lines", "n_removed_lines", 5, 40)
+OP10 = _cut("\\n", "n_lines", "n_removed_lines", 50, 300)
 OP5 = _cut("\\n|[.!?][\\x09-\\x0D ]", "n_sentences", "n_removed_sentences", 50, 300)
 
 
