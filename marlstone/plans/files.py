@@ -8,6 +8,7 @@ from marlstone import schemas as S
 from marlstone.operators import corpus as C
 from marlstone.plans import adapters as A
 from marlstone.plans import ratings as R
+from marlstone.plans import transcripts as T
 from marlstone.sources import io
 from marlstone.sources.scratch import new_folder
 from marlstone.streaming.ratings import read_latest, stream_latest_ratings
@@ -32,6 +33,72 @@ def rating_exports(spark, d):
     return io.read_ratings(spark, paths).select(F.col("id").cast("long").alias("id"), *EXPORTED[1:])
 
 
+def rating_folder(spark, d):
+    """One folder with exports of three vintages: today's columns, old names, and today's in another order."""
+    log = A.ratings(spark, d).select(*EXPORTED)
+    old = {new: old for old, new in S.RENAMED.items() if new in EXPORTED}
+    path = new_folder(spark, "exports")
+    for k, part in enumerate((log, log.withColumnsRenamed(old), log.select(*reversed(EXPORTED)))):
+        part.filter(F.col("id") % 3 == k).write.mode("append").csv(path, header=True)
+    return io.read_ratings(spark, [path]).select(F.col("id").cast("long").alias("id"), *EXPORTED[1:])
+
+
+_DATASET = "CASE WHEN video % 3 = 0 THEN 'north' ELSE 'south' END AS dataset"
+_PLACE = r"([^/]+)/([0-9]+)/([^/]+)/[^/]+/[^/]+$"
+
+
+def transcript_files(spark, d):
+    """A file for each video, as downloads leave them, written and read back."""
+    folder = new_folder(spark, "videos")
+    io.write_transcripts(A.segments(spark, d).selectExpr("*", _DATASET, "'en' AS lang"), folder)
+    return io.read_transcripts(spark, folder)
+
+
+def caption_files(spark, d):
+    folder = new_folder(spark, "captions")
+    io.write_caption_events(A.caption_events(spark, d).selectExpr("*", _DATASET), folder)
+    video = F.regexp_extract("path", r"([0-9]+)/Transcript/[^/]+$", 1).cast("long").alias("video")
+    return io.read_caption_events(spark, folder).select(video, "seq", "t_start_ms", "d_duration_ms", F.array_join("texts", "|").alias("texts"))
+
+
+def qa_files(spark, d):
+    """The result files of all approaches; a pair's number is its place in its file."""
+    folder = new_folder(spark, "results")
+    io.write_qa_results(A.qa_pairs(spark, d), folder)
+    digests = [F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("question", "answer")]
+    return io.read_qa_results(spark, folder).select("dataset", "video", "approach", "n", "time_start_sec", "time_end_sec", *digests)
+
+
+_LOGS = [
+    "conv_id AS video", "CASE WHEN conv_id % 3 = 0 THEN 'north' ELSE 'south' END AS dataset", "turn AS line_no",
+    "CASE WHEN role = 'assistant' AND conv_id % 4 <> 0 THEN concat('{\"agent_seconds\": ', 3 * turn, '}') ELSE concat('step ', turn) END AS line", "'RAG' AS approach",
+]
+
+
+def run_log_files(spark, d):
+    """A log for each conversation, whose last line of seconds counts."""
+    folder = new_folder(spark, "logs")
+    io.write_run_logs(A.table(spark, d, "conversations").selectExpr(*_LOGS), folder)
+    return io.read_run_logs(spark, folder, "*.log").select(F.regexp_extract("path", _PLACE, 1).alias("dataset"), F.regexp_extract("path", _PLACE, 2).cast("long").alias("video"), "agent_seconds")
+
+
+def generation_meta_files(spark, d):
+    """A sidecar for each data set and approach with what the corpus measures."""
+    folder = new_folder(spark, "sidecars")
+    words = C.word_count(F.col("answer"))
+    own = C.corpus_pairs(A.qa_pairs(spark, d)).groupBy("dataset", "approach").agg(F.count(F.lit(1)).cast("int").alias("pairs"), F.max(words).cast("int").alias("answer_words_max"), F.lit(42).alias("seed"))
+    io.write_generation_meta(own, folder)
+    found = io.read_generation_meta(spark, folder, "*_generation_meta.json")
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dataset"), "approach", "seed", "pairs", "answer_words_max")
+
+
+def srt_files(spark, d):
+    folder = new_folder(spark, "srt")
+    io.write_srt(A.segments(spark, d).selectExpr("*", _DATASET), folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.srt")
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)/Transcript/[^/]+$", 1).cast("long").alias("video"), F.md5(F.col("value").cast("binary")).alias("srt_md5"))
+
+
 def corpus_export(spark, d):
     """The JSON export of the corpus, read back; the texts are compared by their digests."""
     path = new_folder(spark, "corpus")
@@ -63,6 +130,13 @@ def stream_latest(spark, d):
 QUERIES = {
     "manifest_file": manifest_file,
     "rating_exports": rating_exports,
+    "rating_folder": rating_folder,
+    "transcript_files": transcript_files,
+    "caption_files": caption_files,
+    "qa_files": qa_files,
+    "run_log_files": run_log_files,
+    "generation_meta_files": generation_meta_files,
+    "srt_files": srt_files,
     "corpus_export": corpus_export,
     "report_tables": report_tables,
     "stream_latest_ratings": stream_latest,
@@ -70,6 +144,14 @@ QUERIES = {
 ORACLE_SQL = {
     "manifest_file": f"WITH {A.MANIFEST} SELECT video AS index, url, language, false AS collides FROM manifest WHERE url IS NOT NULL",
     "rating_exports": f"WITH {A.RATINGS} SELECT {', '.join(EXPORTED)} FROM ratings",
+    "rating_folder": f"WITH {A.RATINGS} SELECT {', '.join(EXPORTED)} FROM ratings",
+    "transcript_files": f"WITH {A.SEGMENTS} SELECT {_DATASET}, video, 'transcript-en.json' AS name, line_no, start_sec, end_sec, text FROM segments",
+    "caption_files": """SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, CASE WHEN event_id % 41 <> 0 THEN epoch_us(ts) // 1000 - 1704067200000 END AS t_start_ms, CASE WHEN event_type <> 'error' THEN event_id % 5000 END AS d_duration_ms,
+ CASE WHEN event_id % 43 <> 0 THEN event_type || '|' || chr(10) || '|' || CASE WHEN event_id % 7 <> 0 THEN ' ok  now ' ELSE '' END END AS texts FROM events""",
+    "qa_files": f"WITH {A.QA} SELECT dataset, video, approach, row_number() OVER (PARTITION BY dataset, video, approach ORDER BY n) AS n, time_start_sec, time_end_sec, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM qa",
+    "run_log_files": "SELECT CASE WHEN conv_id % 3 = 0 THEN 'north' ELSE 'south' END AS dataset, conv_id AS video, coalesce(MAX(3 * turn) FILTER (role = 'assistant' AND conv_id % 4 <> 0), 0.0)::DOUBLE AS agent_seconds FROM conversations GROUP BY conv_id",
+    "generation_meta_files": f"WITH {A.CORPUS} SELECT dataset, approach, 42 AS seed, COUNT(*) AS pairs, MAX({A.WORDS.format('answer')}) AS answer_words_max FROM corpus GROUP BY dataset, approach",
+    "srt_files": T.ORACLE_SQL["write_srt"],
     "corpus_export": f"WITH {A.CORPUS} SELECT uid, dataset, video, approach, n, t, te, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM corpus",
     "report_tables": R.ORACLE_SQL["summary_by_approach"],
     "stream_latest_ratings": R.ORACLE_SQL["latest_ratings"],

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone import schemas as S
 from marlstone.functions.text import format_srt
 from marlstone.operators.corpus import auto_index
 from marlstone.operators.ratings import blank_to_null, union_exports
+from marlstone.sources.named_files import write_named_files
 
 
 def read_manifest(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
@@ -57,29 +63,95 @@ def read_qa_results(spark: SparkSession, path: str) -> DataFrame:
     return files.select("dataset", F.col("video").cast("int").alias("video"), "approach", F.posexplode(F.from_json("value", F.lit(f"ARRAY<{S.QA_PAIR}>"))).alias("at", "q")).select("dataset", "video", "approach", (F.col("at") + 1).alias("n"), "q.*")
 
 
+#: Different headers that exports may have: each is a scan of its own.
+HEADERS = 200
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of the files under paths by their first line that isn't blank; the driver gets a row for each header with the names of its files."""
+    lines = spark.read.text(paths, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.filter("start = 0").withColumns({"value": F.trim(F.regexp_replace("value", "^\ufeff|\r$", "")), "at": F.monotonically_increasing_id()}).filter("value <> ''")
+    heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    groups = heads.orderBy("head").limit(HEADERS + 1).collect()
+    if len(groups) > HEADERS:
+        raise ValueError(f"the exports have more than {HEADERS} different headers")
+    # names come encoded, and readers take them for patterns
+    return [(_names(next(csv.reader([r["head"]]))), [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in r["paths"]]) for r in groups]
+
+
+def _names(header: list[str]) -> list[str]:
+    """The names of a header; those that are blank or stand there twice get their place."""
+    known = [h.strip() for h in header]
+    twice = {h.lower() for h in known if [x.lower() for x in known].count(h.lower()) > 1}
+    return [f"_c{k}" if not h else f"{h}{k}" if h.lower() in twice else h for k, h in enumerate(known)]
+
+
 def read_ratings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV exports of any vintage as one table with source_file; blank cells are null."""
-    one = [spark.read.csv(p, header=True, multiLine=True, escape='"').withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1)) for p in paths]
+    """CSV exports of any vintages, mixed in folders as they may be, as one table with source_file; blank cells are null.
+
+    A reader takes the first file's header for all files of a folder, so files are grouped by header and each group is read by itself: columns
+    are matched by name, whatever their order. Files without a line are left out; if there are no others, that is an error.
+    """
+    groups = _by_header(spark, paths)
+    if not groups:
+        raise ValueError(f"no export under {paths}")
+    strings = lambda names: T.StructType([T.StructField(n, T.StringType()) for n in names])
+    one = [spark.read.csv(own, header=True, schema=strings(names), multiLine=True, escape='"').withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1)) for names, own in groups]
     return union_exports([blank_to_null(df) for df in one])
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_run_logs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, agent_seconds): the last ``{"agent_seconds": n}`` of each log; 0 where there is none."""
-    files = _whole_files(spark, path, "*")
+    files = _whole_files(spark, path, glob)
     hits = F.regexp_extract_all("value", F.lit(r'\{\s*"agent_seconds"\s*:\s*([0-9.]+)\s*\}'), F.lit(1))
     return files.select("path", F.coalesce(F.try_element_at(hits, F.lit(-1)).cast("double"), F.lit(0.0)).alias("agent_seconds"))
 
 
-def read_generation_meta(spark: SparkSession, path: str) -> DataFrame:
-    out = spark.read.json(path, schema=S.GENERATION_META, multiLine=True, recursiveFileLookup=True)
+def read_generation_meta(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(the sidecar's values, path): a row for each such file under path."""
+    out = spark.read.json(path, schema=S.GENERATION_META, multiLine=True, recursiveFileLookup=True, pathGlobFilter=glob).withColumn("path", F.col("_metadata.file_path"))
     return out.select(*[c for c in out.columns if c != "measured"], "measured.*")
 
 
-def write_transcripts(segments: DataFrame, path: str) -> None:
-    """One JSON array of cues for each (dataset, video, lang), replaced as a whole by the commit of the job."""
-    item = F.struct("line_no", F.struct(F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), "text").alias("cue"))
-    cues = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["cue"])
-    segments.groupBy("dataset", "video", "lang").agg(F.to_json(cues).alias("value")).write.mode("overwrite").partitionBy("dataset", "video", "lang").text(path)
+def _listed(order: str, item: Column) -> Column:
+    """A JSON array of a group's items in order."""
+    return F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), item.alias("item")))), lambda x: x["item"]))
+
+
+def write_transcripts(segments: DataFrame, folder: str) -> None:
+    """segments(dataset, video, lang, line_no, start_sec, end_sec, text) -> <dataset>/<video>/Transcript/transcript-<lang>.json, an array of cues each."""
+    cue = F.struct(F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), "text")
+    files = segments.groupBy("dataset", "video", "lang").agg(_listed("line_no", cue).alias("value"))
+    write_named_files(files.withColumn("path", F.format_string("%s/%s/Transcript/transcript-%s.json", "dataset", F.col("video").cast("string"), "lang")), folder)
+
+
+def write_caption_events(events: DataFrame, folder: str) -> None:
+    """events(dataset, video, seq, t_start_ms, d_duration_ms, texts) -> <dataset>/<video>/Transcript/captions.json3."""
+    one = F.struct(F.col("t_start_ms").alias("tStartMs"), F.col("d_duration_ms").alias("dDurationMs"), F.transform("texts", lambda t: F.struct(t.alias("utf8"))).alias("segs"))
+    files = events.groupBy("dataset", "video").agg(F.concat(F.lit('{"events":'), _listed("seq", one), F.lit("}")).alias("value"))
+    write_named_files(files.withColumn("path", F.format_string("%s/%s/Transcript/captions.json3", "dataset", F.col("video").cast("string"))), folder)
+
+
+def write_qa_results(pairs: DataFrame, folder: str) -> None:
+    """pairs(dataset, video, approach, n, question, answer, ...) -> <dataset>/<video>/<approach>/QA results/finalQA.json, its pairs in order of n."""
+    known = [c for c in re.findall(r"(\w+): ", S.QA_PAIR) if c in pairs.columns]
+    files = pairs.groupBy("dataset", "video", "approach").agg(_listed("n", F.struct(*dict.fromkeys(known))).alias("value"))
+    write_named_files(files.withColumn("path", F.format_string("%s/%s/%s/QA results/finalQA.json", "dataset", F.col("video").cast("string"), "approach")), folder)
+
+
+def write_run_logs(lines: DataFrame, folder: str) -> None:
+    """lines(dataset, video, approach, line_no, line) -> <dataset>/<video>/<approach>/intermediate/run.log."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    files = lines.groupBy("dataset", "video", "approach").agg(F.array_join(texts, "\n", "").alias("value"))
+    write_named_files(files.withColumn("path", F.format_string("%s/%s/%s/intermediate/run.log", "dataset", F.col("video").cast("string"), "approach")), folder)
+
+
+def write_generation_meta(sidecars: DataFrame, folder: str) -> None:
+    """sidecars(dataset, approach, and other columns that read_generation_meta gives) -> <dataset>/<approach>_generation_meta.json."""
+    measured = [c for c in re.findall(r"(\w+): ", S.GENERATION_META) if c in sidecars.columns]
+    own = [c for c in re.findall(r"(?:^|, )(\w+) (?!STRUCT)[A-Z]+", S.GENERATION_META) if c in sidecars.columns]
+    value = F.to_json(F.struct(*own, F.struct(*measured).alias("measured")))
+    write_named_files(sidecars.select(F.format_string("%s/%s_generation_meta.json", "dataset", "approach").alias("path"), value.alias("value")), folder)
 
 
 def srt_documents(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,8 +161,10 @@ def srt_documents(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["b"]), "").alias("srt"))
 
 
-def write_srt(segments: DataFrame, path: str) -> None:
-    srt_documents(segments, ["dataset", "video"]).withColumnRenamed("srt", "value").write.mode("overwrite").partitionBy("dataset", "video").text(path)
+def write_srt(segments: DataFrame, folder: str) -> None:
+    """<dataset>/<video>/Transcript/transcript.srt for each video."""
+    files = srt_documents(segments, ["dataset", "video"]).withColumnRenamed("srt", "value")
+    write_named_files(files.withColumn("path", F.format_string("%s/%s/Transcript/transcript.srt", "dataset", F.col("video").cast("string"))), folder)
 
 
 def write_corpus(pairs: DataFrame, videos: DataFrame, path: str, as_json: bool = False) -> None:

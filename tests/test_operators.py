@@ -191,8 +191,9 @@ def test_files_round_trip(spark, tmp_path):
     cues = io.read_transcripts(spark, str(tmp_path / "t"))
     assert [(r["dataset"], r["video"], r["line_no"], r["text"]) for r in cues.orderBy("dataset", "line_no").collect()] == [("A", 1, 1, "hi"), ("A", 1, 2, "there"), ("B", 2, 1, "x")]
     io.write_transcripts(cues.withColumn("lang", F.lit("en")), str(tmp_path / "out"))
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["A/1/Transcript/transcript-en.json", "B/2/Transcript/transcript-en.json"]
     io.write_srt(cues, str(tmp_path / "srt"))
-    assert "00:00:00,000 --> 00:00:01,500\nhi" in "".join(p.read_text() for p in (tmp_path / "srt").rglob("*.txt"))
+    assert (tmp_path / "srt" / "A" / "1" / "Transcript" / "transcript.srt").read_text().startswith("1\n00:00:00,000 --> 00:00:01,500\nhi\n")
     q = tmp_path / "t" / "A" / "1" / "RAG" / "QA results"
     q.mkdir(parents=True)
     (q / "finalQA.json").write_text(json.dumps([{"question": "q?", "answer": "a", "time_start_sec": 3.9}, {"question": " ", "answer": "b"}]))
