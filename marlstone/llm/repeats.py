@@ -100,7 +100,8 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, sentences: bool, total: st
                     columns[where] = pa.array(texts, columns[where].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
-    marks = ranges.withColumnsRenamed({"doc": "_mark_doc", "text_hash": "_mark_hash", "ranges": "_mark_ranges"})
+    # by sorting at every size: a table of ranges that is broadcast while it is small would hide what a larger one costs
+    marks = ranges.withColumnsRenamed({"doc": "_mark_doc", "text_hash": "_mark_hash", "ranges": "_mark_ranges"}).hint("merge")
     rows = keyed(docs)
     joined = rows.join(marks, (F.col("_doc") == F.col("_mark_doc")) & (F.col("_text_hash") == F.col("_mark_hash")), "left")
     return joined.select(*docs.columns, "_mark_ranges").mapInArrow(tidy(cut), schema)
