@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from marlstone.llm import bpe, chat, decontaminate, langid, line_dedup, pii, substring_dedup
@@ -117,6 +119,51 @@ def test_tiles_are_greedy():
         assert decontaminate.tiles(d, t, k) == want
 
 
+def plain_leaks(text, items, tile=5, coverage=0.6):
+    """Words by a plain search, all seeds, tiles over them: {item_id: (covered, words)}."""
+
+    def split(t):
+        t = "".join(x if len(x := c.lower()) == 1 else c for c in t or "")
+        word = r"[\p{L}\p{M}\p{N}]"
+        return regex.findall(rf"(?V1)[{decontaminate.DENSE}&&{word}]|[{word}--{decontaminate.DENSE}]+", t)
+
+    doc, out = split(text), {}
+    for i, t in items:
+        item = split(t)
+        k = min(tile, len(item))
+        seeds = [(a, b) for a in range(len(doc) - k + 1) for b in range(len(item) - k + 1) if k and doc[a : a + k] == item[b : b + k]]
+        covered = sum(n for _, _, n in decontaminate.tiles(*(np.array([s[x] for s in seeds], np.int64) for x in (0, 1)), k)) if seeds else 0
+        if item and covered >= coverage * len(item):
+            out[i] = covered, len(item)
+    return out
+
+
+def test_leaks_are_the_plain_ones(spark, monkeypatch):
+    """Seeds, coverage and blocks against a search of all windows, with repetitive texts, few words, several scripts and chunks of every size."""
+    r = random.Random(9)
+    for held, block in ((1 << 20, 10**6), (3, 10**6), (50, 30)):
+        monkeypatch.setattr(decontaminate, "HELD", held)
+        pick = lambda n: " ".join(r.choice(["a", "b", "É", "ж", "日", "x1"]) for _ in range(n))
+        items = [(i, pick(r.randint(0, 25))) for i in range(25)] + [(90, "a " * 12), (91, None), (92, "日本語")]
+        texts = [(i, pick(r.randint(0, 20)) + ". " + " ".join((items[r.randrange(25)][1] or "").split()[2:]).upper() + "," + pick(r.randint(0, 9))) for i in range(40)] + [(50, "a, " * 60), (51, None), (52, "（日本語）")]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        bm = spark.createDataFrame(items, "item_id long, text string")
+        got = {x["doc_id"]: {y["item_id"]: (y["covered"], y["words"]) for y in x["leaks"]} for x in decontaminate.find_leaks(docs, bm, block=block).collect()}
+        assert got == {i: plain_leaks(t, items) for i, t in texts}
+        assert sum(map(len, got.values())) > 20
+
+
+def test_repetitive_texts_are_cheap():
+    """A megabyte of one word, and of two in turn, against items that repeat them: matches are as many as the lengths' sum, not its product."""
+    rows = [{"item_id": 1, "text": "ab " * 300}, {"item_id": 2, "text": "ab cd " * 300}]
+    block = decontaminate._Block(rows, 5)
+    for text, want in (("ab " * 350_000, {1: 300}), ("ab cd " * 170_000, {2: 600})):
+        h, _, row = decontaminate.words(*decontaminate.buffers(decontaminate.pa.array([text])), decontaminate.PUNCTUATION)
+        began = time.perf_counter()
+        assert {x["item_id"]: x["covered"] for _, x in block.leaks(h, row, 0.6)} == want
+        assert time.perf_counter() - began < 60 and len(block.matches(h, row, 5)[0]) < 2 * len(h)
+
+
 KEY = "a test's key"
 CALL = 'Call +1 (743) 555-3824 or 743-555-3824, mail Ann.68@mail2.example.com, IP 227.5.221.1, card 4111 1111 1111 1111 and 4111111111111111, token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e", 123-45-6789'
 
