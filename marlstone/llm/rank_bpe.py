@@ -78,36 +78,36 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def rank_round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", packed: bool = False) -> DataFrame:
+def rank_round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", packed: bool = False, keep: list[str] | None = None) -> DataFrame:
     """df with ``ids`` of the whole text and ``decoded``, the raw bytes of these ids again.
 
     ranks: a rank file of the tiktoken format, as large as a vocabulary (about a MB); pattern: the pattern that splits texts, each match of which is encoded
     separately. Strings that other vocabularies take for special tokens are ordinary text. ids is array<int>, or if packed the ids as binary, four bytes
-    each, least one first. A null text counts as empty: no ids, no bytes. Rows are kept one by one, repeated ones too, with all
-    other columns; columns named as the new ones are replaced. Texts may have any length; no rows give no rows. Nothing is shuffled.
+    each, least one first. A null text counts as empty: no ids, no bytes. Rows are kept one by one, repeated ones too, with the
+    columns ``keep`` (None: all); columns named as the new ones are replaced. Texts may have any length; no rows give no rows. Nothing is shuffled.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(spark, ranks))
-    kept = [c for c in df.columns if c not in (ids, decoded)]
-    df = df.select(*kept)
+    kept = [c for c in df.columns if c not in (ids, decoded) and (keep is None or c in keep)]
+    df = df.select(*kept, F.col(text).alias("_text"))
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, kind), T.StructField(decoded, T.BinaryType())])
-    where, names = kept.index(text), schema.names
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField(ids, kind), T.StructField(decoded, T.BinaryType())])
+    names = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for b in batches:
             coder = coder or RankCoder(shared.value, pattern)
-            for first, last, _, _ in slices(b.column(where)):
+            for first, last, _, _ in slices(b.column(len(kept))):
                 part = b.slice(first, last - first)
-                found = [coder.encode(t or "") for t in part.column(where).to_pylist()]
+                found = [coder.encode(t or "") for t in part.column(len(kept)).to_pylist()]
                 if packed:
                     new = pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
                 else:
                     at = np.zeros(len(found) + 1, np.int32)
                     np.cumsum([len(x) for x in found], out=at[1:])
                     new = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, new, pa.array(map(coder.decode, found), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], new, pa.array(map(coder.decode, found), pa.binary())], names=names)
 
     return df.mapInArrow(tidy(work), schema)
 
@@ -116,5 +116,5 @@ def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = rank_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packed=True)
+    out = rank_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packed=True, keep=["doc_id"])
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
