@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import TRACKS, build_uid, is_refusal, word_count
-from marlstone.sources.scratch import materialize
+from marlstone.operators.components import connected_components
+from marlstone.sources.scratch import discard, materialize
 
 
 def corpus_pairs(pairs: DataFrame) -> DataFrame:
@@ -87,41 +90,112 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.coalesce("pairs_a", F.lit(0)).alias("pairs_a"), F.coalesce("pairs_b", F.lit(0)).alias("pairs_b"), F.coalesce(F.col("pairs_a") == F.col("pairs_b"), F.lit(False)).alias("same_count"), F.coalesce(F.col("q_a") == F.col("q_b"), F.lit(False)).alias("same_questions"), F.coalesce(F.size(F.array_intersect("q_a", "q_b")), F.lit(0)).alias("common"))
 
 
-def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
-    """(uid_a, uid_b, jaccard) of pairs whose questions share that much of their word shingles, by an equi-join on rare shingles.
+def _question_shingles(pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(least(question, uid), sets(uid, g, n)): one row for each different question, and those that have words with the hashes of their shingles.
 
-    Equal questions are one first, known by the least uid; each other uid of them comes as (least uid, uid, 1.0), so every uid that has an equal or
-    near one is in some row. Pairs of different questions are pairs of least uids. A question's prefix in order of frequency must meet a partner's, so common shingles are
-    joined only where a question has no rarer ones. Shingles are 64-bit hashes, worked out once and written to the scratch folder; those of one question only take
-    the first places of its order and go no further than their count.
+    Shingles are 64-bit hashes, worked out once and written to the scratch folder.
     """
-    questions = pairs.filter("question is not null")
-    least = questions.groupBy("question").agg(F.min("uid").alias("uid"))
-    equal = questions.join(least.withColumnRenamed("uid", "uid_a"), "question").filter("uid <> uid_a").select("uid_a", F.col("uid").alias("uid_b"), F.lit(1.0).alias("jaccard")).distinct()
+    least = pairs.filter("question is not null").groupBy("question").agg(F.min("uid").alias("uid"))
     words = F.filter(F.split(F.lower("question"), r"\s+"), lambda x: x != "")
     runs = F.transform(F.slice("h", 1, F.size("h") - k + 1), lambda x, i: F.xxhash64(x, *[F.get("h", i + j) for j in range(1, k)]))
     grams = F.when(F.size("h") < k, F.array(F.xxhash64("h"))).otherwise(F.array_distinct(runs))
     # no filter on h or g: it would be pushed below and work the words out again for each place
     hashed = least.filter(F.col("question").rlike(r"\S")).select("uid", F.transform(words, lambda x: F.xxhash64(x)).alias("h"))
-    sets = materialize(hashed.select("uid", grams.alias("g")), "question_shingles").withColumn("n", F.size("g"))
+    return least, materialize(hashed.select("uid", grams.alias("g")), "question_shingles").withColumn("n", F.size("g"))
+
+
+def _question_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(t, uid, n): the rarest shingles of each set, of which two sets that are near share one. Those of one question only take the first places of its
+    order and go no further than their count."""
     tokens = sets.select("uid", "n", F.explode("g").alias("t"))
     df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     own = Window.partitionBy("uid")
     shared = tokens.join(df, "t").withColumns({"p": F.row_number().over(own.orderBy("f", "t")), "m": F.count(F.lit(1)).over(own)})
-    prefix = shared.filter(F.col("n") - F.col("m") + F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", "uid", "n")
-    one = lambda x: prefix.select("t", F.col("uid").alias(f"uid_{x}"), F.col("n").alias(f"n{x}"))
-    met = one("a").join(one("b"), "t").filter((F.col("uid_a") < F.col("uid_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-6)))
-    candidates = met.select("uid_a", "uid_b").distinct()
+    return shared.filter(F.col("n") - F.col("m") + F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", "uid", "n")
+
+
+def _near(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """candidates(uid_a, uid_b) that are near, with jaccard."""
     side = lambda x: sets.select(F.col("uid").alias(f"uid_{x}"), F.col("g").alias(f"g{x}"))
     both = candidates.join(side("a"), "uid_a").join(side("b"), "uid_b").withColumn("common", F.size(F.array_intersect("ga", "gb")))
     j = F.col("common") / (F.size("ga") + F.size("gb") - F.col("common"))
-    return both.select("uid_a", "uid_b", F.round(j, 6).alias("jaccard")).filter(F.col("jaccard") >= threshold).unionByName(equal)
+    return both.select("uid_a", "uid_b", F.round(j, 6).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def near_duplicate_questions(pairs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
+    """(uid_a, uid_b, jaccard) of pairs whose questions share that much of their word shingles, by an equi-join on rare shingles.
+
+    Equal questions are one first, known by the least uid; each other uid of them comes as (least uid, uid, 1.0), so every uid that has an equal or
+    near one is in some row. Pairs of different questions are pairs of least uids. A question's prefix in order of frequency must meet a partner's, so common shingles are
+    joined only where a question has no rarer ones. All pairs are the result: for large groups of near copies near_duplicate_classes has a row for each question.
+    """
+    least, sets = _question_shingles(pairs, k)
+    questions = pairs.filter("question is not null")
+    equal = questions.join(least.withColumnRenamed("uid", "uid_a"), "question").filter("uid <> uid_a").select("uid_a", F.col("uid").alias("uid_b"), F.lit(1.0).alias("jaccard")).distinct()
+    prefix = _question_prefixes(sets, threshold)
+    one = lambda x: prefix.select("t", F.col("uid").alias(f"uid_{x}"), F.col("n").alias(f"n{x}"))
+    met = one("a").join(one("b"), "t").filter((F.col("uid_a") < F.col("uid_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-6)))
+    return _near(met.select("uid_a", "uid_b").distinct(), sets, threshold).unionByName(equal)
+
+
+def near_duplicate_classes(pairs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
+    """(uid, class, class_size, n_copies, kept): one row for each row of pairs(uid, question) with a question, without a list of pairs.
+
+    class: the least uid that equal and near questions lead to, itself included; class_size: rows of the class; n_copies: rows with the same
+    question; kept: uid is the class's least. A question without words is near its equals only. Rows without a question are left out; uids are taken to be
+    unique and not null; other columns are ignored, and no rows give no rows.
+
+    Different questions are compared with stars first: those that share a rare shingle, each with the least and then the greatest of them. What a star
+    links is one class, and only questions that share a rare shingle and are in different classes after that are compared with each other. So a group of
+    near copies costs about its size, and no link between classes is missed.
+    """
+    least, sets = _question_shingles(pairs, k)
+    prefix = materialize(_question_prefixes(sets, threshold), "prefixes")
+    sizes = sets.select("uid", "n")
+    links: list[DataFrame] = []
+    labels = None
+
+    def found(candidates: DataFrame) -> None:
+        nonlocal labels
+        close = candidates.filter(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-6)).select("uid_a", "uid_b").distinct()
+        new = materialize(_near(close, sets, threshold).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")), "links")
+        links.append(new)
+        before, labels = labels, connected_components(reduce(DataFrame.unionByName, links))
+        if before is not None:
+            discard(before)
+
+    def labelled() -> DataFrame:
+        known = labels.select(F.col("node").alias("uid"), "component")
+        return prefix.join(known, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+
+    for hub in (F.min, F.max):
+        stars = prefix.groupBy("t").agg(hub("uid").alias("uid_a")).join(sizes.select(F.col("uid").alias("uid_a"), F.col("n").alias("na")), "uid_a")
+        rays = prefix if labels is None else labelled()
+        met = rays.select("t", F.col("uid").alias("uid_b"), F.col("n").alias("nb"), *([] if labels is None else ["component"])).join(stars, "t").filter("uid_a <> uid_b")
+        if labels is not None:
+            own = labels.select(F.col("node").alias("uid_a"), F.col("component").alias("of_hub"))
+            met = met.join(own, "uid_a", "left").filter(F.coalesce("of_hub", "uid_a") != F.col("component"))
+        found(met)
+    # shingles whose questions are in one class have nothing left to link
+    rows = materialize(labelled(), "labelled")
+    open_ = rows.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("t")
+    rest = rows.join(open_, "t", "left_semi")
+    one = lambda x: rest.select("t", F.col("uid").alias(f"uid_{x}"), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
+    found(one("a").join(one("b"), "t").filter("ca < cb"))
+    known = least.join(labels.select(F.col("node").alias("uid"), "component"), "uid", "left").select("question", F.coalesce("component", "uid").alias("class"))
+    each = pairs.filter("question is not null").select("uid", "question").join(known, "question")
+    copies = each.groupBy("question", "class").agg(F.count(F.lit(1)).alias("n_copies"))
+    classes = copies.groupBy("class").agg(F.sum("n_copies").alias("class_size"))
+    # the least uid of a class is that of a question's least one, since copies are known by theirs
+    out = each.join(copies.select("question", "n_copies"), "question").join(classes, "class")
+    out = materialize(out.select("uid", "class", "class_size", "n_copies", (F.col("uid") == F.col("class")).alias("kept")), "classes")
+    discard(prefix, rows, labels, *links, sets)
+    return out
 
 
 def near_duplicate_rate(pairs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
     """(pairs, near_duplicates, share): one row, of all pairs with a question those that have an equal or near one among the others."""
-    found = near_duplicate_questions(pairs, threshold, k).select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct().withColumn("near", F.lit(1))
-    out = pairs.filter("question is not null").select("uid").join(found, "uid", "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("near").alias("near_duplicates"))
+    out = near_duplicate_classes(pairs, threshold, k).agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("class_size") > 1, 1)).alias("near_duplicates"))
     return out.withColumn("share", F.round(F.col("near_duplicates") / F.greatest("pairs", F.lit(1)), 6))
 
 

@@ -97,6 +97,10 @@ def _questions(spark, d):
     return A.table(spark, d, "documents").filter("text is not null").selectExpr("CAST(doc_id AS STRING) AS uid", "text AS question")
 
 
+def near_duplicate_classes(spark, d):
+    return C.near_duplicate_classes(_questions(spark, d))
+
+
 def near_duplicate_questions(spark, d):
     return C.near_duplicate_questions(_questions(spark, d))
 
@@ -129,6 +133,7 @@ QUERIES = {
     "length_profile": length_profile,
     "compare_runs": compare_runs,
     "near_duplicate_questions": near_duplicate_questions,
+    "near_duplicate_classes": near_duplicate_classes,
     "near_duplicate_rate": lambda s, d: C.near_duplicate_rate(_questions(s, d)),
     "parse_qa_pairs": parse_qa_pairs,
     "attach_timestamps": attach_timestamps,
@@ -140,6 +145,16 @@ QUERIES = {
     "progress_by_hour": lambda s, d: progress_by_hour(A.ratings(s, d)),
 }
 _LINKS = "links AS (SELECT * FROM manifest WHERE url IS NOT NULL)"
+# Different questions, those that are near each other, and the classes that these links make.
+NEAR = """d AS (SELECT text, MIN(CAST(doc_id AS VARCHAR)) AS uid FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT uid, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM d),
+ g AS (SELECT DISTINCT uid, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS t FROM w WHERE len(w) > 0), n AS (SELECT uid, COUNT(*) AS n FROM g GROUP BY uid),
+ c AS (SELECT a.uid AS uid_a, b.uid AS uid_b, COUNT(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.uid < b.uid GROUP BY ALL),
+ near AS (SELECT uid_a, uid_b, round(c * 1.0 / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.uid = uid_a JOIN n y ON y.uid = uid_b WHERE round(c * 1.0 / (x.n + y.n - c), 6) >= 0.75)"""
+CLASSES = """links(a, b) AS (SELECT uid_a, uid_b FROM near UNION ALL SELECT uid_b, uid_a FROM near), reach(id, label) AS (SELECT uid, uid FROM d UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.id),
+ of AS (SELECT id, MIN(label) AS class FROM reach GROUP BY id), each AS (SELECT CAST(o.doc_id AS VARCHAR) AS uid, class, COUNT(*) OVER (PARTITION BY text) AS n_copies FROM documents o JOIN d USING (text) JOIN of ON of.id = d.uid),
+ classes AS (SELECT *, COUNT(*) OVER (PARTITION BY class) AS class_size FROM each)"""
+
+
 ORACLE_SQL = {
     "corpus_pairs": f"WITH {Z} SELECT uid, dataset, video, approach, n, t, te FROM corpus",
     "exclude_approaches": f"WITH {Z} SELECT uid, approach FROM corpus WHERE approach NOT IN ('RAG', 'DualAgent')",
@@ -162,10 +177,10 @@ ORACLE_SQL = {
     "compare_runs": f"""WITH {Z}, b AS (SELECT video, approach, n, CASE WHEN video % 5 = 0 THEN question || '?' ELSE question END AS question FROM corpus WHERE (video + n) % 11 <> 0),
  x AS (SELECT video, approach, COUNT(*) AS n, list_sort(list(DISTINCT question)) AS q FROM corpus GROUP BY ALL), y AS (SELECT video, approach, COUNT(*) AS n, list_sort(list(DISTINCT question)) AS q FROM b GROUP BY ALL)
  SELECT video, approach, coalesce(x.n, 0) AS pairs_a, coalesce(y.n, 0) AS pairs_b, coalesce(x.n = y.n, false) AS same_count, coalesce(x.q = y.q, false) AS same_questions, coalesce(len(list_intersect(x.q, y.q)), 0) AS common FROM x FULL JOIN y USING (video, approach)""",
-    "near_duplicate_questions": """WITH d AS (SELECT text, MIN(CAST(doc_id AS VARCHAR)) AS uid FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT uid, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM d),
- g AS (SELECT DISTINCT uid, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS t FROM w WHERE len(w) > 0), n AS (SELECT uid, COUNT(*) AS n FROM g GROUP BY uid),
- c AS (SELECT a.uid AS uid_a, b.uid AS uid_b, COUNT(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.uid < b.uid GROUP BY ALL) SELECT uid_a, uid_b, round(c * 1.0 / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.uid = uid_a JOIN n y ON y.uid = uid_b WHERE round(c * 1.0 / (x.n + y.n - c), 6) >= 0.75
+    "near_duplicate_questions": f"""WITH {NEAR} SELECT uid_a, uid_b, jaccard FROM near
  UNION ALL SELECT DISTINCT d.uid, CAST(o.doc_id AS VARCHAR), 1.0 FROM documents o JOIN d USING (text) WHERE CAST(o.doc_id AS VARCHAR) <> d.uid""",
+    "near_duplicate_classes": f"WITH RECURSIVE {NEAR}, {CLASSES} SELECT uid, class, class_size, n_copies, uid = class AS kept FROM classes",
+    "near_duplicate_rate": f"WITH RECURSIVE {NEAR}, {CLASSES} SELECT COUNT(*) AS pairs, COUNT(*) FILTER (class_size > 1) AS near_duplicates, round(COUNT(*) FILTER (class_size > 1) * 1.0 / greatest(COUNT(*), 1), 6) AS share FROM classes",
     "parse_qa_pairs": f"WITH {PARSED} SELECT response_id, n, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM parsed WHERE n <= 20",
     "attach_timestamps": f"""WITH {PARSED}, m AS (SELECT conv_id AS response_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM rows WHERE role = 'user')
  SELECT response_id, p.n, m.turn || ':05-' || (m.turn + 1) || ':00' AS "timestamp", m.turn * 60 + 5 AS time_start_sec, (m.turn + 1) * 60 AS time_end_sec FROM parsed p LEFT JOIN m USING (response_id, n) WHERE p.n <= 20""",

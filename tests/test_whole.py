@@ -51,3 +51,43 @@ def test_exact_copies_are_near_duplicates(spark):
     count = sum(any(v != u and (text[u] == text[v] or g and round(len(g & h) / len(g | h), 6) >= 0.75) for v, h in grams.items()) for u, g in grams.items())
     one = registry.QUERIES["near_duplicate_rate"](spark, DATA).first()
     assert (one["pairs"], one["near_duplicates"]) == (len(docs), count)
+
+
+def test_near_duplicate_classes(spark, monkeypatch):
+    """Chains of near questions, groups that no star links as a whole, and a large group of near copies that costs about its size."""
+    import random
+
+    r = random.Random(12)
+    rows, n = [("x", None), ("y", " "), ("z", " ")], 0
+    for _ in range(25):
+        words = [r.choice("abcdefghij") + r.choice("klmnop") for _ in range(r.randint(4, 40))]
+        for _ in range(r.randint(1, 9)):
+            if words and r.random() < 0.7:
+                words[r.randrange(len(words))] = r.choice("uvw")
+            rows += [(f"q{n + k:03d}", " ".join(words)) for k in range(r.randint(1, 2))]
+            n += 2
+    known = {u: q for u, q in rows if q is not None}
+    sets = {u: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()} for u, q in known.items() if (w := q.split()) or True}
+    up = {u: u for u in known}
+
+    def root(u):
+        return u if up[u] == u else root(up[u])
+
+    for a in known:
+        for b in known:
+            if a < b and (known[a] == known[b] or sets[a] and round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) >= 0.75):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    want = {u: root(u) for u in known}
+    got = corpus.near_duplicate_classes(spark.createDataFrame(rows, "uid string, question string")).collect()
+    assert {x["uid"]: x["class"] for x in got} == want and len(got) == len(known)
+    assert all(x["class_size"] == list(want.values()).count(x["class"]) and x["n_copies"] == list(known.values()).count(known[x["uid"]]) and x["kept"] == (x["uid"] == x["class"]) for x in got)
+    assert corpus.near_duplicate_classes(spark.createDataFrame([], "uid string, question string")).count() == 0
+
+    seen = []
+    near = corpus._near
+    monkeypatch.setattr(corpus, "_near", lambda candidates, *rest: seen.append(candidates.count()) or near(candidates, *rest))
+    base = [f"w{i}" for i in range(60)]
+    many = [(f"m{i:05d}", " ".join([*base[: i % 50], f"new{i}", *base[i % 50 + 1 :]])) for i in range(3000)]
+    out = corpus.near_duplicate_classes(spark.createDataFrame(many, "uid string, question string"))
+    assert out.groupBy("class").count().collect() == [("m00000", 3000)] and sum(seen) < 20 * 3000
