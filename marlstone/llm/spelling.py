@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.graph import flatten_trees
 from marlstone.llm.shared import documents, materialize, tidy
+from marlstone.operators.components import flatten_trees
 
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: A form is so many times as frequent as the word that it is the form of.

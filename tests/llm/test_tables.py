@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import embeddings, graph, jaccard, registry, sharding
+from marlstone.llm import embeddings, jaccard, registry, sharding
+from marlstone.operators.components import connected_components
 from tests.compare import assert_same
 from tests.llm.odd import TEXTS, components, documents, shingles
 
@@ -26,9 +27,9 @@ def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7)]
     real = [(a, b) for a, b in edges if a != b]
-    got = {x["node"]: x["component"] for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == components({x for e in real for x in e}, real)
-    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_classes(rows):
