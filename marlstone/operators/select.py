@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.scratch import materialize
 
-#: Chunks of a retrieval pack.
+#: Chunks of a retrieval pack; one chunk in so many is a pivot.
 PACK = 512
 
 
@@ -155,18 +156,65 @@ def recursive_chunks(texts: DataFrame, keys: list[str], text: str, size: int = 1
     return texts.select(*keys, text).mapInPandas(work, schema)
 
 
+def _square(a: Column, b: Column) -> Column:
+    """Squared distance of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def _nearest_pivot(rows: DataFrame, pivots: DataFrame, block: str, key: str) -> DataFrame:
+    """rows(block, key, v) with pivot and d, the nearest pivot of the block (ties: the smaller id) and its distance."""
+    one = F.array_min(F.transform("pivots", lambda p: F.struct(F.sqrt(_square(p["v"], F.col("v"))).alias("d"), p["id"].alias("pivot"))))
+    each = rows.join(pivots, block).select(block, key, "v", one.alias("near"))
+    return each.groupBy(block, key).agg(F.min("near").alias("near"), F.first("v").alias("v")).select(block, key, "v", "near.*")
+
+
+def _vector_packs(chunks: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
+    """(packs(block, pivot, sub, c), pivots(block, group, pivots)) of chunks(block, id, v).
+
+    About one chunk in PACK, by a hash of its id, and one for each block at least is a pivot; a chunk belongs to its nearest one, whose radius reaches the
+    farthest. What a pivot has beyond PACK chunks, as of equal vectors, goes to further packs of it; pivots are held PACK at a time.
+    """
+    hashed = chunks.withColumn("h", F.xxhash64("id"))
+    least = hashed.groupBy(block).agg(F.min("h").alias("least"))
+    chosen = hashed.join(least, block).filter((F.col("h") == F.col("least")) | (F.pmod("h", F.lit(PACK)) == 0)).select(block, F.col("id").alias("pivot"), "v")
+    groups = lambda rows, item: rows.groupBy(block, F.pmod(F.shiftright(F.xxhash64("pivot"), 20), F.col("n_groups")).alias("group")).agg(F.collect_list(item).alias("pivots"))
+    n_groups = chosen.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / PACK).cast("long").alias("n_groups"))
+    pivots = chosen.join(n_groups, block)
+    member = materialize(_nearest_pivot(chunks, groups(pivots, F.struct(F.col("pivot").alias("id"), "v")), block, "id"), "members")
+    sizes = member.groupBy(block, "pivot").agg(F.max("d").alias("radius"), F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("subs"))
+    packs = member.join(sizes.select(block, "pivot", "subs"), [block, "pivot"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
+    packs = packs.groupBy(block, "pivot", "sub").agg(F.collect_list(F.struct("id", "v")).alias("c"))
+    reach = pivots.join(sizes, [block, "pivot"])
+    return materialize(packs, "packs"), materialize(groups(reach, F.struct(F.col("pivot").alias("id"), "v", "radius", "subs")), "pivots")
+
+
+def _packs_to_visit(asked: DataFrame, pivots: DataFrame, packs: DataFrame, block: str, k: int) -> DataFrame:
+    """(block, q_id, v, pivot, sub): the packs that can hold one of a question's k nearest.
+
+    The nearest pivot's packs give k chunks and so a bound of the k-th distance, if they have as many. By the triangle inequality a pack holds nothing
+    within the bound if its pivot is farther from the question than the bound and its radius together.
+    """
+    first = _nearest_pivot(asked, pivots, block, "q_id").join(packs, [block, "pivot"])
+    distances = first.select("q_id", F.explode(F.slice(F.array_sort(F.transform("c", lambda c: _square(c["v"], F.col("v")))), 1, k)).alias("d"))
+    kept = distances.groupBy("q_id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("d"))
+    bound = kept.select("q_id", F.when(F.size("d") == k, F.sqrt(F.element_at("d", -1))).alias("bound"))
+    reached = asked.join(bound, "q_id").join(pivots, block)
+    # distances are compared to six places in the end
+    within = lambda p: F.col("bound").isNull() | (F.sqrt(_square(p["v"], F.col("v"))) <= F.col("bound") + p["radius"] + 1e-4)
+    near = reached.select(block, "q_id", "v", F.explode(F.filter("pivots", within)).alias("p"))
+    return near.select(block, "q_id", "v", F.col("p.id").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("p.subs") - 1)).alias("sub"))
+
+
 def retrieve_top_k(questions: DataFrame, chunks: DataFrame, block: str, k: int = 5) -> DataFrame:
     """questions(block, q_id, embedding), chunks(block, chunk_id, embedding) -> (q_id, chunk_id, distance, rank): the k nearest of the same block, squared L2.
 
-    A block's chunks come in packs of about PACK rows, as many as its size asks for, and its questions go to each of these, so a task holds
-    single packs, whatever the block's size. A pair of a question and a pack gives its own best k, so at most k rows for each pack reach the last ranking.
+    A block's chunks lie in packs around pivots, and a question goes only to those packs that can hold one of its k nearest, so the result is exact; a task
+    holds single packs of about PACK chunks, whatever the block's size. Each pack gives its own best k, so at most k rows of each reach the last ranking. Distances are
+    compared to six places; ties: the smaller chunk_id. Rows with a null vector are left out.
     """
-    packs = chunks.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("packs"))
-    packed = chunks.join(packs, block).withColumn("pack", F.pmod(F.xxhash64("chunk_id"), F.col("packs")).cast("int"))
-    packed = packed.groupBy(block, "pack").agg(F.collect_list(F.struct(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))).alias("c"))
-    asked = questions.join(packs, block).select(block, "q_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack"))
-    pairs = asked.join(packed, [block, "pack"])
-    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = F.slice(F.array_sort(F.transform("c", lambda c: F.struct(F.round(square(c["v"], F.col("q")), 6).alias("distance"), c["id"].alias("chunk_id")))), 1, k)
+    asked = questions.filter("embedding is not null").select(block, "q_id", F.col("embedding").alias("v"))
+    packs, pivots = _vector_packs(chunks.filter("embedding is not null").select(block, F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), block)
+    pairs = _packs_to_visit(asked, pivots, packs, block, k).join(packs, [block, "pivot", "sub"])
+    near = F.slice(F.array_sort(F.transform("c", lambda c: F.struct(F.round(_square(c["v"], F.col("v")), 6).alias("distance"), c["id"].alias("chunk_id")))), 1, k)
     best = pairs.select("q_id", F.explode(near).alias("n")).select("q_id", "n.*")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "chunk_id"))).filter(F.col("rank") <= k)

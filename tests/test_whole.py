@@ -91,3 +91,31 @@ def test_near_duplicate_classes(spark, monkeypatch):
     many = [(f"m{i:05d}", " ".join([*base[: i % 50], f"new{i}", *base[i % 50 + 1 :]])) for i in range(3000)]
     out = corpus.near_duplicate_classes(spark.createDataFrame(many, "uid string, question string"))
     assert out.groupBy("class").count().collect() == [("m00000", 3000)] and sum(seen) < 20 * 3000
+
+
+def test_far_packs_are_not_visited(spark):
+    """On clustered vectors most packs are left out, and the rows are those of comparing all; equal vectors and small blocks too."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import select
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(8, 8)) * 20
+    vectors = np.concatenate([(centres[r.integers(0, 8, 9000)] + r.normal(size=(9000, 8)) * 0.2), np.ones((1500, 8)), r.normal(size=(3, 8))])
+    block = [0] * 9000 + [1] * 1500 + [2] * 3
+    chunks = spark.createDataFrame([(b, i, v) for i, (b, v) in enumerate(zip(block, vectors.tolist()))] + [(0, 99999, None)], "block long, chunk_id long, embedding array<double>")
+    questions = chunks.filter("chunk_id % 500 = 0 or chunk_id >= 10500").select("block", F.col("chunk_id").alias("q_id"), "embedding")
+    got: dict = {}
+    for x in select.retrieve_top_k(questions, chunks, "block").collect():
+        got.setdefault(x["q_id"], []).append((x["rank"], x["distance"], x["chunk_id"]))
+    for q in [x["q_id"] for x in questions.filter("embedding is not null").collect()]:
+        same = [i for i in range(len(block)) if block[i] == block[q]]
+        plain = sorted((round(float(((vectors[i] - vectors[q]) ** 2).sum()), 6), i) for i in same)[:5]
+        assert [(d, i) for _, d, i in sorted(got[q])] == plain
+    assert 99999 not in got
+    packs, pivots = select._vector_packs(chunks.filter("embedding is not null").select("block", F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), "block")
+    asked = questions.filter("block = 0 and embedding is not null").select("block", "q_id", F.col("embedding").alias("v"))
+    visits = select._packs_to_visit(asked, pivots, packs, "block", 5).count()
+    assert packs.agg(F.max(F.size("c"))).first()[0] < 4 * select.PACK
+    assert visits < 0.5 * asked.count() * packs.filter("block = 0").count()
