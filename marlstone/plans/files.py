@@ -11,7 +11,7 @@ from marlstone.plans import ratings as R
 from marlstone.plans import transcripts as T
 from marlstone.sources import io
 from marlstone.sources.scratch import new_folder
-from marlstone.streaming.ratings import read_latest, stream_latest_ratings
+from marlstone.streaming.ratings import read_latest, read_progress, stream_latest_ratings, stream_progress, stream_session
 
 #: What the rating exports are compared by: ids and one label column of each kind.
 EXPORTED = ["id", "session_id", "qa_uid", "annotator", *[f"qna_{m}_attribute" for m in S.ORDINAL], *[f"qna_{m}_binary" for m in S.BINARY], "caregiver_recommendation"]
@@ -116,15 +116,35 @@ def report_tables(spark, d):
     return spark.read.schema(summary.schema).csv(f"{path}/{written[0]}", header=True)
 
 
+#: Parts of the state of the registered streams.
+STATE_PARTS = 4
+
+
 def stream_latest(spark, d):
-    """The log as a stream of about four batches, merged into the table of the newest rows."""
-    arrived, table, checkpoint = (new_folder(spark, n) for n in ("arrived", "latest", "stream"))
+    """The log as a stream in three runs from one checkpoint: later ids first, then the rest with a part of the first again."""
+    arrived, checkpoint = new_folder(spark, "arrived"), new_folder(spark, "stream")
     log = A.ratings(spark, d).select("id", "session_id", "qa_uid", "created_at")
-    log.write.option("maxRecordsPerFile", 2_000).parquet(arrived)
-    files = len(spark.read.schema(log.schema).parquet(arrived).inputFiles())
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(arrived)
-    stream_latest_ratings(source, table, checkpoint).awaitTermination()
-    return read_latest(spark, table, log.schema)
+    own = stream_session(spark, STATE_PARTS)
+    for part in ("id % 3 = 2", "id % 3 = 1 OR id % 6 = 2", "id % 3 = 0"):
+        log.filter(part).write.mode("append").parquet(arrived)
+        stream_latest_ratings(own.readStream.schema(log.schema).parquet(arrived), checkpoint).awaitTermination()
+    return read_latest(spark, checkpoint, log.schema)
+
+
+#: Runs of the progress stream. A rating comes in a run by its day of ten; one in ten comes a run late, too late for its hour unless the hour is near the end of what has come.
+RUNS = 3
+RUN = "least(2, CAST(floor((extract(DAY FROM created_at) - 1) / 10) AS INT) + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END)"
+
+
+def stream_progress_hours(spark, d):
+    """Hourly progress as an append stream that is stopped and started from its checkpoint twice, with ratings that come in no order."""
+    arrived, out, checkpoint = (new_folder(spark, n) for n in ("arrived", "hours", "stream"))
+    log = A.ratings(spark, d).selectExpr("id", "annotator", "CAST(created_at AS TIMESTAMP) AS created_at", f"{RUN} AS run")
+    own = stream_session(spark, STATE_PARTS)
+    for run in range(RUNS):
+        log.filter(F.col("run") == run).drop("run").write.mode("append").parquet(arrived)
+        stream_progress(own.readStream.schema("id long, annotator string, created_at timestamp").parquet(arrived), out, checkpoint).awaitTermination()
+    return read_progress(spark, out).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 QUERIES = {
@@ -140,6 +160,7 @@ QUERIES = {
     "corpus_export": corpus_export,
     "report_tables": report_tables,
     "stream_latest_ratings": stream_latest,
+    "stream_progress": stream_progress_hours,
 }
 ORACLE_SQL = {
     "manifest_file": f"WITH {A.MANIFEST} SELECT video AS index, url, language, false AS collides FROM manifest WHERE url IS NOT NULL",
@@ -155,4 +176,8 @@ ORACLE_SQL = {
     "corpus_export": f"WITH {A.CORPUS} SELECT uid, dataset, video, approach, n, t, te, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM corpus",
     "report_tables": R.ORACLE_SQL["summary_by_approach"],
     "stream_latest_ratings": R.ORACLE_SQL["latest_ratings"],
+    "stream_progress": f"""WITH {A.RATINGS}, r AS (SELECT annotator, created_at, date_trunc('hour', created_at) AS hour, {RUN} AS run FROM ratings),
+ seen AS (SELECT run, MAX(MAX(created_at)) OVER (ORDER BY run) AS until FROM r GROUP BY run),
+ before AS (SELECT n.run, MAX(seen.until) AS until FROM (SELECT unnest(range({RUNS})) AS run) n LEFT JOIN seen ON seen.run < n.run GROUP BY n.run)
+ SELECT hour, annotator, COUNT(*) AS submissions FROM r JOIN before USING (run) WHERE (until IS NULL OR hour + INTERVAL 1 HOUR > until - INTERVAL 2 HOUR) AND hour + INTERVAL 1 HOUR <= (SELECT MAX(created_at) FROM r) - INTERVAL 2 HOUR GROUP BY ALL""",
 }

@@ -231,17 +231,23 @@ def test_logs_meta_captions_ratings_reports(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
+    """Late and repeated rows, and streams that are started again: the newest rows are those of the whole log, hours close once and late rows for them are dropped."""
     t = "id long, session_id string, qa_uid string, annotator string, created_at timestamp"
-    rows = [(i, f"s{i % 3}", f"q{i % 2}", "a", f"2024-01-01 {h:02d}:10:00") for i, h in enumerate((1, 1, 2, 2, 3, 9))]
-    df = spark.createDataFrame(rows, "id long, session_id string, qa_uid string, annotator string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    for k in range(2):
-        df.filter(F.col("id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(t).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream.stream_latest_ratings(source, str(tmp_path / "latest"), str(tmp_path / "c1")).awaitTermination()
-    got = {r["id"] for r in stream.read_latest(spark, str(tmp_path / "latest"), df.schema).collect()}
-    assert got == {r["id"] for r in R.latest_ratings(df).collect()}
-    closed = stream.run_progress(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "c2"))
-    assert {(r["hour"].hour, r["submissions"]) for r in closed.collect()} >= {(1, 2), (2, 2)}
+    runs = [[(1, 1), (2, 1), (3, 2), (4, 9)], [(5, 3), (6, 8), (1, 1), (7, 12)], [(8, 11), (9, 2), (10, 20)], []]
+    own = stream.stream_session(spark, 2)
+    whole = None
+    for k, run in enumerate(runs):
+        df = spark.createDataFrame([(i, f"s{i % 3}", f"q{i % 2}" if i != 3 else None, "a", f"2024-01-01 {h:02d}:10:00") for i, h in run], t.replace("timestamp", "string")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+        whole = df if whole is None else whole.union(df)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = own.readStream.schema(t).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream.stream_latest_ratings(source, str(tmp_path / "c1")).awaitTermination()
+        stream.stream_progress(source, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    got = {tuple(r) for r in stream.read_latest(spark, str(tmp_path / "c1"), whole.schema).collect()}
+    assert got == {tuple(r) for r in R.latest_ratings(whole.distinct()).collect()}
+    closed = [(r["hour"].hour, r["submissions"]) for r in stream.read_progress(spark, str(tmp_path / "out")).collect()]
+    # hours 3 and 1 of the second run and hour 2 of the third come after their hours are closed
+    assert sorted(closed) == [(1, 2), (2, 1), (8, 1), (9, 1), (11, 1), (12, 1)]
 
 
 def test_label_dimensions():
