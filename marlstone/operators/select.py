@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.order import numbered
 from marlstone.sources.scratch import materialize
 
 #: Chunks of a retrieval pack; one chunk in so many is a pivot.
@@ -80,6 +81,12 @@ def seeded_shuffle(items: DataFrame, keys: list[str], column: str, seed: str) ->
     return items.withColumn("question_number", F.row_number().over(Window.partitionBy(*keys).orderBy(order, column)))
 
 
+def seeded_order(items: DataFrame, columns: list[str], seed: str) -> DataFrame:
+    """items with question_number: one permutation of the whole set from 1 on that seed repeats; columns must tell its rows apart."""
+    shuffled = items.withColumn("_seeded", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(seed)).cast("binary")))
+    return numbered(shuffled, ["_seeded", *columns], "question_number", 1).drop("_seeded")
+
+
 def shared_ordered_set(pairs: DataFrame, most: int = 0) -> DataFrame:
     """One order for all raters: by question number, video, dataset, approach, uid; the first ``most`` (0: all)."""
     out = pairs.orderBy("qa_number", "video", "dataset", "approach", "uid")

@@ -185,6 +185,7 @@ QUERIES = {
     "selection_status": selection_status,
     "skip_topics": lambda s, d: C.skip_topics(A.blueprint(s, d), ["T1"]).select("video", "segment", "topic"),
     "pick_min_overlap": pick_min_overlap,
+    "seeded_order": lambda s, d: C.seeded_order(A.scored_pool(s, d), ["video", "id"], "7").select("video", "id", "question_number"),
     "seeded_shuffle": lambda s, d: C.seeded_shuffle(A.scored_pool(s, d), ["video"], "id", "7").select("video", "id", "question_number"),
     "retrieve_top_k": retrieve_top_k,
 }
@@ -232,6 +233,7 @@ ORACLE_SQL = {
     "select_proportional": f"{SELECTED} SELECT video, segment, id FROM s WHERE first OR rest <= 20 - taken",
     "selection_status": f"{SELECTED} SELECT video, segment, id, CASE WHEN first OR rest <= 20 - taken THEN 'Selected' ELSE 'Rejected' END AS status FROM s",
     "skip_topics": f"WITH {A.BLUEPRINT} SELECT video, segment, topic FROM blueprint WHERE topic <> 't1'",
+    "seeded_order": f"WITH {A.POOL} SELECT video, id, row_number() OVER (ORDER BY md5(video || '|' || id || '|7'), video, id) AS question_number FROM pool",
     "seeded_shuffle": f"WITH {A.POOL} SELECT video, id, row_number() OVER (PARTITION BY video ORDER BY md5(id || '|7'), id) AS question_number FROM pool",
     "retrieve_top_k": """WITH p AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0)
  SELECT q_id, distance, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, chunk_id) AS rank FROM p QUALIFY rank <= 5""",

@@ -13,14 +13,19 @@ from pyspark.sql import types as T
 from marlstone import schemas as S
 from marlstone.functions.text import format_srt
 from marlstone.operators.corpus import auto_index
+from marlstone.operators.order import numbered
 from marlstone.operators.ratings import blank_to_null, union_exports
 from marlstone.sources.named_files import write_named_files
 
 
 def read_manifest(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
-    """CSV index,url,language. lenient: missing indices are numbered; tolerant: rows without url go, bad indices are numbered; strict: both raise."""
+    """CSV index,url,language. lenient: missing indices are numbered; tolerant: rows without url go, bad indices are numbered; strict: both raise.
+
+    Numbers follow the input: files by name, rows as they stand in them, however Spark splits and packs the files.
+    """
     raw = spark.read.csv(path, header=True, schema="index string, url string, language string", enforceSchema=False, encoding="UTF-8")
-    rows = raw.select(*[F.trim(F.regexp_replace(c, "^﻿", "")).alias(c) for c in raw.columns]).withColumn("_at", F.monotonically_increasing_id())
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
+    rows = raw.select(*[F.trim(F.regexp_replace(c, "^﻿", "")).alias(c) for c in raw.columns], *place)
     rows = rows.withColumn("number", F.col("index").try_cast("int"))
     if mode == "strict":
         bad = rows.filter("number is null or coalesce(url, '') = '' or coalesce(language, '') = ''").limit(5).collect()
@@ -28,7 +33,7 @@ def read_manifest(spark: SparkSession, path: str, mode: str = "lenient") -> Data
             raise ValueError(f"the manifest has empty or non-integer values: {[r.asDict() for r in bad]}")
     if mode == "tolerant":
         rows = rows.filter("coalesce(url, '') <> ''")
-    out = rows.select(F.col("number").cast("long").alias("index"), "url", "language", "_at")
+    out = numbered(rows, ["_file", "_block", "_row"], "_place").select(F.col("number").cast("long").alias("index"), "url", "language", F.col("_place").alias("_at"))
     return auto_index(out, "_at").drop("_at").orderBy("index")
 
 

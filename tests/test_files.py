@@ -68,3 +68,25 @@ def test_exports_of_mixed_vintages_in_one_folder(spark, tmp_path):
     (folder / "sub").mkdir()
     with pytest.raises(ValueError, match="no export"):
         io.read_ratings(spark, [f"{tmp_path}/in*/sub*"])
+
+
+def test_manifest_numbers_follow_the_files(spark, tmp_path):
+    """The same numbers whatever the split size, over several files that are cut into many splits."""
+    folder = tmp_path / "m"
+    folder.mkdir()
+    for name in ("b.csv", "a.csv", "c.csv"):
+        (folder / name).write_text("index,url,language\n" + "".join(f",{name}-{i:04d},english\n" for i in range(400)))
+    want = [(k + 1, f"{n}.csv-{i:04d}") for k, (n, i) in enumerate((n, i) for n in "abc" for i in range(400))]
+    for size in ("1k", "64m"):
+        own = spark.newSession()
+        own.conf.set("spark.sql.files.maxPartitionBytes", size)
+        own.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert [(r["index"], r["url"]) for r in io.read_manifest(own, str(folder)).collect()] == want
+
+
+def test_numbers_of_a_whole_table(spark):
+    from marlstone.operators.order import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("old").alias("n")).repartition(9)
+    assert all(r["n"] == r["x"] + 5 for r in numbered(rows, ["x"], "n", 5).collect())
+    assert numbered(rows.limit(0), ["x"], "n").count() == 0
