@@ -90,16 +90,16 @@ POOL = "pool AS (SELECT l_suppkey AS video, CAST(l_linenumber AS BIGINT) AS segm
 
 
 def blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video, id, segment, title, topic, start_line, end_line, total_lines): line ranges over documents, with gaps, overlaps and equal titles."""
+    """(video, id, segment, title, topic, start_line, end_line, total_lines): line ranges over whole documents, seven at least, with gaps, overlaps and equal titles."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("video"), F.size(F.split("text", "\n")).cast("long").alias("total_lines"))
-    return docs.withColumn("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long")))).selectExpr(*BLUEPRINT_COLUMNS)
+    return docs.withColumn("id", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("greatest(7, total_lines div 3 + 1)")))).selectExpr(*BLUEPRINT_COLUMNS)
 
 
 BLUEPRINT_COLUMNS = [
     "video", "id", "id AS segment", "concat('t', CAST((video + id * id) % 3 AS STRING)) AS title", "concat('t', CAST((video + id * id) % 3 AS STRING)) AS topic",
     "(id - 1) * 3 + (video + id) % 4 AS start_line", "(id - 1) * 3 + (video * id) % 5 AS end_line", "total_lines",
 ]
-BLUEPRINT = f"blueprint AS (SELECT {', '.join(BLUEPRINT_COLUMNS).replace('STRING', 'VARCHAR')} FROM (SELECT doc_id AS video, len(string_split(text, chr(10))) AS total_lines, unnest(range(1, 6)) AS id FROM documents WHERE text IS NOT NULL))"
+BLUEPRINT = f"blueprint AS (SELECT {', '.join(BLUEPRINT_COLUMNS).replace('STRING', 'VARCHAR')} FROM (SELECT *, unnest(range(1, greatest(7, total_lines // 3 + 1) + 1)) AS id FROM (SELECT doc_id AS video, len(string_split(text, chr(10))) AS total_lines FROM documents WHERE text IS NOT NULL)))"
 
 
 def caption_events(spark: SparkSession, sf_dir: str) -> DataFrame:
