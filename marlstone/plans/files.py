@@ -108,6 +108,26 @@ def corpus_export(spark, d):
     return spark.read.schema(pairs.schema).json(f"{path}/json/pairs").select("uid", "dataset", "video", "approach", "n", "t", "te", *digests)
 
 
+def _document(spark, d):
+    folder = new_folder(spark, "document")
+    io.write_corpus_document(C.corpus_pairs(A.qa_pairs(spark, d)), A.manifest(spark, d), folder)
+    return io.read_corpus_document(spark, folder)
+
+
+def corpus_document(spark, d):
+    """The corpus as one document in ordered parts, its pairs read back."""
+    digests = [F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("question", "answer")]
+    return _document(spark, d)[0].select("uid", "dataset", "video", "approach", "n", "t", "te", *digests)
+
+
+def pending_files(spark, d):
+    """Transcripts of two documents in three are written; every document asks for its own."""
+    folder = new_folder(spark, "videos")
+    io.write_transcripts(A.segments(spark, d).filter("video % 3 <> 1").selectExpr("*", _DATASET, "'en' AS lang"), folder)
+    asked = A.table(spark, d, "documents").select(F.col("doc_id").alias("video")).selectExpr("video", _DATASET)
+    return io.pending_files(asked, folder, F.format_string("%s/%s/Transcript/transcript-en.json", "dataset", F.col("video").cast("string")))
+
+
 def report_tables(spark, d):
     """The summary by approach as a report file, read back; the empty table beside it isn't written."""
     path = new_folder(spark, "report")
@@ -158,6 +178,9 @@ QUERIES = {
     "generation_meta_files": generation_meta_files,
     "srt_files": srt_files,
     "corpus_export": corpus_export,
+    "corpus_document": corpus_document,
+    "corpus_document_videos": lambda s, d: _document(s, d)[1],
+    "pending_files": pending_files,
     "report_tables": report_tables,
     "stream_latest_ratings": stream_latest,
     "stream_progress": stream_progress_hours,
@@ -174,6 +197,9 @@ ORACLE_SQL = {
     "generation_meta_files": f"WITH {A.CORPUS} SELECT dataset, approach, 42 AS seed, COUNT(*) AS pairs, MAX({A.WORDS.format('answer')}) AS answer_words_max FROM corpus GROUP BY dataset, approach",
     "srt_files": T.ORACLE_SQL["write_srt"],
     "corpus_export": f"WITH {A.CORPUS} SELECT uid, dataset, video, approach, n, t, te, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM corpus",
+    "corpus_document": f"WITH {A.CORPUS} SELECT uid, dataset, video, approach, n, t, te, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM corpus",
+    "corpus_document_videos": f"WITH {A.MANIFEST} SELECT dataset, video, url, language FROM manifest WHERE url IS NOT NULL",
+    "pending_files": f"SELECT video, dataset FROM (SELECT doc_id AS video, text, {_DATASET} FROM documents) WHERE video % 3 = 1 OR text IS NULL",
     "report_tables": R.ORACLE_SQL["summary_by_approach"],
     "stream_latest_ratings": R.ORACLE_SQL["latest_ratings"],
     "stream_progress": f"""WITH {A.RATINGS}, r AS (SELECT annotator, created_at, date_trunc('hour', created_at) AS hour, {RUN} AS run FROM ratings),

@@ -15,7 +15,7 @@ from marlstone.functions.text import format_srt
 from marlstone.operators.corpus import auto_index
 from marlstone.operators.order import numbered
 from marlstone.operators.ratings import blank_to_null, union_exports
-from marlstone.sources.named_files import write_named_files
+from marlstone.sources.named_files import without_file, write_named_files
 
 
 def read_manifest(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
@@ -181,6 +181,59 @@ def write_corpus(pairs: DataFrame, videos: DataFrame, path: str, as_json: bool =
         videos.write.mode("overwrite").json(f"{path}/json/videos", encoding="UTF-8")
 
 
+#: Pairs or videos of one part of a corpus document.
+PART = 1000
+
+
+def _parts(lines: DataFrame, kind: str) -> DataFrame:
+    """lines(group, at, line) -> (path, value): the lines of a group in order, PART of them a file."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    files = lines.groupBy("group", F.expr(f"greatest(at, 0) div {PART}").alias("part")).agg(F.concat(F.array_join(texts, "\n", ""), F.lit("\n")).alias("value"))
+    return files.select(F.format_string(f"{kind}-%06d-%012d.json", "group", "part").alias("path"), "value")
+
+
+def write_corpus_document(pairs: DataFrame, videos: DataFrame, folder: str) -> None:
+    """pairs(uid, dataset, video, approach, n, question, answer, t, te), videos(dataset, video, url, language) as one JSON document
+    ``{"pairs": [pair, ...], "videos": {dataset: {video: {url, language}}}}``: the files of folder one after the other in the order of their names.
+
+    Pairs come by dataset, video, approach, n and uid, without fields that are null; videos by dataset and number. Videos without dataset, number or url are left out; of
+    those that repeat, the least url stays, a null language is empty. No task sees more than PART of either, and the folder must be empty before, so that no part of an older document stays.
+    ``cat folder/*`` or ``hadoop fs -getmerge`` makes it a single file; ``read_corpus_document`` reads it as it is.
+    """
+    spark = pairs.sparkSession
+    comma = lambda at: F.when(F.col(at) > 0, ",").otherwise("")
+    pair = F.to_json(F.struct("uid", "dataset", "video", "approach", "n", "question", "answer", "t", "te"))
+    listed = numbered(pairs, ["dataset", "video", "approach", "n", "uid"], "at").select(F.lit(0).alias("group"), "at", F.concat(comma("at"), pair).alias("line"))
+    known = videos.filter("dataset is not null and video is not null and trim(url) <> ''").groupBy("dataset", "video").agg(F.min(F.struct("url", F.coalesce("language", F.lit("")).alias("language"))).alias("v"))
+    placed = numbered(known, ["dataset", "video"], "at")
+    groups = numbered(placed.groupBy("dataset").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("size")), ["dataset"], "group")
+    entry = F.concat(F.lit('"'), F.col("video").cast("string"), F.lit('":'), F.to_json("v"))
+    entries = placed.join(groups, "dataset").withColumn("at", F.col("at") - F.col("low")).select("group", "at", F.concat(comma("at"), entry).alias("line"))
+    name = F.regexp_replace(F.to_json(F.array("dataset")), r"^\[|\]$", "")
+    opened = groups.select("group", F.lit(-1).cast("long").alias("at"), F.concat(comma("group"), name, F.lit(":{")).alias("line"))
+    closed = groups.select("group", F.col("size").alias("at"), F.lit("}").alias("line"))
+    fixed = spark.createDataFrame([("0-head.json", '{"pairs":[\n'), ("2-videos.json", '],"videos":{\n'), ("4-end.json", "}}\n")], "path string, value string")
+    write_named_files(_parts(listed, "1-pairs").unionByName(_parts(entries.union(opened).union(closed), "3-videos")).unionByName(fixed), folder, fresh=True)
+
+
+def read_corpus_document(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, videos) of a folder that ``write_corpus_document`` has written; a line that is no such item raises."""
+    lines = lambda glob: spark.read.text(folder, pathGlobFilter=glob).select(F.regexp_replace("value", "^,", "").alias("line"), F.regexp_extract("_metadata.file_path", r"-(\d+)-\d+\.json$", 1).alias("group"))
+    strict = {"mode": "FAILFAST"}
+    pair = "uid string, dataset string, video bigint, approach string, n bigint, question string, answer string, t int, te int"
+    pairs = lines("1-pairs-*.json").select(F.from_json("line", pair, strict).alias("p")).select("p.*")
+    held = lines("3-videos-*.json").filter("line <> '}'")
+    opens = F.col("line").endswith(":{")
+    names = held.filter(opens).select("group", F.element_at(F.from_json(F.concat(F.lit("["), F.regexp_replace("line", r":\{$", ""), F.lit("]")), "array<string>", strict), 1).alias("dataset"))
+    one = held.filter(~opens).select("group", F.explode(F.from_json(F.concat(F.lit("{"), "line", F.lit("}")), "map<string, struct<url: string, language: string>>", strict)).alias("video", "v"))
+    return pairs, one.join(names, "group").select("dataset", F.col("video").cast("long").alias("video"), "v.url", "v.language")
+
+
+def pending_files(requested: DataFrame, folder: str, place: Column) -> DataFrame:
+    """The requested rows whose file, at ``place`` under folder, isn't there yet; null places are pending."""
+    return without_file(requested.withColumn("_place", place), folder, "_place").drop("_place")
+
+
 def write_report_tables(tables: dict[str, DataFrame], path: str) -> list[str]:
     """Each table that has rows as CSV under its name; the names written."""
     done = [name for name, df in tables.items() if not df.isEmpty()]

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -41,8 +42,12 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class NamedFilesWriter(DataSourceWriter):
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, fresh: bool = False):
         self.folder = folder.rstrip("/")
+        if fresh:
+            store, root = _store(self.folder)
+            if store.get_file_info(root).type == fs.FileType.Directory and store.get_file_info(fs.FileSelector(root)):
+                raise ValueError(f"{self.folder} isn't empty")
         self.staging = f"{self.folder}/_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Listed:
@@ -93,7 +98,7 @@ class NamedFilesWriter(DataSourceWriter):
 
 class NamedFiles(DataSource):
     """Rows (path string, value string): a file of that text at that place under the folder. A null value is an empty file; an empty path, or one that
-    leaves the folder, is an error. Paths must differ: of equal ones any is kept. Files that no row names stay."""
+    leaves the folder, is an error. Paths must differ: of equal ones any is kept. Files that no row names stay; with the option fresh the folder must be empty."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,10 +110,27 @@ class NamedFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> NamedFilesWriter:
         if overwrite:
             raise ValueError("named_files replaces files one by one: use mode append")
-        return NamedFilesWriter(self.options["path"])
+        return NamedFilesWriter(self.options["path"], self.options.get("fresh") == "true")
 
 
-def write_named_files(files: DataFrame, folder: str) -> None:
-    """files(path, value) as files under folder; other columns are ignored."""
+def write_named_files(files: DataFrame, folder: str, fresh: bool = False) -> None:
+    """files(path, value) as files under folder, which is empty before if ``fresh``; other columns are ignored."""
     files.sparkSession.dataSource.register(NamedFiles)
-    files.select("path", "value").write.format("named_files").mode("append").save(folder)
+    files.select("path", "value").write.format("named_files").option("fresh", str(fresh).lower()).mode("append").save(folder)
+
+
+def without_file(rows: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """The rows whose ``path`` is no file under folder; a null or empty path is none.
+
+    Each task asks the store for the places of its own rows, a batch at a time, so nothing is listed, whatever else the folder holds. A folder that
+    doesn't exist has no file.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder.rstrip("/"))
+        for batch in batches:
+            places = batch.column(path).to_pylist()
+            found = iter(store.get_file_info([f"{root}/{p}" for p in places if p]))
+            yield batch.filter(pa.array([not p or next(found).type != fs.FileType.File for p in places], pa.bool_()))
+
+    return rows.mapInArrow(work, rows.schema)

@@ -54,6 +54,46 @@ write_named_files(rows, "{tmp_path}/out")
     assert (tmp_path / "died").exists() and files(tmp_path / "out") == {f"v/{i}": "text" for i in range(30)}
 
 
+def test_a_corpus_document_is_one_json_document(spark, tmp_path, monkeypatch):
+    """Parts of few items, odd names, left out and repeated videos, nulls; the files one after the other are what json reads."""
+    import json
+
+    monkeypatch.setattr(io, "PART", 3)
+    pairs = [(f"u{i}", 'a"}{:\n' if i % 2 else "b", i % 5, "RAG", i, f"q,\n{i}", f'"ä{i}"', i if i % 3 else None, None) for i in range(20)]
+    videos = [(ds, i, f"http://{ds}/{i}", None if i == 2 else "english") for ds in ('a"}{:\n', "b", "[c]") for i in range(7)]
+    odd = [("b", 3, "http://a", "z"), ("b", 8, " ", "x"), ("b", 9, None, "x"), (None, 1, "u", "x"), ("b", None, "u", "x"), ("blank only", 1, "", "x")]
+    p = spark.createDataFrame(pairs, "uid string, dataset string, video long, approach string, n int, question string, answer string, t int, te int")
+    v = spark.createDataFrame(videos + odd, "dataset string, video long, url string, language string").repartition(4)
+    folder = tmp_path / "doc"
+    io.write_corpus_document(p, v, str(folder))
+    got = json.loads("".join(f.read_text() for f in sorted(folder.iterdir())))
+    names = p.columns
+    assert got["pairs"] == [{k: x for k, x in zip(names, r, strict=True) if x is not None} for r in sorted(pairs, key=lambda r: (r[1], r[2], r[3], r[4]))]
+    want: dict = {}
+    for ds, i, url, language in videos:
+        want.setdefault(ds, {})[str(i)] = {"url": url, "language": language or ""}
+    want["b"]["3"] = {"url": "http://a", "language": "z"}
+    assert got["videos"] == want and len(list(folder.iterdir())) == 3 + 7 + 9
+    back, links = io.read_corpus_document(spark, str(folder))
+    assert sorted(tuple(r[c] for c in names) for r in back.collect()) == sorted(pairs)
+    assert {(r["dataset"], str(r["video"])): (r["url"], r["language"]) for r in links.collect()} == {(ds, i): (x["url"], x["language"]) for ds, m in want.items() for i, x in m.items()}
+    with pytest.raises(Exception, match="isn't empty"):
+        io.write_corpus_document(p, v, str(folder))
+    io.write_corpus_document(p.limit(0), v.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").iterdir()))) == {"pairs": [], "videos": {}}
+    assert [x.count() for x in io.read_corpus_document(spark, str(tmp_path / "none"))] == [0, 0]
+
+
+def test_files_that_are_not_there(spark, tmp_path):
+    (tmp_path / "a" / "dir").mkdir(parents=True)
+    (tmp_path / "a" / "x 1").write_text("")
+    rows = spark.createDataFrame([(1, "x 1"), (2, "x 2"), (3, "dir"), (4, None), (5, ""), (6, "x 1")], "id int, place string")
+    for folder in (f"{tmp_path}/a/", f"file://{tmp_path}/a"):
+        assert sorted(r["id"] for r in io.pending_files(rows, folder, F.col("place")).collect()) == [2, 3, 4, 5]
+    assert io.pending_files(rows, f"{tmp_path}/none", F.col("place")).columns == ["id", "place"]
+    assert io.pending_files(rows, f"{tmp_path}/none", F.col("place")).count() == 6
+
+
 def test_exports_of_mixed_vintages_in_one_folder(spark, tmp_path):
     folder = tmp_path / "in [1]"
     folder.mkdir()
