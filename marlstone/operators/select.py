@@ -35,13 +35,21 @@ def largest_remainder_quotas(quality: DataFrame, keys: list[str], k: Column, seg
 
 
 def select_proportional(pool: DataFrame, keys: list[str], k: int, segment: str = "segment") -> DataFrame:
-    """pool(keys, segment, id, score) with selected: each segment's quota of its best, then the best of what is left up to k."""
+    """pool(keys, segment, id, score) with selected: each segment's quota of its best, then the best of what is left up to k. An id stands once in a segment; best is the higher score (null last), then the higher id. Rows with a null key or segment aren't selected.
+
+    No segment gives more than k, so only its best k are ranked, which Spark cuts down before it shuffles (for k up to spark.sql.optimizer.windowGroupLimitThreshold).
+    What a segment gives is its best so many, so its least selected row tells all of them: the pool itself is joined with a row a segment and never sorted, however large a video is.
+    """
     quotas = largest_remainder_quotas(segment_quality(pool, keys, segment), keys, F.lit(k), segment).select(*keys, segment, "quota")
     best = [F.col("score").desc(), F.col("id").desc()]
-    ranked = pool.join(quotas, [*keys, segment]).withColumn("first", F.row_number().over(Window.partitionBy(*keys, segment).orderBy(*best)) <= F.col("quota"))
+    leading = pool.select(*keys, segment, "id", "score").withColumn("_at", F.row_number().over(Window.partitionBy(*keys, segment).orderBy(*best))).filter(F.col("_at") <= k)
+    ranked = leading.join(quotas, [*keys, segment]).withColumn("first", F.col("_at") <= F.col("quota"))
     taken = F.sum(F.col("first").cast("int")).over(Window.partitionBy(*keys))
     rest = F.row_number().over(Window.partitionBy(*keys, "first").orderBy(*best))
-    return ranked.withColumn("selected", F.col("first") | (~F.col("first") & (rest <= F.lit(k) - taken))).drop("first", "quota")
+    chosen = ranked.withColumns({"_taken": taken, "_rest": rest}).filter(F.col("first") | (F.col("_rest") <= F.lit(k) - F.col("_taken")))
+    least = chosen.groupBy(*keys, segment).agg(F.min(F.struct("score", "id")).alias("_least"))
+    met = pool.join(least, [*keys, segment], "left").withColumn("selected", F.coalesce(F.struct("score", "id") >= F.col("_least"), F.lit(False)))
+    return met.select(*pool.columns, "selected")
 
 
 def calls_per_agent(questions: DataFrame, keys: list[str], segment: str = "segment") -> DataFrame:

@@ -142,6 +142,11 @@ QUOTAS = f"""WITH {A.POOL}, q AS (SELECT video, segment, greatest(round(avg(scor
  r AS (SELECT *, round(CASE WHEN SUM(quality) OVER (PARTITION BY video) > 0 THEN quality / SUM(quality) OVER (PARTITION BY video) ELSE 1.0 / COUNT(*) OVER (PARTITION BY video) END * 20, 9) AS raw FROM q),
  b AS (SELECT *, CAST(floor(raw) AS BIGINT) AS base FROM r),
  quotas AS (SELECT video, segment, quality, base + CASE WHEN row_number() OVER (PARTITION BY video ORDER BY round(raw - base, 9) DESC, segment) <= 20 - SUM(base) OVER (PARTITION BY video) THEN 1 ELSE 0 END AS quota FROM b)"""
+_LEAST = "over, over - (ends - starts), seen, starts - ends, id"
+MIN_OVERLAP = f"""WITH RECURSIVE {A.POOL}, walk AS (SELECT video, id, CAST(id % 997 AS BIGINT) AS starts, CAST(id % 997 + id % 61 AS BIGINT) AS ends, segment AS topic, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS seen, 1 AS step FROM pool
+  UNION ALL SELECT video, id, starts, ends, topic, over + greatest(0, least(ends, best.ends) - greatest(starts, best.starts)), seen + CAST(topic = best.topic AS BIGINT), step + 1
+   FROM (SELECT *, first_value({{'id': id, 'starts': starts, 'ends': ends, 'topic': topic}}) OVER (PARTITION BY video ORDER BY {_LEAST}) AS best FROM walk) w WHERE id <> best.id AND step < 20)
+ SELECT video, id FROM walk QUALIFY row_number() OVER (PARTITION BY video, step ORDER BY {_LEAST}) = 1"""
 ISLANDS = "f AS (SELECT *, CASE WHEN lag(title) OVER (PARTITION BY video ORDER BY start_line, id) = title THEN 0 ELSE 1 END AS new FROM blueprint), r AS (SELECT *, SUM(new) OVER (PARTITION BY video ORDER BY start_line, id) AS island FROM f)"
 SELECTED = QUOTAS + """, f AS (SELECT pool.*, row_number() OVER (PARTITION BY video, segment ORDER BY score DESC, id DESC) <= quota AS first FROM pool JOIN quotas USING (video, segment)),
  s AS (SELECT *, SUM(CAST(first AS INT)) OVER (PARTITION BY video) AS taken, row_number() OVER (PARTITION BY video, first ORDER BY score DESC, id DESC) AS rest FROM f)"""
@@ -233,6 +238,7 @@ ORACLE_SQL = {
     "select_proportional": f"{SELECTED} SELECT video, segment, id FROM s WHERE first OR rest <= 20 - taken",
     "selection_status": f"{SELECTED} SELECT video, segment, id, CASE WHEN first OR rest <= 20 - taken THEN 'Selected' ELSE 'Rejected' END AS status FROM s",
     "skip_topics": f"WITH {A.BLUEPRINT} SELECT video, segment, topic FROM blueprint WHERE topic <> 't1'",
+    "pick_min_overlap": MIN_OVERLAP,
     "seeded_order": f"WITH {A.POOL} SELECT video, id, row_number() OVER (ORDER BY md5(video || '|' || id || '|7'), video, id) AS question_number FROM pool",
     "seeded_shuffle": f"WITH {A.POOL} SELECT video, id, row_number() OVER (PARTITION BY video ORDER BY md5(id || '|7'), id) AS question_number FROM pool",
     "retrieve_top_k": """WITH p AS (SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0)

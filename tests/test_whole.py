@@ -119,3 +119,30 @@ def test_far_packs_are_not_visited(spark):
     visits = select._packs_to_visit(asked, pivots, packs, "block", 5).count()
     assert packs.agg(F.max(F.size("c"))).first()[0] < 4 * select.PACK
     assert visits < 0.5 * asked.count() * packs.filter("block = 0").count()
+
+
+def test_selection_from_one_very_large_video(spark):
+    """A video with most questions, ties and empty scores: the rows of plain selection, and what is sorted is cut down before the shuffle."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import select
+
+    r = random.Random(3)
+    rows = [(0 if r.random() < 0.8 else r.randint(1, 4), r.choice("abcd"), i, r.choice([None, 1.0, 2.0, 7.0, 7.5])) for i in range(4000)]
+    rows += [(9, "a", 1, 5.0), (9, "b", 2, 5.0), (8, "a", 3, 5.0), (8, "a", 4, 5.0), (8, "a", 5, 1.0), (8, "b", 6, 9.0), (8, "b", 7, 9.0), (7, None, 1, 5.0)]
+    pool = spark.createDataFrame(rows, "video int, segment string, id int, score double").repartition(6)
+    for k in (1, 4, 20):
+        quotas = {(q["video"], q["segment"]): q["quota"] for q in select.largest_remainder_quotas(select.segment_quality(pool, ["video"]), ["video"], F.lit(k)).collect()}
+        want = set()
+        for video in {v for v, *_ in rows} - {7}:
+            order = sorted((x for x in rows if x[0] == video), key=lambda x: (x[3] is None, -(x[3] or 0), -x[2]))
+            first = [x for s in "abcd" for x in [y for y in order if y[1] == s][: quotas.get((video, s), 0)]]
+            want |= set(first) | set([x for x in order if x not in first][: k - len(first)])
+        out = select.select_proportional(pool, ["video"], k)
+        got = out.collect()
+        assert out.columns == ["video", "segment", "id", "score", "selected"] and len(got) == len(rows)
+        assert {tuple(x)[:4] for x in got if x["selected"]} == want
+    plan = select.select_proportional(pool, ["video"], 20)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
