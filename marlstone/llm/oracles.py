@@ -41,14 +41,15 @@ OP9 = f"""WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role,
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def _cut(breaks: str, counts: str, removed: str, words: int, size: int) -> str:
-    """Segments that end behind ``breaks``, runs of two of them (which cover every longer run) and single ones of so many words or bytes, and
+def _cut(breaks: str, counts: str, removed: str, words: int, size: int, most: int = 2, run: tuple[int, int] = (0, 0)) -> str:
+    """Segments that end behind ``breaks``, runs of two to ``most`` of them that have the words or bytes of ``run`` (they cover every longer run), single ones of so many words or bytes, and
     the texts without the segments of runs that occur before."""
-    spans = (1, 2)
+    spans = range(1, most + 1)
+    joined = lambda first, what, between, n: first + "".join(f"{between}lead({what}, {j}) OVER w" for j in range(1, n))
     grams = " UNION ALL ".join(
-        f"SELECT doc_id, i, {n} AS n, s{''.join(f' || chr(1) || lead(s, {j}) OVER w' for j in range(1, n))} AS key, words{''.join(f' + lead(words, {j}) OVER w' for j in range(1, n))} AS words FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY i)" for n in spans
+        f"SELECT doc_id, i, {n} AS n, {joined('s', 's', ' || chr(1) || ', n)} AS key, {joined('words', 'words', ' + ', n)} AS words FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY i)" for n in spans
     )
-    need = f"n > 1 OR words >= {words} OR strlen(key) >= {size}"
+    need = f"CASE WHEN n > 1 THEN words >= {run[0]} OR strlen(key) - (n - 1) >= {run[1]} ELSE words >= {words} OR strlen(key) >= {size} END"
     return f"""WITH raw AS (SELECT doc_id, text, unnest(x) AS raw, unnest(range(1, len(x) + 1)) AS j FROM (SELECT doc_id, text, string_split(regexp_replace(text, '({breaks})', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL)),
  placed AS (SELECT *, SUM(length(raw)) OVER (PARTITION BY doc_id ORDER BY j) - length(ltrim(raw, {_WS})) AS start FROM raw),
  seg AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i, trim(raw, {_WS}) AS s, len(list_filter(string_split_regex(raw, '[\\x09-\\x0D ]+'), lambda x: x <> '')) AS words FROM placed WHERE trim(raw, {_WS}) <> ''),
@@ -61,7 +62,7 @@ def _cut(breaks: str, counts: str, removed: str, words: int, size: int) -> str:
 
 
 OP10 = _cut("\\n", "n_lines", "n_removed_lines", 50, 300)
-OP5 = _cut("\\n|[.!?][\\x09-\\x0D ]", "n_sentences", "n_removed_sentences", 50, 300)
+OP5 = _cut("\\n|[.!?][\\x09-\\x0D ]", "n_sentences", "n_removed_sentences", 50, 300, 8, (8, 48))
 
 
 def _crc_step(c: int) -> int:

@@ -91,6 +91,15 @@ def runs(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return mixed(out[same]), same
 
 
+def folded(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of runs of n hashes each from such places on, of whatever lengths; for equal lengths those of ``runs``."""
+    out = h[start]
+    for j in range(1, int(n.max(initial=1))):
+        longer = np.flatnonzero(n > j)
+        out[longer] = out[longer] * _STEP + h[start[longer] + j]
+    return mixed(out)
+
+
 def shingle_sets(at: np.ndarray, data: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct hashes of all rows one after the other, sizes, an identity for each row's set).
 

@@ -46,7 +46,7 @@ def test_pair_check_agrees_with_merging():
     assert [b.exact(b.bytes_of(x) + b.bytes_of(y)) == [x, y] for x, y in ids.tolist()] == ok.tolist()
 
 
-@pytest.mark.parametrize(("op", "sentences", "spans", "names"), [(line_dedup.dedup_lines, False, {3: 0}, ("n_lines", "n_removed_lines")), (substring_dedup.dedup_substrings, True, substring_dedup.SPANS, ("n_sentences", "n_removed_sentences"))])
+@pytest.mark.parametrize(("op", "sentences", "spans", "names"), [(line_dedup.dedup_lines, False, {3: 0}, ("n_lines", "n_removed_lines")), (lambda docs: substring_dedup.dedup_substrings(docs, (0, 0), (50, 300)), True, {2: 0, 1: 50}, ("n_sentences", "n_removed_sentences"))])
 def test_runs_and_spans(spark, docs, op, sentences, spans, names):
     order = sorted(TEXTS, key=lambda x: (x[0] is None, x[0]))
     want = cut(order, sentences, spans)

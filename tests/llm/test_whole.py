@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline
@@ -10,8 +11,8 @@ from tests.compare import DATA
 from tests.llm.odd import segments
 
 
-def whole(rows, sentences, most, words, size):
-    """Like odd.cut, for runs of 2 to ``most`` segments of any length and single ones of so many words or bytes."""
+def whole(rows, sentences, most, words, size, run=(0, 0)):
+    """Like odd.cut, for runs of 2 to ``most`` segments that have the words or bytes of ``run`` and single ones of so many words or bytes."""
     seen, out = {}, {}
     for key in dict.fromkeys(rows):
         x = segments(key[1], sentences)
@@ -19,7 +20,8 @@ def whole(rows, sentences, most, words, size):
         for n in range(1, most + 1):
             for i in range(len(x) - n + 1):
                 g = (n, *x[i : i + n])
-                if n == 1 and len(re.split(r"[\t-\r ]+", x[i])) < words and len(x[i].encode()) < size:
+                least = (words, size) if n == 1 else run
+                if sum(len(re.split(r"[\t-\r ]+", s)) for s in g[1:]) < least[0] and sum(len(s.encode()) for s in g[1:]) < least[1]:
                     continue
                 at, j = seen.setdefault(g, (key, i))
                 if (at, j) != (key, i):
@@ -28,8 +30,8 @@ def whole(rows, sentences, most, words, size):
     return out
 
 
-def assert_whole(spark, got, rows, sentences, words, size, names):
-    want = whole(rows, sentences, 4, words, size)
+def assert_whole(spark, got, rows, sentences, words, size, names, most=4, run=(0, 0)):
+    want = whole(rows, sentences, most, words, size, run)
     table = spark.createDataFrame(rows, "doc_id long, text string")
     for r in got(table.withColumn("t", table["text"])).select("doc_id", "t", "text", *names).collect():
         assert (r[names[0]], r[names[1]], segments(r["text"], sentences)) == want[r["doc_id"], r["t"]], r["doc_id"]
@@ -39,12 +41,17 @@ def table_rows(spark):
     return sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("text is not null").collect())
 
 
-def test_short_runs_of_sentences_go(spark):
-    rows = [(1, "A b. C d e. F. G h."), (2, "X. A b. C d e. Y."), (3, "Q. C d e. F. G h. R."), (4, "日" * 120 + "\nz"), (5, "w\n" + "日" * 120)]
+def test_runs_of_sentences_go(spark):
+    """Runs of eight words or more go whole, with what is short inside and at their ends; two short sentences that stand together again stay."""
+    run = "A b c. D. E f g h i. J"
+    rows = [(1, f"{run}."), (2, f"X. {run}. Y."), (3, "Q. D. E f g h i. R."), (4, "A b c. D."), (5, "D. E f g h i. J. S."), (6, "日" * 120 + "\nz"), (7, "w\n" + "日" * 120), (8, "日本語日本語日本\n日本語日本語日本"), (9, "v\n日本語日本語日本\n日本語日本語日本")]
     names = ("n_sentences", "n_removed_sentences")
     got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "X. Y.", 3: "Q. R.", 4: rows[3][1], 5: "w"}
-    assert_whole(spark, substring_dedup.dedup_substrings, rows + [(i + 10, t) for i, t in table_rows(spark)], True, 50, 300, names)
+    assert got == {**dict(rows), 2: "X. Y.", 7: "w", 9: "v"}
+    r = random.Random(8)
+    chance = [(100 + i, "".join(" ".join(r.choice("ab") for _ in range(r.choice([1, 1, 1, 2, 3, 9]))) + r.choice([". ", "\n", ".\n "]) for _ in range(r.randint(0, 25)))) for i in range(60)]
+    for more in (rows, chance, [(i + 10, t) for i, t in table_rows(spark)]):
+        assert_whole(spark, substring_dedup.dedup_substrings, more, True, *substring_dedup.LONE, names, 9, substring_dedup.RUN)
 
 
 def test_short_runs_of_lines_and_long_lines_go(spark):
