@@ -151,27 +151,24 @@ def near_leaves(placed: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges among (i, j) that connect what all connect."""
-    up = list(range(n))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, centres) of stars that connect what the links (i, j) among n connect: each but the first of a component with its first."""
+    first = np.arange(n)
+    while len(i):
+        x, y = first[i], first[j]
+        low = np.minimum(x, y)
+        np.minimum.at(first, x, low)
+        np.minimum.at(first, y, low)
+        while not np.array_equal(first, first[first]):
+            first = first[first]
+        apart = first[i] != first[j]
+        i, j = i[apart], j[apart]
+    members = np.flatnonzero(first != np.arange(n))
+    return members, first[members]
 
 
 def _compared(placed: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
-    """(a, null, n): n rows link with vector a; and (a, b, null): links that connect what all links connect."""
+    """(a, null, n): n rows link with vector a; and (a, b, null): pairs that connect what all links connect."""
     group = lambda c: F.floor(F.col(c) / FAN).cast("long")
     groups = placed.groupBy("grp", group("leaf").alias("g")).agg(F.collect_list(F.struct("leaf", "id", "copies", "unit")).alias("rows"))
     groups = materialize(groups.select("grp", "g", F.col("rows.leaf").alias("leaves"), F.col("rows.id").alias("ids"), F.col("rows.copies").alias("counts"), F.flatten("rows.unit").alias("units")), "groups")
@@ -200,12 +197,12 @@ def _compared(placed: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
                 if not links_i:
                     continue
                 ids = ia if same else np.concatenate([ia, ib])
-                e = np.array(_forest(np.concatenate(links_i), np.concatenate(links_j), len(ids)), np.int64).reshape(-1, 2)
+                members, centres = stars(np.concatenate(links_i), np.concatenate(links_j), len(ids))
                 # within one group both sides are the same vectors
                 for x, n in [(ia, na + nb)] if same else [(ia, na), (ib, nb)]:
                     some = n > 0
                     yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(n[some])], names=["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]]), pa.nulls(len(e), pa.int64())], names=["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[members]), pa.array(ids[centres]), pa.nulls(len(members), pa.int64())], names=["a", "b", "n"])
 
     out = materialize(joined.mapInArrow(tidy(compare), "a long, b long, n long"), "found")
     discard(groups)

@@ -228,3 +228,19 @@ def test_stages_on_odd_and_empty(spark, k):
         out = stage(spark, rows, DATA)
         assert name == "bpe" or out.columns == docs.columns
         assert out.count() <= rows.count()
+
+
+def test_stars_connect_what_links_connect():
+    r = random.Random(4)
+    for n, most in ((1, 0), (2, 3), (40, 12), (40, 40), (40, 200)):
+        for _ in range(30):
+            links = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, most))]
+            least = list(range(n))
+            for _ in range(n):
+                for a, b in links:
+                    least[a] = least[b] = min(least[a], least[b])
+            i, j = np.array(links, np.int64).reshape(-1, 2).T
+            members, centres = embeddings.stars(i, j, n)
+            assert dict(zip(members.tolist(), centres.tolist(), strict=True)) == {x: c for x, c in enumerate(least) if x != c}
+    path = np.arange(2000)
+    assert embeddings.stars(path[:-1], path[1:], 2000)[1].tolist() == [0] * 1999
