@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -130,32 +131,39 @@ def pick_min_overlap(items: DataFrame, keys: list[str], k: int = 20) -> DataFram
     return items.groupBy(*keys).applyInPandas(pick, items.schema)
 
 
-def _merged(parts: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Short parts joined up to ``size`` characters; each piece begins with the last parts of the one before, up to ``overlap`` of them."""
-    now: list[str] = []
-    length = 0
-    for part in parts:
-        if now and length + len(part) > size:
-            yield "".join(now)
-            while now and (length > overlap or length + len(part) > size):
-                length -= len(now.pop(0))
-        now.append(part)
-        length += len(part)
-    yield "".join(now)
-
-
-def _chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> Iterator[str]:
-    """Text cut at the first separator that it has, which goes with the part behind it. What is short is joined; a long part ends that, and is cut at the next separator."""
-    while separators[0] and separators[0] not in text:
-        separators = separators[1:]
-    sep, finer = separators[0], separators[1:]
-    parts = [(sep if i else "") + x for i, x in enumerate(text.split(sep))] if sep else list(text)
-    for long, group in groupby((p for p in parts if p), key=lambda p: len(p) >= size and bool(finer)):
-        if long:
-            for part in group:
-                yield from _chunks(part, size, overlap, finer)
-        else:
-            yield from _merged(list(group), size, overlap)
+def _joined(cuts: Sequence[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Pieces of parts between neighbouring cuts, joined up to ``size`` characters; each begins with the last parts of the one before, up to ``overlap`` of them."""
+    begin, last = 0, len(cuts) - 1
+    while True:
+        end = max(begin + 1, bisect_right(cuts, cuts[begin] + size) - 1)
+        yield cuts[begin], cuts[end]
+        if end == last:
+            return
+        begin = min(end, bisect_left(cuts, max(cuts[end] - overlap, cuts[end + 1] - size)))
+
+
+def chunk_borders(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", ""), base: int = 0) -> Iterator[tuple[int, int]]:
+    """Borders of the chunks of a text: it is cut at the first separator that it has, which goes with the part behind it. Short parts are joined by the places of their cuts; a long one ends that, and is cut at the next separator."""
+    sep, at = next((s, k) for k, s in enumerate(separators) if s in text)
+    finer, cuts, long = separators[at + 1 :], range(len(text) + 1), []
+    if sep:
+        cuts = [n - len(sep) for n in accumulate((n + len(sep) for n in map(len, text.split(sep))), initial=0)]
+        cuts[0] = 0
+        if cuts[1] == 0:
+            del cuts[0]
+    if finer:
+        long = [k for k, (x, y) in enumerate(pairwise(cuts)) if y - x >= size]
+    begin, last = 0, len(cuts) - 1
+    for k in [*long, last]:
+        if begin < k:
+            yield from ((base + x, base + y) for x, y in _joined(cuts[begin : k + 1], size, overlap))
+        if k < last:
+            yield from chunk_borders(text[cuts[k] : cuts[k + 1]], size, overlap, finer, base + cuts[k])
+        begin = k + 1
+
+
+def _chunks(text: str, size: int, overlap: int) -> list[str]:
+    return [x for a, b in chunk_borders(text, size, overlap) if (x := text[a:b].strip())]
 
 
 def recursive_chunks(texts: DataFrame, keys: list[str], text: str, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -163,7 +171,7 @@ def recursive_chunks(texts: DataFrame, keys: list[str], text: str, size: int = 1
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            p = p.assign(chunk=[[x for c in _chunks(t, size, overlap) if (x := c.strip())] if isinstance(t, str) else [] for t in p[text]])
+            p = p.assign(chunk=[_chunks(t, size, overlap) if isinstance(t, str) else [] for t in p[text]])
             p["chunk_no"] = [list(range(len(c))) for c in p["chunk"]]
             yield p[[*keys, "chunk_no", "chunk"]].explode(["chunk_no", "chunk"]).dropna(subset=["chunk"])
 

@@ -123,6 +123,42 @@ def test_chunks_are_short_and_whole(spark, text):
     assert set(" ".join(r["chunk"] for r in rows).split()) == set(text.split()) or "x" in text
 
 
+def plain_chunks(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    """Part by part: short ones are gathered, what is full is given out and shortened from the front."""
+    while separators[0] and separators[0] not in text:
+        separators = separators[1:]
+    sep, finer = separators[0], separators[1:]
+    parts = [x for x in ([(sep if i else "") + x for i, x in enumerate(text.split(sep))] if sep else list(text)) if x]
+    out, now, fresh = [], [], False
+    for part in [*parts, None]:
+        if part is None or finer and len(part) >= size:
+            if fresh:
+                out.append("".join(now))
+            now, fresh = [], False
+            out += plain_chunks(part, size, overlap, finer) if part is not None else []
+            continue
+        if now and len("".join(now)) + len(part) > size:
+            out.append("".join(now))
+            while now and (len("".join(now)) > overlap or len("".join(now)) + len(part) > size):
+                now.pop(0)
+        now.append(part)
+        fresh = True
+    return out
+
+
+def test_chunks_are_those_of_gathering_parts(spark):
+    import random
+
+    r = random.Random(6)
+    texts = ["".join(r.choice(["\n", "\n\n", " ", " ", "a", "bc", "ä", "🙂", "word", "x" * r.randint(1, 40)]) for _ in range(r.randint(0, 120))) for _ in range(400)] + ["", "\n", "\n\n\n", " \n\n ", "x" * 500]
+    for text in texts:
+        for size, overlap in ((1, 0), (7, 3), (20, 5), (50, 49), (1000, 150)):
+            got = [x for a, b in C.chunk_borders(text, size, overlap) if (x := text[a:b].strip())]
+            assert got == [x for c in plain_chunks(text, size, overlap) if (x := c.strip())], (text, size, overlap)
+    rows = C.recursive_chunks(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), ["id"], "t", 20, 5).collect()
+    assert sorted((x["id"], x["chunk_no"], x["chunk"]) for x in rows) == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(filter(None, map(str.strip, plain_chunks(t, 20, 5))))]
+
+
 def test_chunks_end_before_a_long_part(spark):
     """What stands before a long part is a chunk of its own; pieces of the long part overlap."""
     long = " ".join(f"w{i:04}" for i in range(300))
