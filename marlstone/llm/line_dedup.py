@@ -4,8 +4,8 @@ A line's hash is of its trimmed text; blank lines don't count. In every window o
 ones the last), so two texts that share a run of RUN lines choose the same line of it: the fingerprint is guaranteed. Chosen
 lines are joined by hash over all documents, which drops lines that are in one place only. Around each match the RUN
 windows that hold it are compared, so that a match extends to both sides as far as the lines agree with an earlier
-place; a run of at least RUN lines that occurs before, in document order, is deleted where it comes later. Only a single line as long as
-a passage is its own fingerprint and needs no neighbour; a shorter one stays, however often it occurs alone.
+place; a run of at least RUN lines that occurs before, in document order, is deleted where it comes later. A single line that
+is long enough is a window by itself, so it is always chosen and needs no neighbour; a shorter one stays, however often it occurs alone.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from marlstone.llm.shared import discard, documents, join_hot, materialize
 from marlstone.llm.shingles import mixed, runs
 
 RUN = 3
-#: For whole tables: runs of two lines or more (longer ones are covered by theirs of two), and single lines of so many words, or bytes of scripts without spaces.
-SHORT_RUN, LINE = 2, (50, BYTES)
+#: For whole tables: runs of two lines or more (longer ones are covered by theirs of two), and single lines of so many words or bytes.
+SHORT_RUN, SHORT_LINE = 2, (5, 40)
+#: The single lines of the pipeline's stage, which cuts passages only: so many words, or bytes of scripts without spaces.
+LINE = (50, BYTES)
 
 
 def winnow(h: np.ndarray, row: np.ndarray, run: int) -> np.ndarray:
@@ -81,4 +83,4 @@ def dedup_lines(docs: DataFrame, run: int = RUN, line: tuple[int, int] | None =
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), SHORT_RUN, LINE).select("doc_id", "n_lines", "n_removed_lines", "text")
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), SHORT_RUN, SHORT_LINE).select("doc_id", "n_lines", "n_removed_lines", "text")

@@ -6,8 +6,10 @@ import random
 import re
 
 import corpus_pipeline
-from marlstone.llm import line_dedup, substring_dedup
-from tests.compare import DATA
+import pyarrow as pa
+import pyarrow.parquet as pq
+from marlstone.llm import line_dedup, registry, substring_dedup
+from tests.compare import DATA, assert_same
 from tests.llm.odd import segments
 
 
@@ -69,3 +71,15 @@ def test_most_lines_go_through_fingerprints(spark):
     table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     alone, all_ = (line_dedup.dedup_lines(table, line_dedup.SHORT_RUN, x).agg({"n_removed_lines": "sum"}).first()[0] for x in (None, line_dedup.LINE))
     assert 0 < all_ and alone >= 0.9 * all_
+
+
+def test_single_lines_of_five_words_or_40_bytes_go(spark, tmp_path):
+    """The query and its SQL: such a line goes wherever it occurs again, alone between new lines too; a shorter one stays if no neighbour of it is repeated."""
+    rows = [(1, "a b c d e\nq"), (2, "r\n  a b c d e \ns"), (3, "日" * 14 + "\nt"), (4, "日" * 14 + "\nu"), (5, "日" * 13 + "\nv\na b c d"), (6, "日" * 13 + "\nw\na b c d"), (7, "x" * 40), (8, "x" * 40), (9, "x" * 39), (10, "x" * 39), (11, "f g h i j\ny\nf g h i j"), (12, None), (13, "")]
+    pq.write_table(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}), tmp_path / "documents.parquet")
+    table = registry.QUERIES["op10_line_dedup"](spark, str(tmp_path))
+    got = {r["doc_id"]: r["text"] for r in table.collect()}
+    assert got == {**dict(rows), 2: "r\n  s", 4: "u", 8: "", 11: "f g h i j\ny"}
+    assert assert_same(table, registry.ORACLE_SQL["op10_line_dedup"], str(tmp_path)) == len(rows)
+    ours = {r["doc_id"]: (r["n_lines"], r["n_removed_lines"], segments(r["text"], False)) for r in registry.QUERIES["op10_line_dedup"](spark, DATA).filter("text is not null").collect()}
+    assert ours == {i: v for (i, _), v in whole(table_rows(spark), False, 4, 5, 40).items()}
