@@ -95,8 +95,8 @@ def generation_meta_files(spark, d):
 def srt_files(spark, d):
     folder = new_folder(spark, "srt")
     io.write_srt(A.segments(spark, d).selectExpr("*", _DATASET), folder)
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.srt")
-    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)/Transcript/[^/]+$", 1).cast("long").alias("video"), F.md5(F.col("value").cast("binary")).alias("srt_md5"))
+    files = io.whole_files(spark, folder, "*.srt")
+    return files.select(F.regexp_extract("path", r"([0-9]+)/Transcript/[^/]+$", 1).cast("long").alias("video"), F.md5(F.col("value").cast("binary")).alias("srt_md5"))
 
 
 def corpus_export(spark, d):

@@ -15,7 +15,7 @@ from marlstone.functions.text import format_srt
 from marlstone.operators.corpus import auto_index
 from marlstone.operators.order import numbered
 from marlstone.operators.ratings import blank_to_null, union_exports
-from marlstone.sources.named_files import without_file, write_named_files
+from marlstone.sources.named_files import named_paths, tasks_can_list, texts_of, without_file, write_named_files
 
 
 def read_manifest(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
@@ -37,26 +37,32 @@ def read_manifest(spark: SparkSession, path: str, mode: str = "lenient") -> Data
     return auto_index(out, "_at").drop("_at").orderBy("index")
 
 
-def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    # the path of a row is asked for before any shuffle; folders are walked, so that one call reads all videos
+def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, value) of the files under path whose names match glob; folders are walked, so that one call reads all videos.
+
+    Tasks list and read them; what they can't list (see ``tasks_can_list``) is left to Spark's reader, whose driver holds the list of all files.
+    """
+    if tasks_can_list(path, glob):
+        return texts_of(named_paths(spark, path, glob), path)
+    # the path of a row is asked for before any shuffle
     out = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return out.select("value", F.col("_metadata.file_path").alias("path"))
+    return out.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """<dataset>/<video>/Transcript/transcript*.json -> (dataset, video, name, line_no, start_sec, end_sec, text): the first file by name of each video; one that is no list raises."""
     place = r"([^/]+)/(\d+)/Transcript/(transcript[^/]*\.json)$"
-    files = _whole_files(spark, path, "transcript*.json").select(*[F.regexp_extract("path", place, k).alias(c) for k, c in ((1, "dataset"), (2, "video"), (3, "name"))], "value").filter("name <> ''")
+    files = whole_files(spark, path, "transcript*.json").select(*[F.regexp_extract("path", place, k).alias(c) for k, c in ((1, "dataset"), (2, "video"), (3, "name"))], "value").filter("name <> ''")
     first = files.groupBy("dataset", "video").agg(F.min("name").alias("name"))
-    cues = F.from_json("value", F.lit("ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>"))
     chosen = files.join(first, ["dataset", "video", "name"], "left_semi")
+    cues = F.from_json("value", F.lit("ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>"))
     listed = F.when(~F.coalesce(F.ltrim("value").startswith("["), F.lit(False)) | cues.isNull(), F.raise_error(F.concat(F.lit("no list of cues: "), "dataset", F.lit("/"), "video", F.lit("/"), "name"))).otherwise(cues)
     return chosen.select("dataset", F.col("video").cast("int").alias("video"), "name", F.posexplode(listed).alias("at", "c")).select("dataset", "video", "name", (F.col("at") + 1).alias("line_no"), F.col("c.start").alias("start_sec"), F.col("c.end").alias("end_sec"), "c.text")
 
 
 def read_caption_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON3 payloads -> (path, seq, t_start_ms, d_duration_ms, texts); a file whose events are no list raises."""
-    files = _whole_files(spark, path, "*.json3").withColumn("p", F.from_json("value", F.lit(S.CAPTIONS.removeprefix("STRUCT<").removesuffix(">").replace("events:", "events"))))
+    files = whole_files(spark, path, "*.json3").withColumn("p", F.from_json("value", F.lit(S.CAPTIONS.removeprefix("STRUCT<").removesuffix(">").replace("events:", "events"))))
     events = F.when(F.col("p.events").isNull(), F.raise_error(F.concat(F.lit("no list of events: "), F.col("path")))).otherwise(F.col("p.events"))
     return files.select("path", F.posexplode(events).alias("seq", "e")).select("path", "seq", F.col("e.tStartMs").alias("t_start_ms"), F.col("e.dDurationMs").alias("d_duration_ms"), F.col("e.segs.utf8").alias("texts"))
 
@@ -64,7 +70,7 @@ def read_caption_events(spark: SparkSession, path: str) -> DataFrame:
 def read_qa_results(spark: SparkSession, path: str) -> DataFrame:
     """<dataset>/<video>/<approach>/QA results/finalQA.json -> a row for each pair, n counts from 1 in its file."""
     place = r"([^/]+)/(\d+)/([^/]+)/QA(?: |%20)results/finalQA\.json$"
-    files = _whole_files(spark, path, "finalQA.json").select(*[F.regexp_extract("path", place, k).alias(c) for k, c in ((1, "dataset"), (2, "video"), (3, "approach"))], "value").filter("dataset <> ''")
+    files = whole_files(spark, path, "finalQA.json").select(*[F.regexp_extract("path", place, k).alias(c) for k, c in ((1, "dataset"), (2, "video"), (3, "approach"))], "value").filter("dataset <> ''")
     return files.select("dataset", F.col("video").cast("int").alias("video"), "approach", F.posexplode(F.from_json("value", F.lit(f"ARRAY<{S.QA_PAIR}>"))).alias("at", "q")).select("dataset", "video", "approach", (F.col("at") + 1).alias("n"), "q.*")
 
 
@@ -107,7 +113,7 @@ def read_ratings(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_run_logs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, agent_seconds): the last ``{"agent_seconds": n}`` of each log; 0 where there is none."""
-    files = _whole_files(spark, path, glob)
+    files = whole_files(spark, path, glob)
     hits = F.regexp_extract_all("value", F.lit(r'\{\s*"agent_seconds"\s*:\s*([0-9.]+)\s*\}'), F.lit(1))
     return files.select("path", F.coalesce(F.try_element_at(hits, F.lit(-1)).cast("double"), F.lit(0.0)).alias("agent_seconds"))
 

@@ -130,3 +130,43 @@ def test_numbers_of_a_whole_table(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("old").alias("n")).repartition(9)
     assert all(r["n"] == r["x"] + 5 for r in numbered(rows, ["x"], "n", 5).collect())
     assert numbered(rows.limit(0), ["x"], "n").count() == 0
+
+
+def test_tasks_list_and_read_files(spark, tmp_path, monkeypatch):
+    """The files, names and texts of Spark's reader, which isn't asked, so the driver lists nothing; flat, deep and odd folders, and the first transcript of a video before any is read."""
+    glob = "*.t?t"
+    for name in ("a.txt", "x/b.txt", "x/y 1/ä%#[1].txt", "x/y 1/z/w/c.txt", "x/_h/d.txt", "x/.h/e.txt", "_f.txt", ".g.txt", "x/_k=1/i.txt", "x/j.json", "empty/k.txt", "bad/l.txt", *[f"flat/{i}.txt" for i in range(2500)]):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes({"k": b"", "l": b"\xff\xfe\n"}.get(name[-5], f"of\r\n{name}\n".encode()))
+    (tmp_path / "in" / "none").mkdir()
+    plain = spark.read.text(str(tmp_path / "in"), wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select("_metadata.file_path", F.hex("value"))
+    want = sorted(tuple(r) for r in plain.collect())
+    (tmp_path / "t" / "A" / "1" / "Transcript").mkdir(parents=True)
+    (tmp_path / "t" / "A" / "1" / "Transcript" / "transcript-b.json").write_text("no list")
+    (tmp_path / "t" / "A" / "1" / "Transcript" / "transcript-0.json").write_text("")
+    (tmp_path / "t" / "A" / "1" / "Transcript" / "transcript-a.json").write_text('[{"start": 0, "end": 1, "text": "t"}]')
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "read", property(lambda self: pytest.fail("the driver lists files")))
+        for folder in (f"{tmp_path}/in", f"file://{tmp_path}/in/"):
+            assert sorted((r["path"], r["value"]) for r in io.whole_files(spark, folder, glob).select("path", F.hex("value").alias("value")).collect()) == want
+        assert [r["path"] for r in io.whole_files(spark, f"{tmp_path}/in/x/b.txt", glob).collect()] == [f"file:{tmp_path}/in/x/b.txt"]
+        assert io.whole_files(spark, f"{tmp_path}/in/none", glob).count() == 0
+        assert [(r["name"], r["text"]) for r in io.read_transcripts(spark, f"{tmp_path}/t").collect()] == [("transcript-a.json", "t")]
+        with pytest.raises(FileNotFoundError):
+            io.whole_files(spark, f"{tmp_path}/nowhere", glob)
+    assert len(want) == 2500 + 6 and sorted(r["path"] for r in io.whole_files(spark, f"{tmp_path}/i[n]", glob).collect()) == [p for p, _ in want]
+
+
+def test_a_commit_holds_few_names(spark, tmp_path, monkeypatch):
+    """Lists longer than what the driver holds at once are moved whole."""
+    from marlstone.sources import named_files
+
+    monkeypatch.setattr(named_files, "LINES", 7)
+    writer = named_files.NamedFilesWriter(str(tmp_path / "out"))
+    staged = tmp_path / "out" / writer.staging.rsplit("/", 1)[1] / "0-0"
+    staged.mkdir(parents=True)
+    for i in range(50):
+        (staged / str(i)).write_text(str(i))
+    (staged / "list").write_text("".join(f'["{staged}/{i}", "d{i % 9}/{i}"]\n' for i in range(50)))
+    writer.commit([named_files.Listed(f"{staged}/list"), None, named_files.Listed(None)])
+    assert files(tmp_path / "out") == {f"d{i % 9}/{i}": str(i) for i in range(50)}
