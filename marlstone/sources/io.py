@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,27 +38,30 @@ def read_manifest(spark: SparkSession, path: str, mode: str = "lenient") -> Data
     return auto_index(out, "_at").drop("_at").orderBy("index")
 
 
-def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str, glob: str, chosen: Callable[[DataFrame], DataFrame] = lambda files: files) -> DataFrame:
     """(path, value) of the files under path whose names match glob; folders are walked, so that one call reads all videos.
 
-    Tasks list and read them; what they can't list (see ``tasks_can_list``) is left to Spark's reader, whose driver holds the list of all files.
+    ``chosen`` keeps the files that are wanted, before they are read. Tasks list and read them; what they can't list (see ``tasks_can_list``) is left to Spark's reader, whose driver holds the list of all files.
     """
     if tasks_can_list(path, glob):
-        return texts_of(named_paths(spark, path, glob), path)
+        return texts_of(chosen(named_paths(spark, path, glob)), path)
     # the path of a row is asked for before any shuffle
     out = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return out.select(F.col("_metadata.file_path").alias("path"), "value")
+    return chosen(out.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """<dataset>/<video>/Transcript/transcript*.json -> (dataset, video, name, line_no, start_sec, end_sec, text): the first file by name of each video; one that is no list raises."""
-    place = r"([^/]+)/(\d+)/Transcript/(transcript[^/]*\.json)$"
-    files = whole_files(spark, path, "transcript*.json").select(*[F.regexp_extract("path", place, k).alias(c) for k, c in ((1, "dataset"), (2, "video"), (3, "name"))], "value").filter("name <> ''")
-    first = files.groupBy("dataset", "video").agg(F.min("name").alias("name"))
-    chosen = files.join(first, ["dataset", "video", "name"], "left_semi")
+    parts = [F.regexp_extract("path", r"([^/]+)/(\d+)/Transcript/(transcript[^/]*\.json)$", k).alias(c) for k, c in ((1, "dataset"), (2, "video"), (3, "name"))]
+
+    def first(files: DataFrame) -> DataFrame:
+        named = files.select("*", *parts).filter("name <> ''")
+        return named.withColumn("_rank", F.rank().over(Window.partitionBy("dataset", "video").orderBy("name"))).filter("_rank = 1")
+
+    files = whole_files(spark, path, "transcript*.json", first).select(*parts, "value")
     cues = F.from_json("value", F.lit("ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>"))
     listed = F.when(~F.coalesce(F.ltrim("value").startswith("["), F.lit(False)) | cues.isNull(), F.raise_error(F.concat(F.lit("no list of cues: "), "dataset", F.lit("/"), "video", F.lit("/"), "name"))).otherwise(cues)
-    return chosen.select("dataset", F.col("video").cast("int").alias("video"), "name", F.posexplode(listed).alias("at", "c")).select("dataset", "video", "name", (F.col("at") + 1).alias("line_no"), F.col("c.start").alias("start_sec"), F.col("c.end").alias("end_sec"), "c.text")
+    return files.select("dataset", F.col("video").cast("int").alias("video"), "name", F.posexplode(listed).alias("at", "c")).select("dataset", "video", "name", (F.col("at") + 1).alias("line_no"), F.col("c.start").alias("start_sec"), F.col("c.end").alias("end_sec"), "c.text")
 
 
 def read_caption_events(spark: SparkSession, path: str) -> DataFrame:

@@ -170,3 +170,14 @@ def test_a_commit_holds_few_names(spark, tmp_path, monkeypatch):
     (staged / "list").write_text("".join(f'["{staged}/{i}", "d{i % 9}/{i}"]\n' for i in range(50)))
     writer.commit([named_files.Listed(f"{staged}/list"), None, named_files.Listed(None)])
     assert files(tmp_path / "out") == {f"d{i % 9}/{i}": str(i) for i in range(50)}
+
+
+def test_transcripts_are_listed_and_read_once(spark, tmp_path):
+    """The first name of a video is found among the names: one listing in three steps and one reading; equal names under two roots are both first."""
+    for root in ("r1", "r2"):
+        (tmp_path / root / "A" / "1" / "Transcript").mkdir(parents=True)
+        for name in ("transcript-a.json", "transcript-b.json"):
+            (tmp_path / root / "A" / "1" / "Transcript" / name).write_text(f'[{{"start": 0, "end": 1, "text": "{root} {name}"}}]')
+    out = io.read_transcripts(spark, str(tmp_path))
+    assert sorted(r["text"] for r in out.collect()) == ["r1 transcript-a.json", "r2 transcript-a.json"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4
