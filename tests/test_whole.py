@@ -146,3 +146,33 @@ def test_selection_from_one_very_large_video(spark):
         assert {tuple(x)[:4] for x in got if x["selected"]} == want
     plan = select.select_proportional(pool, ["video"], 20)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_only_questions_that_can_be_near_are_kept(spark, monkeypatch):
+    """Pairs of several thresholds as by brute force, among sets of all sizes with copies and a common phrase; shingles are stored for few others, and texts stay out of what is joined."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rows = [(f"far{i}", " ".join([*[word() for _ in range(30)], "one common phrase of six words", *[word() for _ in range(30)]])) for i in range(300)]
+    for i in range(40):
+        words = [word() for _ in range(r.choice([1, 3, 4, 5, 6, 9, 30, 80]))]
+        for j in range(3):
+            rows.append((f"near{i:02d}{j}", " ".join(words)))
+            words[r.randrange(len(words))] = word() if r.random() < 0.8 else words[0]
+    sets = {u: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for u, q in rows if (w := q.split())}
+    text = dict(rows)
+    least = {q: min(u for u, x in rows if x == q) for q in text.values()}
+    table = spark.createDataFrame(rows, "uid string, question string").repartition(3)
+    stored = {}
+    put = corpus.materialize
+    monkeypatch.setattr(corpus, "materialize", lambda df, name: stored.setdefault(name, put(df, name)) if name == "question_shingles" else put(df, name))
+    for threshold in (0.3, 0.75, 1.0):
+        stored.clear()
+        want = {(least[q], u): 1.0 for u, q in rows if u != least[q]}
+        want |= {(a, b): j for a in least.values() for b in least.values() if a < b and (j := round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) >= threshold}
+        out = corpus.near_duplicate_questions(table, threshold)
+        assert {(x["uid_a"], x["uid_b"]): x["jaccard"] for x in out.collect()} == want
+        assert "question#" not in out._jdf.queryExecution().optimizedPlan().toString()
+        if threshold == 0.75:
+            assert len({x for pair in want for x in pair}) > 20 and not any(x["uid"].startswith("far") for x in stored["question_shingles"].collect())
