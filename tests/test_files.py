@@ -181,3 +181,13 @@ def test_transcripts_are_listed_and_read_once(spark, tmp_path):
     out = io.read_transcripts(spark, str(tmp_path))
     assert sorted(r["text"] for r in out.collect()) == ["r1 transcript-a.json", "r2 transcript-a.json"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4
+
+
+def test_no_reader_of_whole_files_asks_the_driver(spark, tmp_path, monkeypatch):
+    """Captions of many videos: listed and read by tasks."""
+    events = spark.range(600).selectExpr("CASE WHEN id % 2 = 0 THEN 'n' ELSE 's' END AS dataset", "id div 2 AS video", "id AS seq", "id AS t_start_ms", "5L AS d_duration_ms", "array('a', string(id)) AS texts")
+    io.write_caption_events(events, str(tmp_path))
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "read", property(lambda self: pytest.fail("the driver lists files")))
+        got = io.read_caption_events(spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["seq"], r["t_start_ms"], r["texts"]) for r in got) == sorted((f"file:{tmp_path}/{'ns'[i % 2]}/{i // 2}/Transcript/captions.json3", 0, i, ["a", str(i)]) for i in range(600))
